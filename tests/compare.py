@@ -1,0 +1,73 @@
+"""Run a query in Spark and its SQL twin in DuckDB and compare all values.
+
+``python tests/compare.py SF [name ...]`` prints one line per query.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+import sys
+import time
+from pathlib import Path
+
+import duckdb
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TESTDATA = "/root/testdata"
+
+
+def connect(sf_dir: str):
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else round(value, 9)
+    if isinstance(value, dt.datetime):
+        return value.replace(tzinfo=None).isoformat()
+    return value
+
+
+def canonical(columns: list[str], rows) -> list[tuple]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
+
+
+def both(spark, con, name: str, sf_dir: str, query, sql: str):
+    df = query(spark, sf_dir)
+    mine = canonical(df.columns, df.collect())
+    result = con.execute(sql)
+    names = [d[0] for d in result.description]
+    theirs = canonical(names, result.fetchall())
+    return sorted(df.columns), mine, sorted(names), theirs
+
+
+if __name__ == "__main__":
+    import __spark_entry__ as contract
+    from velomart.session import get_session
+
+    sf_dir = f"{TESTDATA}/sf{sys.argv[1]}"
+    session = get_session("compare", "local[8]", {"spark.sql.shuffle.partitions": "8"})
+    session.sparkContext.setLogLevel("ERROR")
+    con = connect(sf_dir)
+    queries, twins = contract.queries(), contract.oracle_sql()
+    assert set(twins) <= set(queries), set(twins) - set(queries)
+    for name in sys.argv[2:] or list(queries):
+        began = time.time()
+        try:
+            cols, mine, other_cols, theirs = both(session, con, name, sf_dir, queries[name], twins[name])
+            same = cols == other_cols and mine == theirs
+            print(f"{'ok  ' if same else 'DIFF'} {name} rows={len(mine)}/{len(theirs)} {time.time() - began:.1f}s", flush=True)
+            if not same:
+                print("  ", cols, other_cols)
+                bad = [p for p in zip(mine, theirs) if p[0] != p[1]][:3]
+                for a, b in bad:
+                    print("   spark ", a, "\n   duckdb", b)
+        except Exception as problem:
+            print(f"FAIL {name}: {type(problem).__name__} {str(problem)[:600]}", flush=True)

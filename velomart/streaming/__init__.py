@@ -1,0 +1,4 @@
+"""The modelled system is batch only, so there is no streaming plan to build.
+
+The package is kept as the place for one should the batch contract ever change.
+"""
