@@ -1,7 +1,8 @@
 """Column expressions: keys, cleaned labels, station defaults and time arithmetic.
 
-Everything here returns a ``Column`` built from JVM-side functions, so it stays inside
-whole-stage codegen. Timestamps are ``TIMESTAMP_NTZ``; nothing depends on the session zone.
+Everything here returns a ``Column`` parsed from SQL text (one call to the JVM each) and made of
+built-in functions, so it stays inside whole-stage codegen. Arguments are column names or SQL
+text. Timestamps are ``TIMESTAMP_NTZ``; nothing depends on the session zone.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql.functions import expr
 
 # Fixed values of the data model.
 OPEN_END_DATE = dt.date(9999, 1, 1)  # date key of a hire that has not ended
@@ -29,114 +30,131 @@ MICROS_PER_SECOND = 1_000_000
 MICROS_PER_DAY = 86_400 * MICROS_PER_SECOND
 
 
+def open_end_day() -> str:
+    """The open-end day as an SQL literal."""
+    return f"DATE'{OPEN_END_DATE}'"
+
+
 def date_key(column: str) -> Column:
     """Timestamp to calendar day."""
-    return F.col(column).cast("date")
+    return expr(f"cast({column} AS date)")
 
 
 def surrogate_key(*columns: str) -> Column:
     """md5 over the columns as text, NULLs replaced by a token, joined by '-'."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY_TOKEN)) for c in columns]
-    return F.md5(F.concat_ws("-", *parts))
+    parts = ", ".join(f"coalesce(cast({c} AS string), '{NULL_KEY_TOKEN}')" for c in columns)
+    return expr(f"md5(concat_ws('-', {parts}))")
 
 
 def staged_model(column: str = "bike_model") -> Column:
     """Missing or empty model is CLASSIC; blanks are kept as they are."""
-    return F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(DEFAULT_MODEL))
+    return expr(f"coalesce(nullif({column}, ''), '{DEFAULT_MODEL}')")
 
 
 def reported_model(column: str = "bike_model") -> Column:
     """Missing, empty or blank model is 'not_specified'."""
-    return F.coalesce(F.nullif(F.trim(F.col(column)), F.lit("")), F.lit(UNSPECIFIED_MODEL))
+    return expr(f"coalesce(nullif(trim({column}), ''), '{UNSPECIFIED_MODEL}')")
+
+
+def start_station_id() -> Column:
+    """Own id, else the station found by name, else the terminal, else 0."""
+    return expr(
+        f"coalesce(start_station_id, found_start_id, start_station_logical_terminal, {NO_STATION_ID}L)"
+    )
+
+
+def end_station_id() -> Column:
+    """As for the start once the hire has ended; an open hire has its own id or -1."""
+    return expr(
+        f"""if(end_date IS NULL,
+               coalesce(end_station_id, {IN_USE_STATION_ID}L),
+               coalesce(end_station_id, found_end_id, end_station_logical_terminal, {NO_STATION_ID}L))"""
+    )
 
 
-def whole_minutes(seconds: Column) -> Column:
+def end_station_name() -> Column:
+    """An open hire without a station name ends at 'Unknown'."""
+    return expr(f"if(end_date IS NULL, coalesce(end_station_name, '{UNKNOWN_STATION}'), end_station_name)")
+
+
+def whole_minutes(seconds: str) -> Column:
     """Seconds to whole minutes, rounding down (also below zero)."""
-    return F.floor(seconds / 60)
+    return expr(f"floor({seconds} / 60)")
 
 
 def month_label(column: str) -> Column:
-    return F.date_format(F.col(column).cast("date"), "yyyy-MM")
+    return expr(f"date_format(cast({column} AS date), 'yyyy-MM')")
 
 
 def month_start(column: str) -> Column:
-    return F.trunc(F.col(column).cast("date"), "month")
+    return expr(f"trunc(cast({column} AS date), 'month')")
 
 
 def iso_dow(column: str) -> Column:
     """1 = Monday .. 7 = Sunday."""
-    return F.weekday(F.col(column).cast("date")) + 1
+    return expr(f"weekday(cast({column} AS date)) + 1")
 
 
 def us_dow(column: str) -> Column:
     """1 = Sunday .. 7 = Saturday."""
-    return F.dayofweek(F.col(column).cast("date"))
+    return expr(f"dayofweek(cast({column} AS date))")
 
 
-def weekday_name(index: Column) -> Column:
+def weekday_name(index: str) -> Column:
     """0-based ISO weekday index to its English name."""
-    return F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), index + 1)
+    names = ", ".join(f"'{name}'" for name in WEEKDAY_NAMES)
+    return expr(f"element_at(array({names}), {index} + 1)")
 
 
-def is_winter(month: Column) -> Column:
-    return month.isin(*WINTER_MONTHS)
+def is_winter(month: str) -> Column:
+    return expr(f"cast({month} AS int) IN {WINTER_MONTHS}")
 
 
-def micros_between(start: Column, end: Column) -> Column:
+def micros_between(start: str, end: str) -> Column:
     """Exact microseconds from ``start`` to ``end`` without going through a time zone."""
-    gap = end - start
-
-    def part(name: str) -> Column:
-        return F.extract(F.lit(name), gap)
-
-    minutes = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
-    return minutes * (60 * MICROS_PER_SECOND) + (part("SECOND") * MICROS_PER_SECOND).cast("long")
+    gap = f"({end} - {start})"
+    minutes = (
+        f"((extract(DAY FROM {gap}) * 24L + extract(HOUR FROM {gap})) * 60 + extract(MINUTE FROM {gap}))"
+    )
+    return expr(f"{minutes} * 60000000 + cast(extract(SECOND FROM {gap}) * 1000000 AS bigint)")
 
 
-def years(micros: Column) -> Column:
-    return micros / MICROS_PER_SECOND / SECONDS_PER_YEAR
+def years(micros: str) -> Column:
+    return expr(f"{micros} / {MICROS_PER_SECOND} / {SECONDS_PER_YEAR}")
 
 
-def duration_bin(years_column: str) -> Column:
-    value = F.col(years_column)
-    return (
-        F.when(value < 1, "0-1 yrs")
-        .when(value < 2, "1-2 yrs")
-        .when(value < 3, "2-3 yrs")
-        .when(value < 4, "3-4 yrs")
-        .otherwise("4+ yrs")
+def duration_bin(value: str) -> Column:
+    return expr(
+        f"""CASE WHEN {value} < 1 THEN '0-1 yrs' WHEN {value} < 2 THEN '1-2 yrs'
+                 WHEN {value} < 3 THEN '2-3 yrs' WHEN {value} < 4 THEN '3-4 yrs' ELSE '4+ yrs' END"""
     )
 
 
-def duration_bin_order(years_column: str) -> Column:
-    value = F.col(years_column)
-    return F.when(value < 1, 1).when(value < 2, 2).when(value < 3, 3).when(value < 4, 4).otherwise(5)
+def duration_bin_order(value: str) -> Column:
+    return expr(
+        f"""CASE WHEN {value} < 1 THEN 1 WHEN {value} < 2 THEN 2
+                 WHEN {value} < 3 THEN 3 WHEN {value} < 4 THEN 4 ELSE 5 END"""
+    )
 
 
 def time_period(hour: str) -> Column:
     """Commuting peaks, both ends included."""
-    return (
-        F.when(F.col(hour).between(7, 9), "Morning Peak")
-        .when(F.col(hour).between(17, 19), "Evening Peak")
-        .otherwise("Off-Peak")
+    return expr(
+        f"""CASE WHEN {hour} BETWEEN 7 AND 9 THEN 'Morning Peak'
+                 WHEN {hour} BETWEEN 17 AND 19 THEN 'Evening Peak' ELSE 'Off-Peak' END"""
     )
 
 
 def zero_if_missing(*columns: str) -> Column:
     """Sum of the columns, each NULL counted as 0."""
-    total = F.coalesce(F.col(columns[0]), F.lit(0))
-    for name in columns[1:]:
-        total = total + F.coalesce(F.col(name), F.lit(0))
-    return total
+    return expr(" + ".join(f"coalesce({c}, 0)" for c in columns))
 
 
 def lenient_int(column: str) -> Column:
     """Text to integer, NULL where the text is no number."""
-    return F.col(column).try_cast("int")
+    return expr(f"try_cast({column} AS int)")
 
 
 def utc_ntz(column: str) -> Column:
     """Zone-aware timestamp to its UTC wall-clock time without a zone."""
-    return F.timestamp_add(
-        "MICROSECOND", F.unix_micros(F.col(column)), F.lit("1970-01-01").cast("timestamp_ntz")
-    )
+    return expr(f"timestampadd(MICROSECOND, unix_micros(`{column}`), TIMESTAMP_NTZ'1970-01-01 00:00:00')")

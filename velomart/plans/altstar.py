@@ -11,29 +11,23 @@ from velomart.plans.staging import station_ends
 
 def dim_station(hires: DataFrame) -> DataFrame:
     """Every (id, name) at either end of a raw hire, NULLs included."""
-    return (
-        station_ends(hires)
-        .select("station_id", "station_name")
-        .distinct()
-        .select(
-            c.surrogate_key("station_id", "station_name").alias("station_key"),
-            "station_id",
-            "station_name",
-        )
+    seen = station_ends(hires).select("station_id", "station_name").distinct()
+    return seen.select(
+        c.surrogate_key("station_id", "station_name").alias("station_key"), "station_id", "station_name"
     )
 
 
 def _with_station_key(hires: DataFrame, stations: DataFrame, side: str) -> DataFrame:
     """Inner join on id and name with NULL read as 0 and '', so NULL and default match."""
-    keys = stations.select(
-        F.coalesce("station_id", F.lit(0)).alias("match_id"),
-        F.coalesce("station_name", F.lit("")).alias("match_name"),
-        F.col("station_key").alias(f"{side}_station_key"),
+    keys = stations.selectExpr(
+        "coalesce(station_id, 0L) AS match_id",
+        "coalesce(station_name, '') AS match_name",
+        f"station_key AS {side}_station_key",
     )
-    same = (F.coalesce(f"{side}_station_id", F.lit(0)) == F.col("match_id")) & (
-        F.coalesce(f"{side}_station_name", F.lit("")) == F.col("match_name")
+    same = (
+        f"coalesce({side}_station_id, 0L) = match_id AND coalesce({side}_station_name, '') = match_name"
     )
-    return hires.join(keys, same).drop("match_id", "match_name")
+    return hires.join(keys, F.expr(same)).drop("match_id", "match_name")
 
 
 def fact_hires(hires: DataFrame, stations: DataFrame) -> DataFrame:
@@ -71,8 +65,8 @@ def dim_duration_by_month(facts: DataFrame) -> DataFrame:
             c.reported_model().alias("bike_model"),
         )
         .agg(
-            F.sum("duration").alias("total_duration_seconds"),
-            F.count("rental_id").alias("total_rentals"),
+            F.expr("sum(duration) AS total_duration_seconds"),
+            F.expr("count(rental_id) AS total_rentals"),
         )
         .orderBy(F.desc("rental_month"), "bike_model")
     )

@@ -5,8 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from velomart.functions import columns as c
 
@@ -14,45 +12,36 @@ from velomart.functions import columns as c
 FIRST_DAY = dt.date(2015, 1, 1)
 LAST_DAY = dt.date(2023, 1, 31)
 
-DIM_DATE_SCHEMA = T.StructType(
-    [
-        T.StructField("date_key", T.DateType()),
-        T.StructField("year", T.StringType()),
-        T.StructField("month", T.StringType()),
-        T.StructField("quarter", T.StringType()),
-        T.StructField("day_of_week", T.StringType()),
-        T.StructField("day_type", T.StringType()),
-    ]
+DIM_DATE_SCHEMA = (
+    "date_key DATE, year STRING, month STRING, quarter STRING, day_of_week STRING, day_type STRING"
 )
 
 
 def _dim_date_columns(days: DataFrame) -> DataFrame:
-    day = F.col("date_key")
-    open_end = day == F.lit(c.OPEN_END_DATE)
     return days.select(
         "date_key",
-        F.year(day).cast("string").alias("year"),
-        F.month(day).cast("string").alias("month"),
-        F.quarter(day).cast("string").alias("quarter"),
+        c.expr("string(year(date_key)) AS year"),
+        c.expr("string(month(date_key)) AS month"),
+        c.expr("string(quarter(date_key)) AS quarter"),
         c.iso_dow("date_key").cast("string").alias("day_of_week"),
-        F.when(open_end, "Unknown")
-        .when(F.weekday(day) >= 5, "Weekend")
-        .otherwise("Weekday")
-        .alias("day_type"),
+        c.expr(
+            f"""CASE WHEN date_key = {c.open_end_day()} THEN 'Unknown'
+                     WHEN weekday(date_key) >= 5 THEN 'Weekend' ELSE 'Weekday' END AS day_type"""
+        ),
     )
 
 
 def dim_date(spark: SparkSession, first: dt.date = FIRST_DAY, last: dt.date = LAST_DAY) -> DataFrame:
     """One row per day from ``first`` to ``last`` and one for the open-end day."""
-    days = F.concat(F.sequence(F.lit(first), F.lit(last)), F.array(F.lit(c.OPEN_END_DATE)))
-    return _dim_date_columns(spark.range(1).select(F.explode(days).alias("date_key")))
+    days = f"concat(sequence(DATE'{first}', DATE'{last}'), array({c.open_end_day()}))"
+    return _dim_date_columns(spark.range(1).selectExpr(f"explode({days}) AS date_key"))
 
 
 def dim_date_spanning(hires: DataFrame) -> DataFrame:
     """The date dimension over the days the hires cover, first start to last start or end."""
     span = hires.agg(
-        F.min(F.col("start_date").cast("date")).alias("first"),
-        F.max(F.greatest("start_date", "end_date").cast("date")).alias("last"),
+        c.expr("date(min(start_date)) AS first"),
+        c.expr("date(greatest(max(start_date), max(end_date))) AS last"),
     )
-    days = F.concat(F.sequence("first", "last"), F.array(F.lit(c.OPEN_END_DATE)))
-    return _dim_date_columns(span.select(F.explode(days).alias("date_key")))
+    days = f"concat(sequence(first, last), array({c.open_end_day()}))"
+    return _dim_date_columns(span.selectExpr(f"explode({days}) AS date_key"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velomart.functions import columns as c
@@ -10,28 +10,28 @@ from velomart.functions import columns as c
 
 def _per_day(hires: DataFrame, counted: str = "*") -> DataFrame:
     """Hires per start day: what the joins to the calendar run on instead of single hires."""
-    return hires.groupBy("start_date_key").agg(F.count(counted).alias("rides"))
+    return hires.groupBy("start_date_key").agg(F.expr(f"count({counted}) AS rides"))
 
 
 def rides_by_weekday(hires: DataFrame, dates: DataFrame) -> DataFrame:
     return (
         _per_day(hires)
-        .join(dates, F.col("start_date_key") == F.col("date_key"))
+        .join(dates, F.expr("start_date_key = date_key"))
         .groupBy("day_of_week")
-        .agg(F.sum("rides").alias("total_rides"))
+        .agg(F.expr("sum(rides) AS total_rides"))
         .orderBy(F.desc("total_rides"), "day_of_week")
     )
 
 
 def rides_by_hour(hires: DataFrame) -> DataFrame:
-    return hires.groupBy("start_hour").agg(F.count("*").alias("total_rides")).orderBy("start_hour")
+    return hires.groupBy("start_hour").agg(F.expr("count(*) AS total_rides")).orderBy("start_hour")
 
 
 def rides_by_hour_ts(hires: DataFrame) -> DataFrame:
     """The same from the timestamp instead of the stored hour."""
     return (
-        hires.groupBy(F.hour("start_date").alias("hour"))
-        .agg(F.count("*").alias("total_rides"))
+        hires.groupBy(F.expr("hour(start_date) AS hour"))
+        .agg(F.expr("count(*) AS total_rides"))
         .orderBy("hour")
     )
 
@@ -39,33 +39,33 @@ def rides_by_hour_ts(hires: DataFrame) -> DataFrame:
 def peak_offpeak(hires: DataFrame) -> DataFrame:
     """Rides in the commuting peaks and outside, with their share of all rides."""
     periods = hires.groupBy(c.time_period("start_hour").alias("time_period")).agg(
-        F.count("*").alias("total_rides")
+        F.expr("count(*) AS total_rides")
     )
-    everything = Window.partitionBy()  # over the three period rows
-    share = F.col("total_rides") * F.lit(100.0) / F.sum("total_rides").over(everything)
-    return periods.withColumn("pct_of_total", share).orderBy(F.desc("total_rides"), "time_period")
+    # The window without partitions runs over the three period rows.
+    return periods.selectExpr(
+        "*", "total_rides * 100.0D / sum(total_rides) OVER () AS pct_of_total"
+    ).orderBy(F.desc("total_rides"), "time_period")
 
 
 def rentals_by_calendar(hires: DataFrame, dates: DataFrame) -> DataFrame:
     return (
         _per_day(hires, "rental_id")
-        .join(dates, F.col("start_date_key") == F.col("date_key"))
+        .join(dates, F.expr("start_date_key = date_key"))
         .groupBy("year", "quarter", "month", "day_type", "day_of_week")
-        .agg(F.sum("rides").alias("total_rentals"))
+        .agg(F.expr("sum(rides) AS total_rentals"))
         .orderBy("year", "quarter", "month", "day_of_week", "day_type")
     )
 
 
 def monthly_series(rentals: DataFrame) -> DataFrame:
     """Rentals per month in date order, without the last, partial month."""
-    month = F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.lit(1))
-    monthly = rentals.groupBy(month.alias("month_start")).agg(
-        F.sum("total_rentals").alias("total_rentals")
-    )
-    everything = Window.partitionBy()  # over one row per month of the calendar
+    monthly = rentals.groupBy(
+        F.expr("make_date(int(year), int(month), 1) AS month_start")
+    ).agg(F.expr("sum(total_rentals) AS total_rentals"))
+    # The window without partitions runs over one row per month of the calendar.
     return (
-        monthly.withColumn("last_month", F.max("month_start").over(everything))
-        .where(F.col("month_start") < F.col("last_month"))
+        monthly.selectExpr("*", "max(month_start) OVER () AS last_month")
+        .where("month_start < last_month")
         .drop("last_month")
         .orderBy("month_start")
     )
@@ -76,13 +76,13 @@ def weekday_winter_series(rentals: DataFrame) -> DataFrame:
     return (
         rentals.select(
             (c.lenient_int("day_of_week") - 1).alias("weekday_index"),
-            c.is_winter(F.col("month").cast("int")).alias("winter"),
+            c.is_winter("month").alias("winter"),
             "total_rentals",
         )
         .groupBy("weekday_index", "winter")
-        .agg(F.avg("total_rentals").alias("avg_monthly_total"))
+        .agg(F.expr("avg(total_rentals) AS avg_monthly_total"))
         .select(
-            "weekday_index", c.weekday_name(F.col("weekday_index")).alias("weekday_name"),
+            "weekday_index", c.weekday_name("weekday_index").alias("weekday_name"),
             "winter", "avg_monthly_total",
         )
     )
@@ -91,14 +91,12 @@ def weekday_winter_series(rentals: DataFrame) -> DataFrame:
 def weekday_winter_mean(rentals: DataFrame) -> DataFrame:
     """The same means with winter unstacked into two columns."""
     return (
-        rentals.withColumn("winter", c.is_winter(F.col("month").cast("int")))
+        rentals.withColumn("winter", c.is_winter("month"))
         .groupBy("day_of_week")
         .pivot("winter", [False, True])
         .agg(F.avg("total_rentals"))
-        .select(
-            "day_of_week",
-            F.col("false").alias("avg_monthly_total_other"),
-            F.col("true").alias("avg_monthly_total_winter"),
+        .selectExpr(
+            "day_of_week", "`false` AS avg_monthly_total_other", "`true` AS avg_monthly_total_winter"
         )
     )
 
@@ -107,20 +105,20 @@ def minute_profile(hires: DataFrame) -> DataFrame:
     """Rentals per month, US weekday, weekend label, hour and minute."""
     weekday = c.us_dow("start_date")
     return hires.groupBy(
-        F.month("start_date").alias("month"),
+        F.expr("month(start_date) AS month"),
         weekday.alias("day_of_week"),
         F.when(weekday.isin(1, 7), "Weekend").otherwise("Weekday").alias("is_weekend"),
-        F.hour("start_date").alias("hour"),
-        F.minute("start_date").alias("minute"),
-    ).agg(F.count("rental_id").alias("total_rentals"))
+        F.expr("hour(start_date) AS hour"),
+        F.expr("minute(start_date) AS minute"),
+    ).agg(F.expr("count(rental_id) AS total_rentals"))
 
 
 def minute_profile_labelled(profile: DataFrame) -> DataFrame:
     """The profile in time-of-day order with the winter flag and the fractional hour."""
     return profile.select(
         "*",
-        c.is_winter(F.col("month")).alias("winter"),
-        (F.col("hour") + F.col("minute") / 60).alias("time_of_day"),
+        c.is_winter("month").alias("winter"),
+        F.expr("hour + minute / 60 AS time_of_day"),
     ).orderBy("hour", "minute")
 
 
@@ -129,5 +127,5 @@ def time_of_day_mean(profile: DataFrame) -> DataFrame:
     return (
         minute_profile_labelled(profile)
         .groupBy("time_of_day", "is_weekend")
-        .agg(F.avg("total_rentals").alias("avg_rentals"))
+        .agg(F.expr("avg(total_rentals) AS avg_rentals"))
     )

@@ -12,14 +12,12 @@ from velomart.operators.windows import first_per_key
 
 
 def latest_usage_date(usage: DataFrame) -> DataFrame:
-    return usage.agg(F.max("date_key").alias("max_date"))
+    return usage.agg(F.expr("max(date_key) AS max_date"))
 
 
 def active_bike_days(usage: DataFrame, after: str = "2023-01-01") -> DataFrame:
     """Bike-days with use after a day; on the partitioned table only later days are read."""
-    return usage.where(
-        (F.col("date_key") > F.lit(after).cast("date")) & (F.col("daily_duration_minutes") > 0)
-    ).select("bike_id", "daily_duration_minutes")
+    return usage.where(f"date_key > DATE'{after}' AND daily_duration_minutes > 0").select("bike_id", "daily_duration_minutes")
 
 
 def bike_last_location(hires: DataFrame, bikes: DataFrame) -> DataFrame:
@@ -45,5 +43,5 @@ def bike_last_location(hires: DataFrame, bikes: DataFrame) -> DataFrame:
 
 def bike_idle_days(last_location: DataFrame, as_of: dt.date = dt.date(2023, 1, 31)) -> DataFrame:
     """Days since each bike's last use, with fraction; NULL for a bike never returned."""
-    idle = c.micros_between(F.col("last_used"), F.lit(as_of).cast("timestamp_ntz"))
-    return last_location.withColumn("idle_days", idle / F.lit(float(c.MICROS_PER_DAY)))
+    idle = c.micros_between("last_used", f"TIMESTAMP_NTZ'{as_of} 00:00:00'")
+    return last_location.withColumn("idle_days", idle / float(c.MICROS_PER_DAY))

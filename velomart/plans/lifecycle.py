@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velomart.functions import columns as c
@@ -18,26 +18,29 @@ def bike_durations(hires: DataFrame) -> DataFrame:
     finished a hire counts as active, up to the latest end of all.
     """
     per_bike = hires.groupBy("bike_id").agg(
-        F.min("start_date").alias("first_hire_date"), F.max("end_date").alias("last_hire_date")
+        F.expr("min(start_date) AS first_hire_date"), F.expr("max(end_date) AS last_hire_date")
     )
-    latest = hires.agg(F.max("end_date").alias("latest_end_date"))
-    gone = F.col("last_hire_date") < F.col("latest_end_date") - F.expr(f"INTERVAL {RETIRED_AFTER_DAYS} DAY")
-    until = F.when(gone, F.col("last_hire_date")).otherwise(F.col("latest_end_date"))
+    latest = hires.agg(F.expr("max(end_date) AS latest_end_date"))
+    retired = f"last_hire_date < latest_end_date - INTERVAL {RETIRED_AFTER_DAYS} DAY"
+    until = f"if({retired}, last_hire_date, latest_end_date)"
     return (
         per_bike.crossJoin(F.broadcast(latest))  # one row
-        .withColumn("status", F.when(gone, "retired").otherwise("active"))
-        .withColumn("service_micros", c.micros_between(F.col("first_hire_date"), until))
-        .withColumn("duration_years", c.years(F.col("service_micros")))
+        .select(
+            "*",
+            F.expr(f"if({retired}, 'retired', 'active') AS status"),
+            c.micros_between("first_hire_date", until).alias("service_micros"),
+        )
+        .select("*", c.years("service_micros").alias("duration_years"))
     )
 
 
 def lifecycle_detail(durations: DataFrame) -> DataFrame:
-    return durations.select(
+    return durations.selectExpr(
         "bike_id",
         "first_hire_date",
         "last_hire_date",
         "status",
-        F.round("duration_years", 4).alias("duration_years"),
+        "round(duration_years, 4) AS duration_years",
     )
 
 
@@ -47,15 +50,15 @@ def lifecycle_summary(durations: DataFrame) -> DataFrame:
     The median is exact. Reads ``durations`` several times: pass a written table.
     """
     stats = durations.groupBy("status").agg(
-        F.round(F.avg("duration_years"), 4).alias("avg_duration_years"),
-        F.round(F.min("duration_years"), 4).alias("min_duration_years"),
-        F.round(F.max("duration_years"), 4).alias("max_duration_years"),
-        F.count("*").alias("bike_count"),
+        F.expr("round(avg(duration_years), 4) AS avg_duration_years"),
+        F.expr("round(min(duration_years), 4) AS min_duration_years"),
+        F.expr("round(max(duration_years), 4) AS max_duration_years"),
+        F.expr("count(*) AS bike_count"),
     )
     middle = exact_median(
         durations, "status", "service_micros", widths=(c.MICROS_PER_DAY, c.MICROS_PER_SECOND, 1)
     )
-    median_years = (c.years(F.col("low")) + c.years(F.col("high"))) / 2
+    median_years = (c.years("low") + c.years("high")) / 2
     return stats.join(middle, "status", "left").select(
         "status",
         "avg_duration_years",
@@ -72,46 +75,43 @@ def lifecycle_histogram(durations: DataFrame) -> DataFrame:
         "status",
         c.duration_bin("duration_years").alias("duration_bin"),
         c.duration_bin_order("duration_years").alias("bin_order"),
-    ).agg(F.count("*").alias("bike_count"))
-    whole = F.sum("bike_count").over(Window.partitionBy("status"))  # five rows at most
-    return bins.withColumn(
-        "pct_of_group", F.round(F.col("bike_count") * F.lit(100.0) / whole, 2)
+    ).agg(F.expr("count(*) AS bike_count"))
+    # Five rows per status at most.
+    return bins.selectExpr(
+        "*", "round(bike_count * 100.0D / sum(bike_count) OVER (PARTITION BY status), 2) AS pct_of_group"
     )
 
 
 def lifecycle_combined(durations: DataFrame) -> DataFrame:
     """Detail, summary and histogram as sections of one table of fifteen columns."""
-    detail = lifecycle_detail(durations).select(
-        F.lit("detail").alias("result_type"),
-        F.lit(1).alias("section_id"),
-        F.col("bike_id").cast("string").alias("bike_id"),
-        F.col("first_hire_date").cast("string").alias("first_hire_date"),
-        F.col("last_hire_date").cast("string").alias("last_hire_date"),
+    detail = lifecycle_detail(durations).selectExpr(
+        "'detail' AS result_type",
+        "1 AS section_id",
+        "string(bike_id) AS bike_id",
+        "string(first_hire_date) AS first_hire_date",
+        "string(last_hire_date) AS last_hire_date",
         "status",
         "duration_years",
-        F.lit(None).cast("string").alias("duration_bin"),
-        F.lit(None).cast("double").alias("avg_duration_years"),
-        F.lit(None).cast("double").alias("median_duration_years"),
-        F.lit(None).cast("double").alias("min_duration_years"),
-        F.lit(None).cast("double").alias("max_duration_years"),
-        F.lit(None).cast("long").alias("bike_count"),
-        F.lit(None).cast("double").alias("pct_of_group"),
-        F.col("bike_id").cast("long").alias("sub_sort"),
+        "cast(NULL AS string) AS duration_bin",
+        "cast(NULL AS double) AS avg_duration_years",
+        "cast(NULL AS double) AS median_duration_years",
+        "cast(NULL AS double) AS min_duration_years",
+        "cast(NULL AS double) AS max_duration_years",
+        "cast(NULL AS bigint) AS bike_count",
+        "cast(NULL AS double) AS pct_of_group",
+        "bigint(bike_id) AS sub_sort",
     )
-    summary = lifecycle_summary(durations).select(
-        F.lit("summary").alias("result_type"),
-        F.lit(2).alias("section_id"),
-        "*",
-        F.lit(0).cast("long").alias("sub_sort"),
+    summary = lifecycle_summary(durations).selectExpr(
+        "'summary' AS result_type", "2 AS section_id", "*", "0L AS sub_sort"
     )
-    histogram = lifecycle_histogram(durations).select(
-        F.lit("histogram").alias("result_type"),
-        F.lit(3).alias("section_id"),
+    histogram = lifecycle_histogram(durations).selectExpr(
+        "'histogram' AS result_type",
+        "3 AS section_id",
         "status",
         "duration_bin",
         "bike_count",
         "pct_of_group",
-        F.col("bin_order").cast("long").alias("sub_sort"),
+        "bigint(bin_order) AS sub_sort",
     )
     sections = detail.unionByName(summary, allowMissingColumns=True).unionByName(
         histogram, allowMissingColumns=True
@@ -128,4 +128,4 @@ SECTION_COLUMNS = {
 
 
 def lifecycle_section(combined: DataFrame, section: str) -> DataFrame:
-    return combined.where(F.col("result_type") == section).select(*SECTION_COLUMNS[section])
+    return combined.where(f"result_type = '{section}'").select(*SECTION_COLUMNS[section])

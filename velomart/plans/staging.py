@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velomart.functions import columns as c
-from velomart.functions.columns import surrogate_key
 
 
 def stations_for_missing_ids(hires: DataFrame, stations: DataFrame, side: str) -> DataFrame:
@@ -17,40 +16,39 @@ def stations_for_missing_ids(hires: DataFrame, stations: DataFrame, side: str) -
     if that table is under the broadcast threshold. The IS NULL filter reaches the Parquet scan.
     """
     names = (
-        hires.where(F.col(f"{side}_station_id").isNull())
-        .select(F.col(f"{side}_station_name").alias("name"))
+        hires.where(f"{side}_station_id IS NULL")
+        .selectExpr(f"{side}_station_name AS name")
         .distinct()
     )
-    return stations.select("id", "name").join(names, "name", "left_semi")
+    return (
+        stations.select("id", "name")
+        .join(names, "name", "left_semi")
+        .selectExpr(f"id AS found_{side}_id", f"name AS found_{side}_name")
+    )
+
+
+def station_lookups(hires: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two lookups ``stg_cycle_hire`` fills ids from. Each reads the hires once."""
+    return (
+        stations_for_missing_ids(hires, stations, "start"),
+        stations_for_missing_ids(hires, stations, "end"),
+    )
 
 
-def stg_cycle_hire(hires: DataFrame, stations: DataFrame) -> DataFrame:
+def stg_cycle_hire(
+    hires: DataFrame, stations: DataFrame, lookups: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Hires that name a bike, with model and stations filled in.
 
     A station name held by several stations multiplies the hire; that is kept, and the
-    uniqueness check on ``rental_id`` reports it.
+    uniqueness check on ``rental_id`` reports it. Where several tables are built from this
+    view, pass ``lookups`` written once.
     """
-    by_start = stations_for_missing_ids(hires, stations, "start").select(
-        F.col("id").alias("found_start_id"), F.col("name").alias("found_start_name")
-    )
-    by_end = stations_for_missing_ids(hires, stations, "end").select(
-        F.col("id").alias("found_end_id"), F.col("name").alias("found_end_name")
-    )
-    ended = F.col("end_date").isNotNull()
-    start_id = F.coalesce(
-        "start_station_id", "found_start_id", "start_station_logical_terminal", F.lit(c.NO_STATION_ID)
-    )
-    end_id = F.when(
-        ended,
-        F.coalesce("end_station_id", "found_end_id", "end_station_logical_terminal", F.lit(c.NO_STATION_ID)),
-    ).otherwise(F.coalesce("end_station_id", F.lit(c.IN_USE_STATION_ID)))
-    end_name = F.when(ended, F.col("end_station_name")).otherwise(
-        F.coalesce("end_station_name", F.lit(c.UNKNOWN_STATION))
-    )
+    by_start, by_end = lookups or station_lookups(hires, stations)
     return (
-        hires.where(F.col("bike_id").isNotNull())
-        .join(by_start, F.col("start_station_name") == F.col("found_start_name"), "left")
-        .join(by_end, F.col("end_station_name") == F.col("found_end_name"), "left")
+        hires.where("bike_id IS NOT NULL")
+        .join(by_start, F.expr("start_station_name = found_start_name"), "left")
+        .join(by_end, F.expr("end_station_name = found_end_name"), "left")
         .select(
             "rental_id",
             "duration",
@@ -58,49 +56,35 @@ def stg_cycle_hire(hires: DataFrame, stations: DataFrame) -> DataFrame:
             c.staged_model().alias("bike_model"),
             "start_date",
             "end_date",
-            start_id.alias("start_station_id"),
+            c.start_station_id().alias("start_station_id"),
             # A lookup by name cannot supply a missing name, so names are passed through.
             "start_station_name",
-            end_id.alias("end_station_id"),
-            end_name.alias("end_station_name"),
+            c.end_station_id().alias("end_station_id"),
+            c.end_station_name().alias("end_station_name"),
         )
     )
 
 
 def station_ends(hires: DataFrame) -> DataFrame:
     """Both ends of every hire as (station_id, station_name, starts, ends) in one pass."""
-    return hires.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col("start_station_id").alias("station_id"),
-                    F.col("start_station_name").alias("station_name"),
-                    F.lit(1).alias("starts"),
-                    F.lit(0).alias("ends"),
-                ),
-                F.struct(
-                    F.col("end_station_id").alias("station_id"),
-                    F.col("end_station_name").alias("station_name"),
-                    F.lit(0).alias("starts"),
-                    F.lit(1).alias("ends"),
-                ),
-            )
-        )
+    return hires.selectExpr(
+        """inline(array(
+             named_struct('station_id', start_station_id, 'station_name', start_station_name, 'starts', 1, 'ends', 0),
+             named_struct('station_id', end_station_id, 'station_name', end_station_name, 'starts', 0, 'ends', 1)))"""
     )
 
 
 def locate(named: DataFrame, stations: DataFrame) -> DataFrame:
     """Add key and coordinates to (station_id, station_name) rows; unnamed ones are dropped."""
-    places = stations.select(F.col("id").alias("station_id"), "latitude", "longitude")
+    places = stations.selectExpr("id AS station_id", "latitude AS found_lat", "longitude AS found_lon")
     return (
-        named.where(F.col("station_name").isNotNull())
+        named.where("station_name IS NOT NULL")
         .join(places, "station_id", "left")
-        .withColumns(
-            {
-                "station_key": surrogate_key("station_id", "station_name"),
-                "latitude": F.coalesce("latitude", F.lit(0.0)),
-                "longitude": F.coalesce("longitude", F.lit(0.0)),
-            }
+        .select(
+            *named.columns,
+            c.surrogate_key("station_id", "station_name").alias("station_key"),
+            F.expr("coalesce(found_lat, 0D) AS latitude"),
+            F.expr("coalesce(found_lon, 0D) AS longitude"),
         )
     )
 

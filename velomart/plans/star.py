@@ -15,12 +15,11 @@ def dim_bike(stg_hires: DataFrame) -> DataFrame:
     Hires are aggregated to (bike, model) before anything is shuffled by bike, so a bike with a
     huge share of the hires costs no more than any other; the window then sees one row per model.
     """
-    per_model = stg_hires.groupBy("bike_id", "bike_model").agg(F.sum("duration").alias("seconds"))
-    all_models = Window.partitionBy("bike_id")
+    per_model = stg_hires.groupBy("bike_id", "bike_model").agg(F.expr("sum(duration) AS seconds"))
     return per_model.select(
         "bike_id",
         "bike_model",
-        c.whole_minutes(F.sum("seconds").over(all_models)).alias("total_duration_minutes"),
+        c.whole_minutes("(sum(seconds) OVER (PARTITION BY bike_id))").alias("total_duration_minutes"),
     )
 
 
@@ -32,22 +31,22 @@ def dim_station(stg_hires: DataFrame, stations: DataFrame) -> DataFrame:
     by_name = (
         station_ends(stg_hires)
         .groupBy("station_id", "station_name")
-        .agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
+        .agg(F.expr("sum(starts) AS starts"), F.expr("sum(ends) AS ends"))
     )
     by_id = by_name.groupBy("station_id").agg(
-        F.sum("starts").alias("total_start_count"), F.sum("ends").alias("total_end_count")
+        F.expr("sum(starts) AS total_start_count"), F.expr("sum(ends) AS total_end_count")
     )
     return (
         locate(by_name.select("station_id", "station_name"), stations)
         .join(by_id, "station_id", "left")
-        .select(
+        .selectExpr(
             "station_key",
             "station_id",
             "station_name",
             "latitude",
             "longitude",
-            F.coalesce("total_start_count", F.lit(0)).alias("total_start_count"),
-            F.coalesce("total_end_count", F.lit(0)).alias("total_end_count"),
+            "coalesce(total_start_count, 0L) AS total_start_count",
+            "coalesce(total_end_count, 0L) AS total_end_count",
         )
     )
 
@@ -55,15 +54,15 @@ def dim_station(stg_hires: DataFrame, stations: DataFrame) -> DataFrame:
 def fact_hire(stg_hires: DataFrame) -> DataFrame:
     return stg_hires.select(
         "rental_id",
-        F.coalesce(c.whole_minutes(F.col("duration")), F.lit(0)).alias("duration_minutes"),
+        F.coalesce(c.whole_minutes("duration"), F.lit(0)).alias("duration_minutes"),
         "bike_id",
         "start_date",
         "end_date",
         "start_station_id",
         "end_station_id",
-        F.hour("start_date").alias("start_hour"),
+        F.expr("hour(start_date) AS start_hour"),
         c.date_key("start_date").alias("start_date_key"),
-        F.coalesce(c.date_key("end_date"), F.lit(c.OPEN_END_DATE)).alias("end_date_key"),
+        F.expr(f"coalesce(date(end_date), {c.open_end_day()}) AS end_date_key"),
     )
 
 
@@ -75,62 +74,53 @@ def fact_bike_daily_usage(hires: DataFrame, bikes: DataFrame, dates: DataFrame)
     spread over the days up to the bike's next one. The dense rows are produced in place after
     the window and are never shuffled or sorted; a bike's window holds at most one row per day.
 
-    A bike with several model rows repeats each day that often, and since the reference total
-    runs over a RANGE frame, peers on one day all show the sum over all of them.
+    A bike with several model rows repeats each day that often, and since the running total is
+    defined over a RANGE frame, peers on one day all show the sum over all of them.
     """
-    days = dates.where(F.col("date_key") != F.lit(c.OPEN_END_DATE)).select("date_key")
-    span = days.agg(F.min("date_key").alias("first_day"), F.max("date_key").alias("last_day"))
-    model_rows = bikes.groupBy("bike_id").agg(F.count("*").cast("int").alias("model_rows"))
+    days = dates.where(f"date_key <> {c.open_end_day()}").selectExpr("date_key AS day")
+    span = days.agg(F.expr("min(day) AS first_day"), F.expr("max(day) AS last_day"))
+    model_rows = bikes.groupBy("bike_id").agg(F.expr("int(count(*)) AS model_rows"))
 
-    daily = hires.groupBy("bike_id", "start_date_key").agg(
-        F.count("*").alias("hires"), F.sum("duration_minutes").alias("minutes")
-    )
     # A start outside the calendar keeps its row, without a day: the bike was hired all the same.
-    on_calendar = daily.join(
-        days.select("date_key", F.col("date_key").alias("day")),
-        F.col("start_date_key") == F.col("date_key"),
-        "left",
-    ).select("bike_id", "day", "hires", "minutes")
-
-    in_order = Window.partitionBy("bike_id").orderBy(F.col("day").asc_nulls_last())
+    daily = (
+        hires.groupBy("bike_id", "start_date_key")
+        .agg(F.expr("count(*) AS hires"), F.expr("sum(duration_minutes) AS minutes"))
+        .join(days, F.expr("start_date_key = day"), "left")
+        .drop("start_date_key")
+    )
+    # Rows grow about a hundredfold after this shuffle, so its partitions are set by number:
+    # adaptive execution would merge them by the size before the growth.
+    partitions = int(hires.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    daily = daily.repartition(partitions, "bike_id")
+    in_order = Window.partitionBy("bike_id").orderBy(F.asc_nulls_last("day"))
     runs = (
-        on_calendar.select(
+        daily.select(
             "*",
             F.row_number().over(in_order).alias("nth"),
             F.lead("day").over(in_order).alias("next_day"),
             F.sum("minutes").over(in_order).alias("running"),
         )
-        # The first row also covers the days before the first hire.
-        .where(F.col("day").isNotNull() | (F.col("nth") == 1))
+        .where("day IS NOT NULL OR nth = 1")
         .join(model_rows, "bike_id")
         .crossJoin(F.broadcast(span))  # one row
-        .select(
+        .selectExpr(
             "bike_id",
-            "day",
+            "day AS hire_day",
             "hires",
             "minutes",
-            (F.col("running") * F.col("model_rows")).alias("running"),
-            F.explode(
-                F.sequence(
-                    F.when(F.col("nth") == 1, F.col("first_day")).otherwise(F.col("day")),
-                    F.coalesce(F.date_sub("next_day", 1), F.col("last_day")),
-                )
-            ).alias("date_key"),
+            "running * model_rows AS running",
+            # The first row also covers the days before the first hire.
+            "explode(sequence(if(nth = 1, first_day, day), coalesce(date_sub(next_day, 1), last_day))) AS day",
             "model_rows",
         )
+        .join(days, "day", "left_semi")  # leaves out days the calendar skips
     )
-    hired = F.col("date_key") == F.col("day")
-    since = F.col("date_key") >= F.col("day")
-    return (
-        runs.join(days, "date_key", "left_semi")  # leaves out days the calendar skips
-        .select(
-            c.surrogate_key("bike_id", "date_key").alias("bike_usage_key"),
-            "bike_id",
-            "date_key",
-            F.when(hired, F.col("hires")).otherwise(0).alias("hire_count"),
-            F.when(hired, F.col("minutes")).otherwise(0).alias("daily_duration_minutes"),
-            F.when(since, F.col("running")).otherwise(0).alias("cumulative_duration_minutes"),
-            F.explode(F.array_repeat(F.lit(0), F.col("model_rows"))).alias("copy"),
-        )
-        .drop("copy")
-    )
+    return runs.withColumnRenamed("day", "date_key").select(
+        c.surrogate_key("bike_id", "date_key").alias("bike_usage_key"),
+        "bike_id",
+        "date_key",
+        F.expr("if(date_key = hire_day, hires, 0L) AS hire_count"),
+        F.expr("if(date_key = hire_day, minutes, 0L) AS daily_duration_minutes"),
+        F.expr("if(date_key >= hire_day, running, 0L) AS cumulative_duration_minutes"),
+        F.expr("explode(array_repeat(0, model_rows)) AS copy"),
+    ).drop("copy")

@@ -17,27 +17,22 @@ def station_net_inflow(hires: DataFrame, stations: DataFrame) -> DataFrame:
     outer join, but for hires whose station has no name: there the two lists do not match each
     other, so the starts stand alone (net below 0) and the ends are filtered out.
     """
-    ends = F.inline(
-        F.array(
-            F.struct(F.col("start_station_id").alias("station_id"), F.lit(1).alias("s"), F.lit(0).alias("e")),
-            F.struct(F.col("end_station_id").alias("station_id"), F.lit(0).alias("s"), F.lit(1).alias("e")),
-        )
+    ends = hires.selectExpr(
+        """inline(array(named_struct('station_id', start_station_id, 'starts', 1, 'ends', 0),
+                        named_struct('station_id', end_station_id, 'starts', 0, 'ends', 1)))"""
     )
-    per_id = hires.select(ends).groupBy("station_id").agg(F.sum("s").alias("s"), F.sum("e").alias("e"))
+    per_id = ends.groupBy("station_id").agg(F.expr("sum(starts) AS starts"), F.expr("sum(ends) AS ends"))
     per_name = (
         per_id.join(stations.select("station_id", "station_name"), "station_id", "left")
         .groupBy("station_name")
-        .agg(F.sum("s").alias("rides_started"), F.sum("e").alias("all_ended"))
+        .agg(F.expr("sum(starts) AS rides_started"), F.expr("sum(ends) AS ends"))
     )
-    named = F.col("station_name").isNotNull()
     return (
-        per_name.select(
-            "station_name",
-            "rides_started",
-            F.when(named, F.col("all_ended")).otherwise(0).alias("rides_ended"),
+        per_name.selectExpr(
+            "station_name", "rides_started", "if(station_name IS NULL, 0L, ends) AS rides_ended"
         )
-        .withColumn("net_inflow", F.col("rides_ended") - F.col("rides_started"))
-        .where(F.col("net_inflow") < 0)
+        .selectExpr("*", "rides_ended - rides_started AS net_inflow")
+        .where("net_inflow < 0")
         .orderBy("net_inflow", "station_name")
     )
 
@@ -48,11 +43,11 @@ def top_net_outflow(hires: DataFrame, stations: DataFrame, n: int = 10) -> DataF
 
 def top_start_stations(hires: DataFrame, stations: DataFrame, n: int = 10) -> DataFrame:
     """The names most rides start from; an id's rides count for each of its names."""
-    per_id = hires.groupBy("start_station_id").agg(F.count("*").alias("rides"))
+    per_id = hires.groupBy("start_station_id").agg(F.expr("count(*) AS rides"))
     return (
-        per_id.join(stations, F.col("start_station_id") == F.col("station_id"))
+        per_id.join(stations, F.expr("start_station_id = station_id"))
         .groupBy("station_name")
-        .agg(F.sum("rides").alias("total_rides"))
+        .agg(F.expr("sum(rides) AS total_rides"))
         .orderBy(F.desc("total_rides"), "station_name")
         .limit(n)
     )
@@ -60,23 +55,15 @@ def top_start_stations(hires: DataFrame, stations: DataFrame, n: int = 10) -> Da
 
 def station_heat_matches(raw_stations: DataFrame, stations: DataFrame) -> DataFrame:
     """Raw stations with the traffic found under (id, name) and under (terminal, name)."""
-    traffic = stations.select(
-        "station_id",
-        "station_name",
-        (F.col("total_start_count") + F.col("total_end_count")).alias("traffic"),
-    )
     matched = raw_stations
     for key, found in (("id", "weight_by_id"), ("terminal_name", "weight_by_terminal")):
-        side = traffic.select(
-            F.col("station_id").alias("match_id"),
-            F.col("station_name").alias("match_name"),
-            F.col("traffic").alias(found),
+        traffic = stations.selectExpr(
+            "station_id AS match_id",
+            "station_name AS match_name",
+            f"total_start_count + total_end_count AS {found}",
         )
-        matched = matched.join(
-            side,
-            (matched[key].cast("long") == side["match_id"]) & (matched["name"] == side["match_name"]),
-            "left",
-        ).drop("match_id", "match_name")
+        same = F.expr(f"cast({key} AS bigint) = match_id AND name = match_name")
+        matched = matched.join(traffic, same, "left").drop("match_id", "match_name")
     return matched
 
 
@@ -84,7 +71,7 @@ def station_heat_unmatched(raw_stations: DataFrame, stations: DataFrame) -> Data
     """Raw stations without traffic under either key."""
     matches = station_heat_matches(raw_stations, stations)
     return matches.where(
-        F.col("weight_by_id").isNull() & F.col("weight_by_terminal").isNull()
+        "weight_by_id IS NULL AND weight_by_terminal IS NULL"
     ).select("id", "name", "terminal_name")
 
 
@@ -100,5 +87,5 @@ def station_heat(raw_stations: DataFrame, stations: DataFrame) -> DataFrame:
 def heat_has_missing(heat: DataFrame) -> DataFrame:
     """Whether any heat row lacks a value, per column."""
     return heat.agg(
-        *[F.coalesce(F.max(F.col(x).isNull()), F.lit(False)).alias(f"{x}_missing") for x in heat.columns]
+        *[F.expr(f"coalesce(max({x} IS NULL), false) AS {x}_missing") for x in heat.columns]
     )

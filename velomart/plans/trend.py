@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velomart.functions import columns as c
@@ -15,19 +15,19 @@ def trend_month_model(hires: DataFrame, bikes: DataFrame, cutoff: str = c.MODEL_
     per bike and month instead of one per hire. A bike with two models counts for both.
     """
     per_bike = (
-        hires.where(F.col("start_date").isNotNull())
+        hires.where("start_date IS NOT NULL")
         .groupBy(
             c.month_label("start_date").alias("year_month"),
-            (F.col("start_date") < F.lit(cutoff).cast("timestamp_ntz")).alias("before_models"),
+            F.expr(f"start_date < TIMESTAMP_NTZ'{cutoff} 00:00:00' AS before_models"),
             "bike_id",
         )
-        .agg(F.count("*").alias("trips"))
+        .agg(F.expr("count(*) AS trips"))
     )
-    label = F.when(F.col("before_models"), c.PRE_MODEL_ERA).otherwise(F.col("bike_model"))
+    label = F.expr(f"if(before_models, '{c.PRE_MODEL_ERA}', bike_model) AS bike_model")
     return (
         per_bike.join(bikes.select("bike_id", "bike_model"), "bike_id")
-        .groupBy("year_month", label.alias("bike_model"))
-        .agg(F.sum("trips").alias("trip_count"))
+        .groupBy("year_month", label)
+        .agg(F.expr("sum(trips) AS trip_count"))
         .orderBy("year_month", "bike_model")
     )
 
@@ -42,11 +42,12 @@ def trend_pivot(trend: DataFrame, models: list[str] | None = None) -> DataFrame:
 
 def _from_modern_start(months: DataFrame, trend: DataFrame) -> DataFrame:
     """Rows of ``months`` from the first month in ``trend`` with trips by model on."""
-    modern = (F.col("bike_model") != c.PRE_MODEL_ERA) & (F.col("trip_count") > 0)
-    first = trend.where(modern).agg(F.min("year_month").alias("first_month"))
+    first = trend.where(f"bike_model <> '{c.PRE_MODEL_ERA}' AND trip_count > 0").agg(
+        F.expr("min(year_month) AS first_month")
+    )
     return (
         months.crossJoin(F.broadcast(first))  # one row
-        .where(F.col("year_month") >= F.col("first_month"))
+        .where("year_month >= first_month")
         .drop("first_month")
     )
 
@@ -58,12 +59,11 @@ def trend_modern_era(trend: DataFrame, models: list[str] | None = None) -> DataF
 
 def trend_share(trend: DataFrame) -> DataFrame:
     """Percent of each modern month's trips by model; a month's rows are one per model."""
-    month = Window.partitionBy("year_month")
-    return _from_modern_start(trend, trend).select(
+    return _from_modern_start(trend, trend).selectExpr(
         "year_month",
         "bike_model",
         "trip_count",
-        (F.col("trip_count") / F.sum("trip_count").over(month) * F.lit(100.0)).alias("pct_of_month"),
+        "trip_count / sum(trip_count) OVER (PARTITION BY year_month) * 100.0D AS pct_of_month",
     )
 
 

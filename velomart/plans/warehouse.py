@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from velomart.plans import altstar, calendar, staging, star
-from velomart.sinks.tables import write_partitioned
+from velomart.sinks.tables import staged, write_partitioned
 
 # Partition column and clustering of the partitioned tables.
 PARTITIONED = {
@@ -45,10 +45,12 @@ class Warehouse:
 def build_star(warehouse: Warehouse, hires: DataFrame, stations: DataFrame, dates: DataFrame | None = None):
     """Build the star tables from raw data; returns them by name, read from the written files.
 
-    Staging stays a view: its station lookups are broadcast, so it is a projection over the
-    raw scan, and reading a few raw columns again is cheaper than writing all of it.
+    Staging stays a view over the raw scan: reading the raw columns a table needs again is
+    cheaper than writing all of them. Its two station lookups are written once.
     """
-    staged_hires = staging.stg_cycle_hire(hires, stations)
+    by_start, by_end = staging.station_lookups(hires, stations)
+    lookups = staged(by_start, "start_lookup"), staged(by_end, "end_lookup")
+    staged_hires = staging.stg_cycle_hire(hires, stations, lookups)
     tables = {}
     tables["dim_date"] = warehouse.save(
         "dim_date", (calendar.dim_date(warehouse.spark) if dates is None else dates).coalesce(1)

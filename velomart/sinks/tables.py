@@ -11,22 +11,23 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+LOCAL_FOLDER = "velomart.local.folder"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names for checkpoints; in local mode a temporary one if unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_FOLDER, None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="velomart-")
-    spark.conf.set("velomart.local.folder", folder)
-    return folder
+    spark.conf.set(LOCAL_FOLDER, tempfile.mkdtemp(prefix="velomart-"))
+    return spark.conf.get(LOCAL_FOLDER)
 
 
 def work_folder(spark: SparkSession) -> str:
     """One folder per use below the shared one, so runs never overwrite each other."""
-    base = spark.conf.get("velomart.local.folder", None) or shared_folder(spark)
-    return f"{base}/velomart/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/velomart/{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str = "table") -> DataFrame:
