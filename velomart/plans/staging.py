@@ -8,31 +8,34 @@ from pyspark.sql import functions as F
 from velomart.functions import columns as c
 
 
-def stations_for_missing_ids(hires: DataFrame, stations: DataFrame, side: str) -> DataFrame:
-    """Stations whose name occurs among the hires that lack a station id on ``side``.
+def station_lookups(hires: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per side of a hire, the stations whose name occurs among the hires lacking an id there.
 
-    A semi join, not an inner join against the grouped names: the rows are the same, and the
-    planner's size estimate stays that of ``stations``, so the later lookup is broadcast only
-    if that table is under the broadcast threshold. The IS NULL filter reaches the Parquet scan.
+    One pass over the hires finds the names for both sides: a bit per side, or-ed per name, so
+    both lookups filter the same aggregate and Spark runs its shuffle once. The IS NULL tests
+    reach the Parquet scan. The names are semi-joined: the rows are those of an inner join, and
+    the planner's size estimate stays that of ``stations``, so the hires get a lookup broadcast
+    only if that table is under the broadcast threshold.
     """
     names = (
-        hires.where(f"{side}_station_id IS NULL")
-        .selectExpr(f"{side}_station_name AS name")
-        .distinct()
-    )
-    return (
-        stations.select("id", "name")
-        .join(names, "name", "left_semi")
-        .selectExpr(f"id AS found_{side}_id", f"name AS found_{side}_name")
+        hires.where("start_station_id IS NULL OR end_station_id IS NULL")
+        .selectExpr(
+            """inline(array(
+                 named_struct('name', start_station_name, 'side', if(start_station_id IS NULL, 1, 0)),
+                 named_struct('name', end_station_name, 'side', if(end_station_id IS NULL, 2, 0))))"""
+        )
+        .groupBy("name")
+        .agg(F.expr("bit_or(side) AS sides"))
     )
 
+    def lookup(side: str, bit: int) -> DataFrame:
+        return (
+            stations.select("id", "name")
+            .join(names.where(f"sides & {bit} <> 0"), "name", "left_semi")
+            .selectExpr(f"id AS found_{side}_id", f"name AS found_{side}_name")
+        )
 
-def station_lookups(hires: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two lookups ``stg_cycle_hire`` fills ids from. Each reads the hires once."""
-    return (
-        stations_for_missing_ids(hires, stations, "start"),
-        stations_for_missing_ids(hires, stations, "end"),
-    )
+    return lookup("start", 1), lookup("end", 2)
 
 
 def stg_cycle_hire(
