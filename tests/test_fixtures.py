@@ -252,7 +252,7 @@ def test_active_and_retired_at_the_fourteen_day_border(spark):
         life(3, 3, first, END - dt.timedelta(days=14, microseconds=1)),
         life(4, 4, first, None),
     )
-    assert rows(lifecycle.bike_durations(facts), "bike_id", "status") == [
+    assert rows(lifecycle.bike_durations(lifecycle.hire_spans(facts)), "bike_id", "status") == [
         (1, "active"), (2, "active"), (3, "retired"), (4, "active")
     ]
 
@@ -261,7 +261,7 @@ def test_whole_years_open_the_next_bin(spark):
     year = dt.timedelta(seconds=31_557_600)
     facts = fact(spark, *[life(n, n, END - year * n, END) for n in (1, 2, 3, 4)],
                  life(9, 9, END - year + dt.timedelta(microseconds=1), END))
-    bins = lifecycle.lifecycle_histogram(lifecycle.bike_durations(facts))
+    bins = lifecycle.lifecycle_histogram(lifecycle.bike_durations(lifecycle.hire_spans(facts)))
     assert rows(bins, "bin_order", "duration_bin", "bike_count", "pct_of_group") == [
         (1, "0-1 yrs", 1, 20.0), (2, "1-2 yrs", 1, 20.0), (3, "2-3 yrs", 1, 20.0),
         (4, "3-4 yrs", 1, 20.0), (5, "4+ yrs", 1, 20.0),
@@ -271,7 +271,7 @@ def test_whole_years_open_the_next_bin(spark):
 def test_combined_sections_split_again(spark):
     year = dt.timedelta(seconds=31_557_600)
     facts = fact(spark, life(1, 7, END - year, END), life(2, 8, END - 2 * year, END), life(3, 9, END - 4 * year, END - 3 * year))
-    durations = lifecycle.bike_durations(facts)
+    durations = lifecycle.bike_durations(lifecycle.hire_spans(facts))
     combined = lifecycle.lifecycle_combined(durations)
     assert len(combined.columns) == 15
     assert [r.result_type for r in combined.collect()] == ["detail"] * 3 + ["summary"] * 2 + ["histogram"] * 3

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from velomart.functions import columns as c
 from velomart.operators.aggregates import distinct_counts, exact_median, table_profile
+from velomart.operators.sorting import head, tail
 from velomart.operators.windows import first_per_key
 
 
@@ -40,6 +41,12 @@ def test_first_per_key_takes_one_row_per_key_and_limits_before_the_shuffle(spark
     assert rows(best) == [(1, 9, "b"), (2, None, "d")]
 
 
+def test_head_and_tail(spark):
+    df = spark.range(20).selectExpr("19 - id AS v").repartition(4)
+    assert [r.v for r in head(df, "v", 3).collect()] == [0, 1, 2]
+    assert [r.v for r in tail(df, "v", 3).collect()] == [17, 18, 19]
+
+
 def test_distinct_counts_ignore_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "x int, `y z` string")
     assert rows(distinct_counts(df)) == [("x", 2), ("y z", 2)]

@@ -48,6 +48,14 @@ def test_names_for_both_lookups_are_shuffled_once(raw):
     assert plan(df).split("Initial Plan")[0].count("ReusedExchange") == 1
 
 
+def test_station_counts_and_names_come_from_one_pass(raw):
+    df = star.dim_station(staging.stg_cycle_hire(*raw), raw[1])
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    # hires: the lookups' pass and the main one; stations: two lookups and the coordinates
+    assert final.count("FileScan parquet") == 5
+
+
 def test_without_a_broadcast_staging_still_joins_by_key(spark, raw):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
@@ -109,5 +117,5 @@ def test_alternative_fact_joins_the_written_station_list(spark, raw):
 
 
 def test_lifecycle_reads_hires_once_when_staged(spark, models):
-    durations = staged(lifecycle.bike_durations(models["fact"]), "durations")
+    durations = lifecycle.bike_durations(staged(lifecycle.hire_spans(models["fact"]), "spans"))
     assert "start_station_id" not in plan(lifecycle.lifecycle_combined(durations))

@@ -11,20 +11,24 @@ from velomart.operators.aggregates import exact_median
 RETIRED_AFTER_DAYS = 14
 
 
-def bike_durations(hires: DataFrame) -> DataFrame:
-    """First and last hire, status and years in service per bike.
+def hire_spans(hires: DataFrame) -> DataFrame:
+    """First start and last end per bike: the one pass over the hires everything here needs."""
+    return hires.groupBy("bike_id").agg(
+        F.expr("min(start_date) AS first_hire_date"), F.expr("max(end_date) AS last_hire_date")
+    )
+
+
+def bike_durations(spans: DataFrame) -> DataFrame:
+    """Status and years in service per bike. Reads ``spans`` twice: pass a written table.
 
     Retired: last end more than 14 days before the latest end of all. A bike that never
     finished a hire counts as active, up to the latest end of all.
     """
-    per_bike = hires.groupBy("bike_id").agg(
-        F.expr("min(start_date) AS first_hire_date"), F.expr("max(end_date) AS last_hire_date")
-    )
-    latest = hires.agg(F.expr("max(end_date) AS latest_end_date"))
+    latest = spans.agg(F.expr("max(last_hire_date) AS latest_end_date"))
     retired = f"last_hire_date < latest_end_date - INTERVAL {RETIRED_AFTER_DAYS} DAY"
     until = f"if({retired}, last_hire_date, latest_end_date)"
     return (
-        per_bike.crossJoin(F.broadcast(latest))  # one row
+        spans.crossJoin(F.broadcast(latest))  # one row
         .select(
             "*",
             F.expr(f"if({retired}, 'retired', 'active') AS status"),

@@ -78,11 +78,10 @@ def station_ends(hires: DataFrame) -> DataFrame:
 
 
 def locate(named: DataFrame, stations: DataFrame) -> DataFrame:
-    """Add key and coordinates to (station_id, station_name) rows; unnamed ones are dropped."""
+    """Add key and coordinates (0 if unknown) to (station_id, station_name) rows."""
     places = stations.selectExpr("id AS station_id", "latitude AS found_lat", "longitude AS found_lon")
     return (
-        named.where("station_name IS NOT NULL")
-        .join(places, "station_id", "left")
+        named.join(places, "station_id", "left")
         .select(
             *named.columns,
             c.surrogate_key("station_id", "station_name").alias("station_key"),
@@ -95,6 +94,6 @@ def locate(named: DataFrame, stations: DataFrame) -> DataFrame:
 def stg_cycle_stations(stg_hires: DataFrame, stations: DataFrame) -> DataFrame:
     """Every (station id, name) seen at either end of a hire, with its place."""
     seen = station_ends(stg_hires).select("station_id", "station_name").distinct()
-    return locate(seen, stations).select(
+    return locate(seen.where("station_name IS NOT NULL"), stations).select(
         "station_key", "station_id", "station_name", "latitude", "longitude"
     )

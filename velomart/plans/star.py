@@ -26,7 +26,10 @@ def dim_bike(stg_hires: DataFrame) -> DataFrame:
 def dim_station(stg_hires: DataFrame, stations: DataFrame) -> DataFrame:
     """Stations with their start and end counts; an id's counts repeat on each of its names.
 
-    One pass over the hires yields the distinct stations and the counts together.
+    One pass over the hires yields the distinct stations and the counts together. ``by_name``
+    is used twice; so that its shuffle runs once, both uses must need the same aggregate. Hence
+    the unnamed stations are left out by a condition on the counts, which cannot move below
+    the aggregate as a plain NULL test would.
     """
     by_name = (
         station_ends(stg_hires)
@@ -36,8 +39,9 @@ def dim_station(stg_hires: DataFrame, stations: DataFrame) -> DataFrame:
     by_id = by_name.groupBy("station_id").agg(
         F.expr("sum(starts) AS total_start_count"), F.expr("sum(ends) AS total_end_count")
     )
+    named = by_name.where("(starts + ends) * int(station_name IS NOT NULL) > 0")
     return (
-        locate(by_name.select("station_id", "station_name"), stations)
+        locate(named.select("station_id", "station_name"), stations)
         .join(by_id, "station_id", "left")
         .selectExpr(
             "station_key",

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velomart.operators import aggregates, quality
+from velomart.operators import aggregates, quality, sorting
 from velomart.plans import (
     altstar, calendar, checks, demand, fleet, lifecycle, staging, star, stations, trend, warehouse,
 )
@@ -72,7 +72,8 @@ class Models:
 
     @cached_property
     def durations(self):
-        return staged(lifecycle.bike_durations(self.fact_hire), "durations")
+        """Over the staged spans, so the hires are read once."""
+        return lifecycle.bike_durations(staged(lifecycle.hire_spans(self.fact_hire), "spans"))
 
     @cached_property
     def rentals(self):
@@ -235,16 +236,15 @@ LONG: dict[str, Callable[[Models], DataFrame]] = {
     "trend_modern_era": lambda m: trend.trend_modern_era(m.month_trend),
     "trend_share": lambda m: trend.trend_share(m.month_trend),
     "trend_share_pivot": lambda m: trend.trend_share_pivot(m.month_trend),
-    "lifecycle_detail": lambda m: lifecycle.lifecycle_detail(lifecycle.bike_durations(m.fact_hire)),
+    "lifecycle_detail": lambda m: lifecycle.lifecycle_detail(m.durations),
     "lifecycle_summary": lambda m: lifecycle.lifecycle_summary(m.durations),
-    "lifecycle_histogram": lambda m: lifecycle.lifecycle_histogram(
-        lifecycle.bike_durations(m.fact_hire)
-    ),
+    "lifecycle_histogram": lambda m: lifecycle.lifecycle_histogram(m.durations),
     "lifecycle_combined": lambda m: lifecycle.lifecycle_combined(m.durations),
     "lifecycle_section_detail": _lifecycle_section("detail"),
     "lifecycle_section_summary": _lifecycle_section("summary"),
     "lifecycle_section_histogram": _lifecycle_section("histogram"),
     "rentals_by_calendar": lambda m: m.rentals,
+    "monthly_series_tail": lambda m: sorting.tail(demand.monthly_series(m.rentals), "month_start", 5),
     "monthly_series": lambda m: demand.monthly_series(m.rentals),
     "weekday_winter_series": lambda m: demand.weekday_winter_series(m.rentals),
     "weekday_winter_mean": lambda m: demand.weekday_winter_mean(m.rentals),
