@@ -69,6 +69,46 @@ def test_without_a_broadcast_staging_still_joins_by_key(spark, raw):
     assert without == sorted(map(repr, staging.stg_cycle_hire(*raw).collect()))
 
 
+SMALL_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+}
+
+
+@pytest.mark.parametrize("model", ["staging", "alternative fact"])
+def test_hot_station_is_split_when_stations_are_too_large_to_broadcast(spark, raw, model):
+    """A third of the hires start at one station and a third have no station at all."""
+    hot = staged(
+        raw[0].crossJoin(spark.range(60).withColumnRenamed("id", "n")).selectExpr(
+            *[name for name in raw[0].columns if not name.startswith("start_station_")],
+            "CASE n % 3 WHEN 0 THEN 4 WHEN 1 THEN start_station_id END AS start_station_id",
+            "CASE n % 3 WHEN 0 THEN 'Station 4' WHEN 1 THEN start_station_name END AS start_station_name",
+            "start_station_logical_terminal",
+        ).repartition(16),
+        "hot",
+    )
+    stations_list = staged(altstar.dim_station(hot), "dim")
+
+    def build():
+        if model == "staging":
+            return staging.stg_cycle_hire(hot, raw[1]).groupBy("start_station_id").count()
+        return altstar.fact_hires(hot, stations_list).groupBy("start_station_key").count()
+
+    plain = build().collect()
+    for key, value in SMALL_SKEW.items():
+        spark.conf.set(key, value)
+    try:
+        split = build()
+        assert sorted(split.collect()) == sorted(plain)
+        assert "SortMergeJoin(skew=true)" in plan(split)
+    finally:
+        for key in SMALL_SKEW:
+            spark.conf.unset(key)
+
+
 def test_queries_read_only_the_columns_they_need(models):
     text = plan(demand.rides_by_hour(models["fact"]))
     assert "ReadSchema: struct<start_hour:int>" in text

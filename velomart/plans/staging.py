@@ -15,7 +15,10 @@ def station_lookups(hires: DataFrame, stations: DataFrame) -> tuple[DataFrame, D
     both lookups filter the same aggregate and Spark runs its shuffle once. The IS NULL tests
     reach the Parquet scan. The names are semi-joined: the rows are those of an inner join, and
     the planner's size estimate stays that of ``stations``, so the hires get a lookup broadcast
-    only if that table is under the broadcast threshold.
+    only if that table is under the broadcast threshold. Beyond it the hires are shuffled by
+    name, and a hot name's partition is split at run time, which takes a shuffle right below
+    both sides of that join. The redundant second key of the semi join sees to it: without it
+    the lookup would be partitioned by name already and skip its shuffle.
     """
     names = (
         hires.where("start_station_id IS NULL OR end_station_id IS NULL")
@@ -26,12 +29,13 @@ def station_lookups(hires: DataFrame, stations: DataFrame) -> tuple[DataFrame, D
         )
         .groupBy("name")
         .agg(F.expr("bit_or(side) AS sides"))
+        .selectExpr("name", "length(name) AS chars", "sides")
     )
+    named = stations.selectExpr("id", "name", "length(name) AS chars")
 
     def lookup(side: str, bit: int) -> DataFrame:
         return (
-            stations.select("id", "name")
-            .join(names.where(f"sides & {bit} <> 0"), "name", "left_semi")
+            named.join(names.where(f"sides & {bit} <> 0"), ["name", "chars"], "left_semi")
             .selectExpr(f"id AS found_{side}_id", f"name AS found_{side}_name")
         )
 

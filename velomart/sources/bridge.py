@@ -53,7 +53,7 @@ def hires_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stations_from_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw ``cycle_stations``; every seventh name belongs to two stations."""
+    """Raw ``cycle_stations``; every seventh name belongs to two, every seventeenth is never used."""
     return (
         _table(spark, sf_dir, "supplier", SUPPLIER)
         .selectExpr("s_suppkey + 1 AS number", "cast(s_nationkey AS double) AS nation")
@@ -65,7 +65,7 @@ def stations_from_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .selectExpr(
             "number + shift AS id",
-            "concat('Station ', number) AS name",
+            "concat(if(number % 17 = 0, 'Dock ', 'Station '), number) AS name",
             "51.5D + nation * 0.01D AS latitude",
             "-0.1D - nation * 0.01D AS longitude",
             "number + shift + 1000 AS terminal_name",
