@@ -59,9 +59,20 @@ def exact_median(df: DataFrame, group: str, value: str, widths: tuple[int, ...])
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """(column_name, distinct_count) for every column, exact, NULLs not counted."""
-    wide = df.agg(*[F.count_distinct(F.col(name)).alias(name) for name in df.columns])
-    return wide.unpivot([], df.columns, "column_name", "distinct_count")
+    """(column_name, distinct_count) for every column, exact, NULLs not counted.
+
+    One narrow distinct per column: each reads and shuffles a single column. All counts in one
+    aggregate would multiply every row by the number of columns, each copy as wide as the row.
+    Pass a table, not a long plan: the branches read it side by side.
+    """
+    counts = [
+        df.select(F.col(f"`{name}`").alias("value"))
+        .where("value IS NOT NULL")
+        .distinct()
+        .agg(F.lit(name).alias("column_name"), F.count("*").alias("distinct_count"))
+        for name in df.columns
+    ]
+    return reduce(DataFrame.unionAll, counts)
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:

@@ -94,6 +94,12 @@ def long_hires(spark: SparkSession, sf_dir: str) -> Models:
     )
 
 
+def _profile(m: Models) -> DataFrame:
+    """Distinct counts over built tables."""
+    tables = {"fact_hire": m.fact_hire, "dim_bike": m.dim_bike, "dim_station": m.dim_station}
+    return aggregates.table_profile({name: staged(df, name) for name, df in tables.items()})
+
+
 def _unique_report(m: Models) -> DataFrame:
     hits = {
         "fact_hire.rental_id": quality.unique_offenders(m.fact_hire, "rental_id"),
@@ -213,9 +219,7 @@ SHORT: dict[str, Callable[[Models], DataFrame]] = {
     "bike_last_location": lambda m: fleet.bike_last_location(m.fact_hire, m.dim_bike),
     "bike_idle_days": lambda m: fleet.bike_idle_days(fleet.bike_last_location(m.fact_hire, m.dim_bike)),
     # checks and profiles
-    "profile_distinct": lambda m: aggregates.table_profile(
-        {"fact_hire": m.fact_hire, "dim_bike": m.dim_bike, "dim_station": m.dim_station}
-    ),
+    "profile_distinct": _profile,
     "dq_unique": _unique_report,
     "dq_not_null": lambda m: quality.null_offenders(m.stg_hires, "end_date"),
     "dq_relationships": _relationship_report,
