@@ -24,11 +24,11 @@ def bike_durations(spans: DataFrame) -> DataFrame:
     Retired: last end more than 14 days before the latest end of all. A bike that never
     finished a hire counts as active, up to the latest end of all.
     """
-    latest = spans.agg(F.expr("max(last_hire_date) AS latest_end_date"))
+    latest = spans.agg(F.max("last_hire_date")).scalar()
     retired = f"last_hire_date < latest_end_date - INTERVAL {RETIRED_AFTER_DAYS} DAY"
     until = f"if({retired}, last_hire_date, latest_end_date)"
     return (
-        spans.crossJoin(F.broadcast(latest))  # one row
+        spans.withColumn("latest_end_date", latest)
         .select(
             "*",
             F.expr(f"if({retired}, 'retired', 'active') AS status"),

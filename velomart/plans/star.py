@@ -82,7 +82,6 @@ def fact_bike_daily_usage(hires: DataFrame, bikes: DataFrame, dates: DataFrame)
     defined over a RANGE frame, peers on one day all show the sum over all of them.
     """
     days = dates.where(f"date_key <> {c.open_end_day()}").selectExpr("date_key AS day")
-    span = days.agg(F.expr("min(day) AS first_day"), F.expr("max(day) AS last_day"))
     model_rows = bikes.groupBy("bike_id").agg(F.expr("int(count(*)) AS model_rows"))
 
     # A start outside the calendar keeps its row, without a day: the bike was hired all the same.
@@ -106,7 +105,12 @@ def fact_bike_daily_usage(hires: DataFrame, bikes: DataFrame, dates: DataFrame)
         )
         .where("day IS NOT NULL OR nth = 1")
         .join(model_rows, "bike_id")
-        .crossJoin(F.broadcast(span))  # one row
+        .withColumns(
+            {
+                "first_day": days.agg(F.min("day")).scalar(),
+                "last_day": days.agg(F.max("day")).scalar(),
+            }
+        )
         .selectExpr(
             "bike_id",
             "day AS hire_day",

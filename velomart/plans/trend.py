@@ -42,14 +42,9 @@ def trend_pivot(trend: DataFrame, models: list[str] | None = None) -> DataFrame:
 
 def _from_modern_start(months: DataFrame, trend: DataFrame) -> DataFrame:
     """Rows of ``months`` from the first month in ``trend`` with trips by model on."""
-    first = trend.where(f"bike_model <> '{c.PRE_MODEL_ERA}' AND trip_count > 0").agg(
-        F.expr("min(year_month) AS first_month")
-    )
-    return (
-        months.crossJoin(F.broadcast(first))  # one row
-        .where("year_month >= first_month")
-        .drop("first_month")
-    )
+    by_model = trend.where(f"bike_model <> '{c.PRE_MODEL_ERA}' AND trip_count > 0")
+    first = by_model.agg(F.min("year_month")).scalar()
+    return months.where(F.col("year_month") >= first)
 
 
 def trend_modern_era(trend: DataFrame, models: list[str] | None = None) -> DataFrame:
