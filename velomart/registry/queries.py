@@ -118,15 +118,17 @@ def _unique_report(m: Models) -> DataFrame:
 
 
 def _relationship_report(m: Models) -> DataFrame:
+    """Foreign keys of built tables without their parent."""
+    hires, stations_built = staged(m.fact_hire, "fact_hire"), staged(m.dim_station, "dim_station")
     pairs = [
-        ("start_station_id", m.dim_station, "station_id"),
-        ("end_station_id", m.dim_station, "station_id"),
+        ("start_station_id", stations_built, "station_id"),
+        ("end_station_id", stations_built, "station_id"),
         ("start_date_key", m.dim_date, "date_key"),
         ("end_date_key", m.dim_date, "date_key"),
     ]
     result = None
     for column, parent, key in pairs:
-        part = quality.orphan_offenders(m.fact_hire, column, parent, key).select(
+        part = quality.orphan_offenders(hires, column, parent, key).select(
             F.lit(column).alias("child_column"), F.col(column).cast("string").alias("value"), "child_rows"
         )
         result = part if result is None else result.unionByName(part)
