@@ -87,7 +87,7 @@ def fact_bike_daily_usage(hires: DataFrame, bikes: DataFrame, dates: DataFrame)
     # A start outside the calendar keeps its row, without a day: the bike was hired all the same.
     daily = (
         hires.groupBy("bike_id", "start_date_key")
-        .agg(F.expr("count(*) AS hires"), F.expr("sum(duration_minutes) AS minutes"))
+        .agg(F.expr("count(*) AS hires"), F.expr("coalesce(sum(duration_minutes), 0L) AS minutes"))
         .join(days, F.expr("start_date_key = day"), "left")
         .drop("start_date_key")
     )
