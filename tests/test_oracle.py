@@ -6,10 +6,11 @@ import pytest
 from compare import TESTDATA, both, connect
 
 import __spark_entry__ as contract
+from velomart.registry.oracle import all_sql
 from velomart.registry.queries import all_queries, short_hires
 
 SF = f"{TESTDATA}/sf0.001"
-QUERIES, TWINS = contract.queries(), contract.oracle_sql()
+QUERIES, TWINS = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 
@@ -11,23 +10,38 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-LOCAL_FOLDER = "velomart.local.folder"
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches: the one named for checkpoints, or else the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; in local mode a temporary one if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_FOLDER, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.conf.set(LOCAL_FOLDER, tempfile.mkdtemp(prefix="velomart-"))
-    return spark.conf.get(LOCAL_FOLDER)
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; removed when its JVM ends."""
+    path = f"{shared_folder(spark)}/_velomart/{spark.sparkContext.applicationId}"
+    if path not in _REMOVED_AT_END:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _REMOVED_AT_END.add(path)
+    return path
+
+
+_REMOVED_AT_END: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables now; frames that read them become invalid."""
+    path = f"{shared_folder(spark)}/_velomart/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _REMOVED_AT_END.discard(path)
 
 
 def work_folder(spark: SparkSession) -> str:
-    """One folder per use below the shared one, so runs never overwrite each other."""
-    return f"{shared_folder(spark)}/velomart/{uuid.uuid4().hex}"
+    """One folder per use below the run's folder, so uses never overwrite each other."""
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str = "table") -> DataFrame:
