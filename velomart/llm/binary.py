@@ -124,7 +124,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, width: int =
     shared = spark.sparkContext.broadcast(dictionary)
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, partition = UnitEncoder(tokenizer, True, end_id), TaskContext.get().partitionId()
+        encoder, partition = UnitEncoder.of_worker(tokenizer, True, end_id), TaskContext.get().partitionId()
         rows, size, place = [], 0, 0
 
         def made():

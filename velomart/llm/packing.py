@@ -123,7 +123,7 @@ def token_pieces(
     size = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer, leading_space, end_id)
+        encoder = UnitEncoder.of_worker(tokenizer, leading_space, end_id)
         for batch in batches:
             rows, piece, start, ids = [], [], [], []
             for row, whole in enumerate(encoder.encode(batch.column("text").to_pylist())):

@@ -2,25 +2,42 @@
 
 Both tokenizers treat what stands between single spaces independently, so the ids of a text are
 those of its space-separated units one after another. Each worker keeps the units it has met;
-the tokenizer itself sees a unit once.
+the tokenizer itself sees a unit once as long as it is kept.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import sys
+import types
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 
-CACHE_CHARS = 12_000_000
+#: Units that one worker keeps at most; beyond that the older half goes.
+CACHE_UNITS = 1_000_000
+
+#: A line with a Latin word, and a full stop or comma after it: both pre-tokenizers split it in the same way.
+LATIN = "^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)$"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write byte b as a letter: printable ones as themselves, the others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class UnitEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    ``leading_space``: a byte-level tokenizer keeps the space before a unit as part of it; a
-    text in which a unit is empty (spaces in a row, or at an end) then goes to the tokenizer whole.
-    A null text counts as empty. The memory of units is emptied beyond ``CACHE_CHARS`` characters.
+    Without ``leading_space`` the tokenizer drops white space and lower-cases letters. With it, it is
+    byte-level: a line break is a token of its own, the space before a unit belongs to the unit,
+    and the first unit of a line is another word than the same unit after a space. A text with white
+    space in a row, or at its ends, then goes to the tokenizer whole. A null text counts as empty.
     """
 
     def __init__(self, path: str, leading_space: bool, end_id: int):
@@ -28,40 +45,75 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.prefix = " " if leading_space else ""
+        self.model = Tokenizer(self.tokenizer.model)  # the merges alone, for words already prepared
+        self.latin = re.compile(LATIN, re.MULTILINE)
+        self.letters = _byte_letters()
+        self.leading_space = leading_space
         self.end = np.array([end_id], "<u4").tobytes()
         self.known: dict[str, bytes] = {}
-        self.chars = 0
+        self.first: dict[str, bytes] = {}  # of units at the start of a line
+        self.stops = dict(zip(".,\n", self._direct([".", ",", "\n"]), strict=True))
+
+    @classmethod
+    def of_worker(cls, path: str, leading_space: bool, end_id: int) -> UnitEncoder:
+        """One per worker process, so that what it has met serves its later tasks too."""
+        kept = vars(sys.modules.setdefault("velomart_worker", types.ModuleType("velomart_worker")))
+        key = (path, leading_space, end_id)
+        if key not in kept:
+            kept[key] = cls(*key)
+        return kept[key]
+
+    @staticmethod
+    def _bytes(found) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return self._bytes(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _learn(self, known: dict[str, bytes], units: set[str], space: str) -> None:
+        """Ids of the units not met before: Latin words by the merges alone, all else by the whole tokenizer."""
+        fresh = [u for u in units if u not in known]
+        latin = self.latin.findall("\n".join(fresh))
+        words = list({w for w, stop in latin if not stop or w not in known})
+        text = "\n".join([space + w for w in words] if self.leading_space else [w.lower() for w in words])
+        # Each UTF-8 byte as its letter; the line break, byte 10, is the one that maps to chr(266).
+        prepared = text.encode().decode("latin-1").translate(self.letters).split("\u010a") if words else []
+        known.update(zip(words, self._bytes(self.model.encode_batch_fast(prepared, add_special_tokens=False)), strict=True))
+        known.update([(w + stop, known[w] + self.stops[stop]) for w, stop in latin if stop])
+        rest = [u for u in fresh if u not in known]
+        known.update(zip(rest, self._direct([space + u for u in rest]), strict=True))
 
-    def _units(self, text: str) -> list[str] | None:
-        units = text.split(" ")
-        if not self.prefix:
-            return units
-        if "" in units:
-            return None
-        return [units[0], *[" " + u for u in units[1:]]]
+    def _trim(self) -> None:
+        if len(self.known) > CACHE_UNITS:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        if len(self.first) > CACHE_UNITS // 4:
+            self.first.clear()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, the end id included."""
         for chunk in _chunks(texts):
-            split = [self._units(t) for t in chunk]
-            missing = {u for units in split if units for u in units if u not in self.known}
-            if missing:
-                units = list(missing)
-                self.known.update(zip(units, self._direct(units), strict=True))
-                self.chars += sum(map(len, units)) + 8 * len(units)
-            for text, units in zip(chunk, split, strict=True):
-                if units is None:
-                    yield (self._direct([text])[0] if text else b"") + self.end
-                else:
-                    yield b"".join(map(self.known.__getitem__, units)) + self.end
-            if self.chars > CACHE_CHARS:
-                self.known.clear()
-                self.chars = 0
+            self._trim()
+            yield from self._by_line(chunk) if self.leading_space else self._by_word(chunk)
+
+    def _by_word(self, chunk: list[str]) -> Iterator[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in chunk]
+        self._learn(self.known, set().union(*split), "")
+        get = self.known.__getitem__
+        for units in split:
+            yield b"".join(map(get, units)) + self.end
+
+    def _by_line(self, chunk: list[str]) -> Iterator[bytes]:
+        lines = [[line.split(" ") for line in t.split("\n")] for t in chunk]
+        plain = [all("" not in units for units in text) for text in lines]
+        used = [text for text, ok in zip(lines, plain, strict=True) if ok]
+        self._learn(self.known, set().union(*[units[1:] for text in used for units in text]), " ")
+        self._learn(self.first, {units[0] for text in used for units in text}, "")
+        get, first, line_break = self.known.__getitem__, self.first, self.stops["\n"]
+        for text, split, ok in zip(chunk, lines, plain, strict=True):
+            if ok:
+                yield line_break.join([first[u[0]] + b"".join(map(get, u[1:])) for u in split]) + self.end
+            else:
+                yield (self._direct([text])[0] if text else b"") + self.end
 
 
 def _chunks(texts: Iterable[str | None], chars: int = 1_000_000) -> Iterator[list[str]]:
