@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from velomart.llm import binary, packing
+from velomart.llm import binary, packing, quality, sharding
 from velomart.llm.common import table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -20,15 +21,32 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and place in it; shards differ by one row at most."""
+    return sharding.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token files, read back."""
     files = binary.write_token_files(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", end_id=2)
     return binary.read_token_files(spark, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measures and verdict."""
+    return quality.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_sharding": op2_sharding,
     "op5_token_files": op5_token_files,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 
@@ -36,5 +54,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+SQL = {"op7_quality_rules": quality.SQL}
+
+
 def all_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
