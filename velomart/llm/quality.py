@@ -38,8 +38,8 @@ RULES = [
     Rule("word_length_low", "word_chars / n_words", least=2.0),
     Rule("word_length_high", "word_chars / n_words", most=15.0),
     Rule("symbols", "n_symbols / n_words", most=0.2),
-    Rule("stop_words", "n_stop_words / n_words", least=0.02),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", most=0.3),
+    Rule("stop_words", "(1 + n_stop_words) / n_words", least=0.02),
+    Rule("duplicate_lines", "n_dup_lines / n_lines", most=0.5),
 ]
 
 
@@ -131,12 +131,12 @@ WITH d AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \x09-\x0D]')) AS lines
   FROM documents
 ), w AS (
-  SELECT doc_id, unnest(range(1, len(words) - 3)) AS at, words FROM d WHERE len(words) >= 5
+  SELECT doc_id, unnest(range(1, len(words) - 3)) AS k, words FROM d WHERE len(words) >= 5
 ), g AS (
-  SELECT doc_id, at, count(*) OVER (PARTITION BY doc_id, array_to_string(words[at : at + 4], ' ')) AS found FROM w
+  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(words[k : k + 4], ' ')) AS found FROM w
 ), c AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words
-  FROM (SELECT doc_id, unnest(range(at, at + 5)) AS p FROM g WHERE found > 1) GROUP BY doc_id
+  FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM g WHERE found > 1) GROUP BY doc_id
 ), m AS (
   SELECT d.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')))::BIGINT AS n_symbols,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velomart.llm import binary, packing, quality, sharding
+from velomart.llm import binary, packing, quality, sharding, warc
 from velomart.llm.common import table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -42,11 +42,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archives, read back and put together: one row per page."""
+    path = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.captures(spark, path).select(
+        F.col("metadata.page_id").alias("page_id"),
+        F.col("capture.payload_bytes").alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        F.col("refers_to_page").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
     "op5_token_files": op5_token_files,
     "op7_quality_rules": op7_quality_rules,
+    "op9_warc": op9_warc,
 }
 
 
@@ -54,7 +67,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
-SQL = {"op7_quality_rules": quality.SQL}
+SQL = {"op7_quality_rules": quality.SQL, "op9_warc": warc.SQL}
 
 
 def all_sql() -> dict[str, str]:

@@ -98,20 +98,3 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
         .select("doc_id", "source", "size", "text_crc32", "shard", "slot")
     )
 
-
-SQL = f"""
-WITH d AS (
-  SELECT doc_id, source, strlen(coalesce(text, '')) + {ROW_BYTES} AS size, crc.c AS text_crc32,
-         substr(md5('{SEED}|' || doc_id), 1, 16) AS shuffled
-  FROM documents
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY shuffled, doc_id) AS place,
-         count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total
-  FROM d
-), p AS (
-  SELECT *, row_number() OVER (ORDER BY (2 * place - 1)::DOUBLE / (2 * n)::DOUBLE, source, place) - 1 AS position FROM r
-)
-SELECT doc_id, size, 'rows' AS law, (position * {SHARDS} // total)::INT AS shard,
-       position - ((position * {SHARDS} // total) * total + {SHARDS - 1}) // {SHARDS} AS slot
-FROM p
-"""
