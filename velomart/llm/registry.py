@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velomart.llm import binary, packing, quality, sharding, warc
+from velomart.llm import binary, html, lm, near_duplicates, packing, quality, sharding, warc
 from velomart.llm.common import table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -29,6 +29,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    return lm.score(docs, model).withColumn("held_out", lm.held_out(F.col("doc_id")))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies, named by the smallest doc_id in it."""
+    return near_duplicates.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token files, read back."""
     files = binary.write_token_files(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", end_id=2)
@@ -42,6 +54,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.train(pages)).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as archives, read back and put together: one row per page."""
     path = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -57,8 +77,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_token_files": op5_token_files,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
 }
 
