@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from velomart.llm.common import read_blobs, stage, write_blobs
+from velomart.llm.common import bounded_sample, read_blobs, stage, write_blobs
 from velomart.llm.tokens import UnitEncoder
 from velomart.sinks.tables import work_folder
 
@@ -38,6 +38,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("n_to
 FILE_BYTES = 8_000_000
 #: The dictionary's training sample: so many documents, so many leading characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 8_000, 64_000
+LEVEL = 1
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -62,7 +63,9 @@ def _serialized(ids: bytes, width: int) -> bytes:
 
 def file_bytes(rows: list[tuple], dictionary: bytes, width: int, partition: int, place: int) -> bytes:
     """One file from (doc_id, ids as 32-bit bytes) rows."""
-    compressor = zstd.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
+    if shared := _dictionary(dictionary):
+        shared.precompute_compress(level=LEVEL)
+    compressor = zstd.ZstdCompressor(level=LEVEL, dict_data=shared)
     frames = [compressor.compress(_serialized(ids, width)) for _, ids in rows]
     index = np.zeros(len(rows), INDEX)
     index["doc_id"] = [0 if key is None else key for key, _ in rows]
@@ -112,12 +115,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, width: int =
     spark = docs.sparkSession
     path = f"{work_folder(spark)}/tokens"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = (
-        docs.select(F.xxhash64("doc_id").alias("at"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .orderBy("at", "text")
-        .limit(SAMPLE_DOCS)
-        .collect()
-    )
+    sample = bounded_sample(docs, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
     encoder = UnitEncoder(tokenizer, True, end_id)
     dictionary = train_dictionary([_serialized(x, width) for x in encoder.encode([r.text for r in sample])])
     write_blobs(spark.createDataFrame([(bytearray(dictionary),)], "blob binary").coalesce(1), f"{path}/dictionary")

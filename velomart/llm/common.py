@@ -44,3 +44,10 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of ``key`` alone; never more than twice as many."""
+    total = df.count()
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, total)))
+    return df.where(share).limit(2 * rows)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from velomart.llm.common import bounded_sample
+
 # HTML's block-level elements, those without content, and those whose content is not markup.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -347,14 +349,9 @@ SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 240, 40_000, 48
 
 
 def train(pages: DataFrame, seed: int = 0) -> Labeller:
-    """Learn from a bounded sample: the ``SAMPLE_PAGES`` pages first by a hash of their ids."""
-    rows = (
-        pages.where("html IS NOT NULL")
-        .select(F.xxhash64("page_id").alias("at"), F.substring("html", 1, SAMPLE_CHARS).alias("html"))
-        .orderBy("at", "html")
-        .limit(SAMPLE_PAGES)
-        .collect()
-    )
+    """Learn from a bounded sample of about ``SAMPLE_PAGES`` pages, chosen by a hash of their ids."""
+    rows = bounded_sample(pages.where("html IS NOT NULL"), "page_id", SAMPLE_PAGES).select(F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    rows = rows.orderBy("html").limit(SAMPLE_PAGES).collect()
     return fitted([r.html for r in rows], seed)
 
 

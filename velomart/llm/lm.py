@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velomart.llm.common import stage
-from velomart.llm.words import WordIds, by_size, mixed
+from velomart.llm.words import GOLDEN, HashIndex, RunHasher, Runs, by_size, mixed, of_worker
 
 #: Bits of the filter for each entry, probes for each entry, and the largest filter that is broadcast.
 BITS, PROBES, MAX_FILTER_BYTES = 10, 5, 1 << 27
@@ -34,8 +34,8 @@ GATHERED = 3_000_000
 #: Words whose exact counts are broadcast; the rest are joined.
 FREQUENT_WORDS = 1_000_000
 SMOOTHING = 300.0
-END = b" "
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: The hash that stands for the end of a text.
+END = np.uint64(0xE703)
 
 
 def _nth(at: int) -> np.uint64:
@@ -46,13 +46,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def pairs(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; before a text's first token stands its end."""
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    # Texts end with the end token, so the token before a first one is it already, but for the very first.
-    before[:1] = hashes[-1:]
-    return mixed(before * GOLDEN + mixed(hashes + GOLDEN))
+def closed(found: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes) of the words of each text and its end."""
+    return np.insert(found.hashes, np.cumsum(found.sizes), END), found.sizes + 1
+
+
+def pairs(hashes: np.ndarray) -> np.ndarray:
+    """Hash of each token of ``closed`` texts with the one before it; before a text's first token stands an end."""
+    return mixed(np.concatenate([hashes[-1:], hashes[:-1]]) * GOLDEN + mixed(hashes + GOLDEN))
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -151,10 +152,8 @@ def _gathered(docs: DataFrame, segments: int) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for part in by_size(texts):
-                ids = WordIds.of_worker()
-                numbers, sizes = ids.of(texts[part], END)
-                hashes = ids.hashes[numbers]
-                held.append((hashes, pairs(hashes, sizes)))
+                hashes, _ = closed(of_worker("words", RunHasher).words(texts[part]))
+                held.append((hashes, pairs(hashes)))
                 size += len(hashes)
                 if size >= GATHERED:
                     yield flushed()
@@ -227,42 +226,52 @@ def train(docs: DataFrame) -> Model:
 
 
 class Scorer:
-    """Scores of texts by a broadcast model; what depends on a single word is worked out once per worker and word."""
+    """Scores of texts by a broadcast model; what depends on a single word is worked out once for each word met."""
 
     def __init__(self, bits: Filter, frequent: tuple[np.ndarray, np.ndarray], tokens: int, words: int):
         self.filter, self.frequent, self.tokens, self.words = bits, frequent, tokens, words
-        self.ids: WordIds | None = None
-
-    def _learn(self, ids: WordIds) -> None:
-        if ids is not self.ids:
-            self.ids, self.exact, self.count = ids, np.zeros(0, np.int64), np.zeros(0)
-        fresh = ids.hashes[len(self.exact) : len(ids)]
-        keys, counts = self.frequent
-        at = np.minimum(np.searchsorted(keys, fresh), max(0, len(keys) - 1))
-        exact = np.where(keys[at] == fresh, counts[at], -1) if len(keys) else np.full(len(fresh), -1)
-        self.exact = np.concatenate([self.exact, exact])
-        self.count = np.concatenate([self.count, typical(self.filter.levels(fresh))])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.exact, self.count = HashIndex(), np.zeros(0, np.int64), np.zeros(0)
+
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        if self.index.full:
+            self._forget()
+        numbers = self.index.find(hashes)
+        missing = numbers < 0
+        if missing.any():
+            fresh = np.unique(hashes[missing])
+            self.index.add(fresh)
+            keys, counts = self.frequent
+            at = np.minimum(np.searchsorted(keys, fresh), max(0, len(keys) - 1))
+            exact = np.where(keys[at] == fresh, counts[at], -1) if len(keys) else np.full(len(fresh), -1)
+            self.exact = np.concatenate([self.exact, exact])
+            self.count = np.concatenate([self.count, typical(self.filter.levels(fresh))])
+            numbers[missing] = self.index.find(hashes[missing])
+        return numbers
 
     def rows(self, texts: list[str | None]) -> list[tuple]:
         """Per text: tokens, log10 probability, tokens and base score of its frequent words, the others and how often."""
-        ids = WordIds.of_worker()
-        numbers, sizes = ids.of(texts, END)
-        self._learn(ids)
-        hashes, alone = ids.hashes[numbers], self.count[numbers]
+        hashes, sizes = closed(of_worker("words", RunHasher).words(texts))
+        numbers = self._numbers(hashes)
+        alone = self.count[numbers]
         before = np.concatenate([alone[-1:], alone[:-1]])
         # A pair cannot be more frequent than either of its words; this also bounds what an error can add.
-        pair = np.minimum(typical(self.filter.levels(pairs(hashes, sizes))), np.minimum(before, alone))
+        pair = np.minimum(typical(self.filter.levels(pairs(hashes))), np.minimum(before, alone))
         word = (alone + 1) / (self.tokens + self.words + 1)
         score = np.log10((pair + SMOOTHING * word) / (before + SMOOTHING))
         exact = self.exact[numbers]
         base = np.where(exact >= 0, np.log10(np.maximum(exact, 0) + 1.0), 0.0) - math.log10(self.tokens + self.words + 1)
         first = np.cumsum(sizes) - sizes
-        sums = [np.add.reduceat(x, first) for x in (score, base, exact >= 0)]
+        sums = [np.add.reduceat(x, first).tolist() for x in (score, base, (exact >= 0).astype(np.int64))]
+        rare = np.flatnonzero(exact < 0)
+        ends = np.searchsorted(rare, first + sizes).tolist()
+        own = hashes[rare].view(np.int64)
         out = []
-        for k, (at, n) in enumerate(zip(first, sizes, strict=True)):
-            own = exact[at : at + n]
-            rare, times = np.unique(hashes[at : at + n][own < 0].view(np.int64), return_counts=True)
-            out.append((int(n), float(sums[0][k]), int(sums[2][k]), float(sums[1][k]), rare, times))
+        for k, (n, start, stop) in enumerate(zip(sizes.tolist(), [0, *ends[:-1]], ends, strict=True)):
+            words, times = np.unique(own[start:stop], return_counts=True) if stop > start else (own[:0], own[:0])
+            out.append((n, sums[0][k], sums[2][k], sums[1][k], words, times))
         return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from velomart.llm.common import stage
-from velomart.llm.words import WordIds, by_size, mixed
+from velomart.llm.words import RunHasher, by_size, mixed, of_worker
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 16 bands of 4 registers: a pair at 0.8 shares a band with probability 0.9998, one at 0.3 with 0.12.
@@ -34,12 +34,11 @@ NEVER = np.uint64(0x7FF0000000000000)  # infinity as a 64-bit float
 STREAM = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(numbers: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, count) of the distinct shingles of texts given as word numbers in a row.
+def shingles(words: np.ndarray, sizes: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, count) of the distinct shingles of texts given as word hashes in a row.
 
     A text of fewer words, but not none, is one shingle.
     """
-    words = hashes[numbers]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     rest = np.repeat(sizes, sizes) - place
@@ -96,17 +95,17 @@ def sketched(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for part in by_size(texts, 1_000_000):
-                ids = WordIds.of_worker()
-                numbers, sizes = ids.of(texts[part])
-                owner, value, count = shingles(numbers, ids.hashes, sizes)
-                found = bands(sketches(owner, value, 1 + np.log(count), len(sizes)))
+                found = of_worker("words", RunHasher).words(texts[part])
+                sizes = found.sizes
+                owner, value, count = shingles(found.hashes, sizes)
+                hashed = bands(sketches(owner, value, 1 + np.log(count), len(sizes)))
                 distinct = np.bincount(owner, minlength=len(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[part.start : part.stop],
                         batch.column("text_key")[part.start : part.stop],
                         pa.array(distinct.astype(np.int32)),
-                        pa.array([b if n else [] for b, n in zip(found, distinct, strict=True)], pa.list_(pa.int64())),
+                        pa.array([b if n else [] for b, n in zip(hashed, distinct, strict=True)], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "text_key", "shingles", "bands"],
                 )
@@ -127,9 +126,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for part in by_size(texts, 1_000_000):
-                ids = WordIds.of_worker()
-                numbers, sizes = ids.of(texts[part])
-                owner, value, _ = shingles(numbers, ids.hashes, sizes)
+                found = of_worker("words", RunHasher).words(texts[part])
+                sizes = found.sizes
+                owner, value, _ = shingles(found.hashes, sizes)
                 ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("text_key")[part.start : part.stop], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(value.view(np.int64)))],

@@ -1,27 +1,25 @@
-"""Token ids by a public tokenizer, at the speed of a dictionary look-up per word.
+"""Token ids by a public tokenizer, at the cost of a look-up per word.
 
-Both tokenizers treat what stands between single spaces independently, so the ids of a text are
-those of its space-separated units one after another. Each worker keeps the units it has met;
-the tokenizer itself sees a unit once as long as it is kept.
+Both tokenizers treat what stands between single spaces and line breaks independently, so the ids of a text
+are those of its units one after another. Each worker keeps the ids of the units it has met by their hash; the
+tokenizer itself sees a unit once, as long as it is kept.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 
-#: Units that one worker keeps at most; beyond that the older half goes.
-CACHE_UNITS = 1_000_000
+from velomart.llm.words import GOLDEN, HashIndex, RunHasher, by_size, mixed, of_worker
 
 #: A line with a Latin word, and a full stop or comma after it: both pre-tokenizers split it in the same way.
 LATIN = "^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)$"
+#: How a unit follows what is before it: at the start of a text, after a line break, after a space.
+FIRST, AFTER_BREAK, AFTER_SPACE = 0, 1, 2
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,7 +30,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class UnitEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, the end id included.
 
     Without ``leading_space`` the tokenizer drops white space and lower-cases letters. With it, it is
     byte-level: a line break is a token of its own, the space before a unit belongs to the unit,
@@ -49,80 +47,112 @@ class UnitEncoder:
         self.latin = re.compile(LATIN, re.MULTILINE)
         self.letters = _byte_letters()
         self.leading_space = leading_space
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}  # of units at the start of a line
+        self.end = end_id
+        self.hasher = RunHasher(b" \n", b".,")
         self.stops = dict(zip(".,\n", self._direct([".", ",", "\n"]), strict=True))
+        self._forget()
 
     @classmethod
     def of_worker(cls, path: str, leading_space: bool, end_id: int) -> UnitEncoder:
-        """One per worker process, so that what it has met serves its later tasks too."""
-        kept = vars(sys.modules.setdefault("velomart_worker", types.ModuleType("velomart_worker")))
-        key = (path, leading_space, end_id)
-        if key not in kept:
-            kept[key] = cls(*key)
-        return kept[key]
+        return of_worker(f"tokens {path} {leading_space} {end_id}", lambda: cls(path, leading_space, end_id))
+
+    def _forget(self) -> None:
+        self.index = HashIndex()
+        self.pool = np.zeros(1 << 16, np.uint32)  # ids of all kept units in a row
+        self.bounds = np.zeros(1 << 16, np.int64)  # unit n has pool[bounds[n] : bounds[n + 1]]
+        self._keep(np.array([46, 44], np.uint64), [self.stops["."], self.stops[","]])  # units 0 and 1
 
     @staticmethod
-    def _bytes(found) -> list[bytes]:
+    def _ids(found) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in found]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return self._bytes(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        return self._ids(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
-    def _learn(self, known: dict[str, bytes], units: set[str], space: str) -> None:
-        """Ids of the units not met before: Latin words by the merges alone, all else by the whole tokenizer."""
-        fresh = [u for u in units if u not in known]
-        latin = self.latin.findall("\n".join(fresh))
-        words = list({w for w, stop in latin if not stop or w not in known})
+    def _learnt(self, units: list[str], space: str) -> list[bytes]:
+        """Ids of distinct units: Latin words by the merges alone, all else by the whole tokenizer."""
+        latin = self.latin.findall("\n".join(units))
+        words = list({w for w, _ in latin})
         text = "\n".join([space + w for w in words] if self.leading_space else [w.lower() for w in words])
         # Each UTF-8 byte as its letter; the line break, byte 10, is the one that maps to chr(266).
-        prepared = text.encode().decode("latin-1").translate(self.letters).split("\u010a") if words else []
-        known.update(zip(words, self._bytes(self.model.encode_batch_fast(prepared, add_special_tokens=False)), strict=True))
+        prepared = text.encode().decode("latin-1").translate(self.letters).split("Ċ") if words else []
+        known = dict(zip(words, self._ids(self.model.encode_batch_fast(prepared, add_special_tokens=False)), strict=True))
         known.update([(w + stop, known[w] + self.stops[stop]) for w, stop in latin if stop])
-        rest = [u for u in fresh if u not in known]
+        rest = [u for u in units if u not in known]
         known.update(zip(rest, self._direct([space + u for u in rest]), strict=True))
-
-    def _trim(self) -> None:
-        if len(self.known) > CACHE_UNITS:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-        if len(self.first) > CACHE_UNITS // 4:
-            self.first.clear()
+        return [known[u] for u in units]
+
+    def _keep(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        n = self.index.count
+        self.index.add(hashes)
+        added = np.frombuffer(b"".join(ids), np.uint32)
+        ends = self.bounds[n] + np.cumsum([len(x) // 4 for x in ids])
+        while len(self.bounds) < n + len(ids) + 1:
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        while len(self.pool) < ends[-1]:
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.bounds[n] : ends[-1]] = added
+        self.bounds[n + 1 : n + 1 + len(ids)] = ends
+
+    def _numbers(self, runs, kinds: np.ndarray) -> np.ndarray:
+        """Number of each unit; those not met before are learnt first."""
+        hashes = mixed(runs.hashes + kinds.astype(np.uint64) * GOLDEN)
+        numbers = self.index.find(hashes)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            fresh, first = np.unique(hashes[missing], return_index=True)
+            at = missing[first]
+            units = [runs.data[s:e].decode() for s, e in zip(runs.starts[at].tolist(), runs.ends[at].tolist(), strict=True)]
+            ids: list[bytes] = [b""] * len(units)
+            for kind in (FIRST, AFTER_BREAK, AFTER_SPACE):
+                own = np.flatnonzero(kinds[at] == kind).tolist()
+                lead = self.stops["\n"] if kind == AFTER_BREAK else b""
+                for k, x in zip(own, self._learnt([units[k] for k in own], " " if kind == AFTER_SPACE else ""), strict=True):
+                    ids[k] = lead + x
+            self._keep(fresh, ids)
+            numbers[missing] = self.index.find(hashes[missing])
+        return numbers
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text, the end id included."""
-        for chunk in _chunks(texts):
-            self._trim()
-            yield from self._by_line(chunk) if self.leading_space else self._by_word(chunk)
-
-    def _by_word(self, chunk: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in chunk]
-        self._learn(self.known, set().union(*split), "")
-        get = self.known.__getitem__
-        for units in split:
-            yield b"".join(map(get, units)) + self.end
-
-    def _by_line(self, chunk: list[str]) -> Iterator[bytes]:
-        lines = [[line.split(" ") for line in t.split("\n")] for t in chunk]
-        plain = [all("" not in units for units in text) for text in lines]
-        used = [text for text, ok in zip(lines, plain, strict=True) if ok]
-        self._learn(self.known, set().union(*[units[1:] for text in used for units in text]), " ")
-        self._learn(self.first, {units[0] for text in used for units in text}, "")
-        get, first, line_break = self.known.__getitem__, self.first, self.stops["\n"]
-        for text, split, ok in zip(chunk, lines, plain, strict=True):
-            if ok:
-                yield line_break.join([first[u[0]] + b"".join(map(get, u[1:])) for u in split]) + self.end
+        """The ids of each text and the end id."""
+        texts = [t or "" for t in texts]
+        for part in by_size(texts, 500_000):
+            yield from self._encoded(texts[part])
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        if self.index.full:
+            self._forget()
+        runs = self.hasher.runs([t.encode() for t in texts])
+        data = np.frombuffer(runs.data, np.uint8)
+        last = np.cumsum(runs.sizes)
+        if self.leading_space:
+            first = np.zeros(len(runs.starts), bool)
+            first[(last - runs.sizes)[runs.sizes > 0]] = True
+            before = data[np.maximum(runs.starts - 1, 0)] if len(data) else runs.starts
+            kinds = np.where(first, FIRST, np.where(before == 10, AFTER_BREAK, AFTER_SPACE))
+        else:
+            kinds = np.zeros(len(runs.starts), np.int64)
+        numbers = self._numbers(runs, kinds)
+        cut = runs.tails > 0
+        if cut.any():  # a full stop or comma cut off is the next unit
+            wide = 1 + cut.astype(np.int64)
+            place = np.cumsum(wide) - wide
+            whole = np.zeros(int(wide.sum()), np.int64)
+            whole[place], whole[place[cut] + 1] = numbers, runs.tails[cut] == 44
+            numbers, last = whole, np.concatenate([[0], place + wide])[last]
+        begin, size = self.bounds[numbers], self.bounds[numbers + 1] - self.bounds[numbers]
+        ends = np.cumsum(size)
+        ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        close = np.concatenate([[0], ends])[last]  # ids up to the end of each text
+        end = np.array([self.end], "<u4").tobytes()
+        spaces = self._plain(texts, runs) if self.leading_space else [True] * len(texts)
+        for text, stop, start, plain in zip(texts, close.tolist(), [0, *close[:-1].tolist()], spaces, strict=True):
+            if plain:
+                yield ids[start:stop].astype("<u4").tobytes() + end
             else:
-                yield (self._direct([text])[0] if text else b"") + self.end
-
-
-def _chunks(texts: Iterable[str | None], chars: int = 1_000_000) -> Iterator[list[str]]:
-    chunk, size = [], 0
-    for text in texts:
-        chunk.append(text or "")
-        size += len(chunk[-1])
-        if size >= chars:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
+                yield self._direct([text])[0] + end
+
+    @staticmethod
+    def _plain(texts: list[str], runs) -> list[bool]:
+        """Whether a text has single spaces and line breaks only, and none at its ends."""
+        return [n == t.count(" ") + t.count("\n") + 1 or not t for t, n in zip(texts, runs.sizes.tolist(), strict=True)]
