@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velomart.llm import binary, html, lm, near_duplicates, packing, quality, sharding, warc
+from velomart.llm import binary, decontaminate, html, line_quality, lm, near_duplicates, packing, quality, sharding, warc
 from velomart.llm.common import table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -47,6 +47,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_token_files(spark, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that lie in windows of benchmark items."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's measures and verdict."""
     return quality.judged(table(spark, sf_dir, "documents")).select(
@@ -74,15 +79,26 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    chain = line_quality.train(docs, table(spark, sf_dir, "labels"))
+    return line_quality.scored(docs.select("doc_id", "text"), chain).select(
+        "doc_id", line_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_token_files": op5_token_files,
+    "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 
@@ -90,7 +106,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
-SQL = {"op7_quality_rules": quality.SQL, "op9_warc": warc.SQL}
+SQL = {"op6_decontamination": decontaminate.SQL, "op7_quality_rules": quality.SQL, "op9_warc": warc.SQL}
 
 
 def all_sql() -> dict[str, str]:
