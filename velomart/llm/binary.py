@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from velomart.llm.common import bounded_sample, read_blobs, stage, write_blobs
+from velomart.llm.common import bounded_sample, read_blobs, slices, stage, write_blobs
 from velomart.llm.tokens import UnitEncoder
 from velomart.sinks.tables import work_folder
 
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, width: int =
                 [pa.array([file_bytes(rows, shared.value, width, partition, place)], pa.binary())], ["blob"]
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 rows.append((key, ids))
                 size += len(ids) // 4 * width

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velomart.llm.common import bounded_sample
+from velomart.llm.common import bounded_sample, slices
 from velomart.llm.quality import STOP_WORDS
 from velomart.llm.words import RunHasher, by_size, mixed, of_worker
 
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     sample = bounded_sample(known, "doc_id", SAMPLE_DOCS)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for text, quality in zip(batch.column("text").to_pylist(), batch.column("_quality").to_pylist(), strict=True):
                 rows, _, _ = of_worker("lines", LineFeatures).of([text])
                 yield pa.RecordBatch.from_arrays([pa.array([rows[:SAMPLE_LINES].tobytes()], pa.binary()), pa.array([quality], pa.int32())], ["rows", "quality"])
@@ -236,7 +236,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Chain(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             parts = [np.zeros(0)]
             for part in by_size(texts, 1_000_000):

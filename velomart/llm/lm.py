@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velomart.llm.common import stage
+from velomart.llm.common import slices, stage
 from velomart.llm.words import GOLDEN, HashIndex, RunHasher, Runs, by_size, mixed, of_worker
 
 #: Bits of the filter for each entry, probes for each entry, and the largest filter that is broadcast.
@@ -149,7 +149,7 @@ def _gathered(docs: DataFrame, segments: int) -> DataFrame:
             columns = [pa.array([x.tobytes() for x in column], pa.binary()) for column in split]
             return pa.RecordBatch.from_arrays([pa.array(np.arange(segments)), *columns], ["segment", "words", "word_counts", "pairs", "pair_counts"])
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             for part in by_size(texts):
                 hashes, _ = closed(of_worker("words", RunHasher).words(texts[part]))
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sizes, *rest = shared.value
         scorer, partition, n = Scorer(Filter(bits, sizes, np.cumsum(sizes) - sizes), *rest), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = [row for part in by_size(texts) for row in scorer.rows(texts[part])]
             tokens, value, known, base, rare, times = zip(*found, strict=True) if found else [()] * 6

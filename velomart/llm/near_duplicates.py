@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from velomart.llm.common import stage
+from velomart.llm.common import slices, stage
 from velomart.llm.words import RunHasher, by_size, mixed, of_worker
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -92,7 +92,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             for part in by_size(texts, 1_000_000):
                 found = of_worker("words", RunHasher).words(texts[part])
@@ -123,7 +123,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """(text_key, set): the distinct shingles of each distinct text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             for part in by_size(texts, 1_000_000):
                 found = of_worker("words", RunHasher).words(texts[part])

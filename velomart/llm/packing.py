@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from velomart.llm.common import stage
+from velomart.llm.common import slices, stage
 from velomart.llm.tokens import UnitEncoder
 
 CAPACITY = 2048
@@ -124,7 +124,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder.of_worker(tokenizer, leading_space, end_id)
-        for batch in batches:
+        for batch in slices(batches):
             rows, piece, start, ids = [], [], [], []
             for row, whole in enumerate(encoder.encode(batch.column("text").to_pylist())):
                 for k, at in enumerate(range(0, len(whole), size)):

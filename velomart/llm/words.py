@@ -120,7 +120,7 @@ class RunHasher:
 class HashIndex:
     """Numbers distinct 64-bit hashes in the order they are added; look-ups are vectorised open addressing."""
 
-    def __init__(self, digits: int = 21):
+    def __init__(self, digits: int = 20):
         self.shift = np.uint64(64 - digits)
         self.keys = np.zeros(1 << digits, np.uint64)
         self.numbers = np.full(1 << digits, -1, np.int32)
