@@ -1,0 +1,119 @@
+"""Packing: plans against their own rules, whole documents against a plain cut, sequences put together."""
+
+from __future__ import annotations
+
+import itertools
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from velomart.llm import packing
+from velomart.llm.registry import VOCABULARIES
+
+WORDS = f"{VOCABULARIES}/word_bpe_49k.json"
+
+
+def bins_of(plan):
+    bins, pieces = {}, Counter()
+    for p in plan:
+        pieces[p.length] += p.copies * p.bins
+        for k in range(p.bins):
+            for c in range(p.copies):
+                bins.setdefault(p.sequence + k, []).append((p.offset + c * p.length, p.length))
+    return bins, pieces
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=60))
+def test_plan_places_every_piece_once_without_gaps(lengths):
+    bins, pieces = bins_of(packing.plan_packing(dict(Counter(lengths)), 24))
+    assert pieces == Counter(lengths)
+    for content in bins.values():
+        end = 0
+        for offset, length in sorted(content):
+            assert offset == end
+            end += length
+        assert end <= 24
+        assert sum(3 * length > 24 for _, length in content) <= 2
+    assert sorted(bins) == list(range(len(bins)))
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(5, 12), min_size=1, max_size=7))
+def test_large_pieces_are_matched_best(lengths):
+    """Above a third no more than two share, so the fewest sequences come from the largest matching."""
+    bins, _ = bins_of(packing.plan_packing(dict(Counter(lengths)), 12))
+
+    def pairs(rest):
+        if len(rest) < 2:
+            return 0
+        first, *others = rest
+        return max([pairs(others), *[1 + pairs(others[:k] + others[k + 1 :]) for k, x in enumerate(others) if first + x <= 12]])
+
+    assert len(bins) == len(lengths) - pairs(lengths)
+
+
+def test_ranks_are_gapless(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    rows = [(k, 0, 5 if k % 3 else 9) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    got = packing.ranked(df, 1000).toPandas()
+    for _, group in got.groupby("length"):
+        assert sorted(group["rank"]) == list(range(len(group)))
+
+
+def test_whole_documents(spark):
+    texts = ["word " * n for n in (1, 10, 2047, 2048, 5000)] + [None, "", "same", "same", "É é " * 900]
+    rows = [(k, t, "clash", 1) for k, t in enumerate(texts)] + [(7, "same", "clash", 2), (None, "no id", "x", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece string, length int")
+    packed = packing.pack(docs, WORDS)
+    own = Tokenizer.from_file(WORDS)
+    expected = Counter()
+    for doc_id, text, *_ in rows:
+        ids = own.encode(text or "", add_special_tokens=False).ids + [0]
+        for at in range(0, len(ids), 2048):
+            part = np.array(ids[at : at + 2048], "<u4")
+            expected[doc_id, at // 2048, at, len(part), zlib.crc32(part.tobytes())] += 1
+    got = packed.places.toPandas().astype(object)
+    got = got.where(got.notna(), None)
+    assert Counter(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32, strict=True)) == expected
+    taken = set()
+    for _, group in got.groupby("sequence_id"):
+        end = 0
+        for row in group.sort_values("offset").itertuples():
+            assert row.offset == end
+            end += row.length
+        assert end <= 2048
+        taken.add(end)
+    whole = packed.sequences().collect()
+    assert sum(r["length"] for r in whole) == got.length.sum()
+    assert all(len(r["ids"]) == 4 * r["length"] for r in whole)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    packed = packing.pack(docs, WORDS)
+    assert packed.places.count() == 0
+    assert packed.sequences().count() == 0
+
+
+def test_few_gaps_on_mixed_lengths():
+    rng = np.random.default_rng(0)
+    lengths = np.clip(rng.lognormal(6.3, 0.9, 20_000).astype(int), 1, 2048)
+    plan = packing.plan_packing(dict(Counter(lengths.tolist())), 2048)
+    bins = max(p.sequence + p.bins for p in plan)
+    assert bins <= 1.01 * lengths.sum() / 2048 + 1
+    assert len(plan) < 20 * 2048
+
+
+@pytest.mark.parametrize("counts", [{}, {2048: 3}, {1: 10_000}, {683: 5, 682: 5}])
+def test_plain_cases(counts):
+    bins, pieces = bins_of(packing.plan_packing(counts, 2048))
+    assert pieces == Counter(counts)
+    assert len(bins) >= -(-sum(k * v for k, v in counts.items()) // 2048)
+    assert list(itertools.islice(bins, 1)) == ([0] if counts else [])

@@ -221,12 +221,11 @@ class Packing:
 
     def sequences(self) -> DataFrame:
         """(sequence_id, length, doc_ids, ids): each sequence put together, at most ``capacity`` ids."""
-        on = [self.pieces[c].eqNullSafe(self.places[c]) for c in ("doc_id", "piece", "ids_crc32")]
-        one = self.pieces.dropDuplicates(["doc_id", "piece", "ids_crc32"])
-        parts = self.places.join(one, on).select(
-            self.places["sequence_id"],
-            F.struct(self.places["offset"], self.places["doc_id"], self.places["length"], one["ids"]).alias("part"),
+        one = self.pieces.dropDuplicates(["doc_id", "piece", "ids_crc32"]).select(
+            F.col("doc_id").alias("_doc"), F.col("piece").alias("_piece"), F.col("ids_crc32").alias("_crc"), "ids"
         )
+        on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("piece") == F.col("_piece")) & (F.col("ids_crc32") == F.col("_crc"))
+        parts = self.places.join(one, on).select("sequence_id", F.struct("offset", "doc_id", "length", "ids").alias("part"))
         return (
             parts.groupBy("sequence_id")
             .agg(F.array_sort(F.collect_list("part")).alias("parts"))
