@@ -105,9 +105,9 @@ class Filter:
         return np.packbits(on, bitorder="little").tobytes()
 
     @classmethod
-    def joined(cls, segments: list[bytes]) -> Filter:
-        sizes = np.array([8 * len(s) for s in segments], np.uint64)
-        return cls(np.frombuffer(b"".join(segments), np.uint8), sizes, np.cumsum(sizes) - sizes)
+    def of_segments(cls, bits: np.ndarray, sizes: np.ndarray) -> Filter:
+        """From the bytes of all segments in a row and the bits of each."""
+        return cls(bits, sizes, np.cumsum(sizes) - sizes)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The level of each n-gram: probed upwards until one is missing."""
@@ -218,13 +218,24 @@ def train(docs: DataFrame) -> Model:
     often = counts.where(F.col("count") >= least).toArrow()
     hashes = often["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    stored = {r["segment"]: bytes(r["bits"]) for r in built.select("segment", "bits").collect()}
-    bits = Filter.joined([stored.get(k, bytes(8)) for k in range(segments)])
     return Model(
-        bits, counts, sum(r["of"] for r in digits), sum(r["n"] for r in digits), (hashes[order], often["count"].to_numpy()[order]), least
+        _collected(built, segments), counts, sum(r["of"] for r in digits), sum(r["n"] for r in digits), (hashes[order], often["count"].to_numpy()[order]), least
     )
 
 
+def _collected(built: DataFrame, segments: int) -> Filter:
+    """The filter in the driver's memory once: a file of segments at a time is copied to its place."""
+    sizes = np.full(segments, 64, np.uint64)
+    for row in built.select("segment", F.octet_length("bits").alias("n")).collect():
+        sizes[row["segment"]] = 8 * row["n"]
+    ends = np.cumsum(sizes // np.uint64(8)).astype(np.int64)
+    bits = np.zeros(int(ends[-1]), np.uint8)
+    for row in built.select("segment", "bits").toLocalIterator():
+        end = int(ends[row["segment"]])
+        bits[end - len(row["bits"]) : end] = np.frombuffer(row["bits"], np.uint8)
+    return Filter.of_segments(bits, sizes)
+
+
 class Scorer:
     """Scores of texts by a broadcast model; what depends on a single word is worked out once for each word met."""
 
@@ -288,7 +299,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sizes, *rest = shared.value
-        scorer, partition, n = Scorer(Filter(bits, sizes, np.cumsum(sizes) - sizes), *rest), TaskContext.get().partitionId(), 0
+        scorer, partition, n = Scorer(Filter.of_segments(bits, sizes), *rest), TaskContext.get().partitionId(), 0
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = [row for part in by_size(texts) for row in scorer.rows(texts[part])]
