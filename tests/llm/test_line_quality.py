@@ -1,0 +1,80 @@
+"""The line chain: marginals against all labellings, gradients, held-out accuracy, odd texts."""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from velomart.llm import line_quality as lq
+
+
+def test_marginals_and_steps_equal_all_labellings():
+    rng = np.random.default_rng(0)
+    chain = lq.Chain(np.zeros(1), rng.normal(size=(2, 2)), np.zeros(1), np.ones(1))
+    sizes = np.array([4, 0, 1, 3])
+    scores = rng.normal(size=8) * 2
+    pairs = np.zeros((2, 2))
+    got = chain.marginals(scores, sizes, pairs)
+    expected, steps, at = [], np.zeros((2, 2)), 0
+    for n in sizes:
+        own, weights = list(itertools.product((0, 1), repeat=n)), []
+        for y in own:
+            weights.append(np.exp(sum(scores[at + k] * y[k] for k in range(n)) + sum(chain.steps[a, b] for a, b in itertools.pairwise(y))))
+        weights = np.array(weights) / sum(weights)
+        expected += [sum(w for w, y in zip(weights, own, strict=True) if y[k]) for k in range(n)]
+        for w, y in zip(weights, own, strict=True):
+            for a, b in itertools.pairwise(y):
+                steps[a, b] += w
+        at += n
+    assert got == pytest.approx(expected)
+    assert pairs == pytest.approx(steps)
+
+
+def texts(kind, k):
+    rng = np.random.default_rng(k)
+    if kind:
+        return "\n".join(" ".join(rng.choice(["The", "of", "and", "river", "boat", "morning,", "walks", "it."], 12)) for _ in range(rng.integers(1, 6)))
+    return "\n".join(" ".join(rng.choice(["###", "BUY!!", "$$$ |", "x9 |", "%%"], 8)) for _ in range(rng.integers(1, 6)))
+
+
+def test_held_out_accuracy(spark):
+    rows = [(k, texts(k % 4 > 0, k), "x") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(400)], "doc_id long, quality int")
+    got = lq.scored(docs, lq.train(docs, labels)).withColumn("held", lq.held_out(F.col("doc_id"))).collect()
+    own = [r for r in got if r.held]
+    assert len(got) == 400 and len(own) > 90
+    assert sum(r.predicted == int(r.doc_id % 4 > 0) for r in own) == len(own)
+
+
+def test_odd_texts(spark):
+    odd = [None, "", " \n ", "a", "\n\n| |\n", "É 日本 " * 50, "w " * 60_000, "l\n" * 5000, "\x00\x85  z"]
+    rows = [(k, t, 1) for k, t in enumerate(odd)] + [(3, "a", 1), (None, "no id", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted int")
+    chain = lq.train(docs, spark.createDataFrame([(3, 1), (3, 0), (5, 0), (6, None)], "doc_id long, quality int"))
+    got = lq.scored(docs, chain).collect()
+    assert len(got) == len(rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert {r.score for r in got if r.doc_id in (0, 1, 2)} == {lq.NO_LINES}
+    indifferent = lq.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r.score for r in lq.scored(docs, indifferent).collect()} == {0.5}
+    assert lq.scored(docs.where("false"), chain).count() == 0
+
+
+def test_features_of_a_stretch_are_those_of_each_text():
+    rows = ["One line, of it.\nONE LINE!! of\n\nit it it it", "", "x | y | z\nx | y | z", None, "é" * 9, "1 2 3 $ # %"] * 3
+    features = lq.LineFeatures()
+    whole, lengths, sizes = features.of(rows)
+    parts = [features.of([t]) for t in rows]
+    assert whole == pytest.approx(np.concatenate([p[0] for p in parts]))
+    assert lengths.tolist() == np.concatenate([p[1] for p in parts]).tolist()
+    assert sizes.tolist() == [int(p[2][0]) for p in parts]
+    at = lq.FEATURES.index
+    first, second, third = whole[:3]
+    assert first[at("comma")] == pytest.approx(1 / 13) and first[at("ends")] == 1
+    assert second[at("upper_words")] == pytest.approx(2 / 3) and second[at("loud")] == pytest.approx(2 / 11)
+    assert third[at("same_as_before")] == pytest.approx(3 / 4)
+    assert whole[3][at("repeated_line")] == whole[4][at("repeated_line")] == 1

@@ -161,8 +161,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = contamination(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("text_key").alias("_bad")).distinct()
-    return docs.join(stage(bad, "contaminated"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_bad"), "left_anti")
+    bad = contamination(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("text_key").alias("bad")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    return rows.join(stage(bad, "contaminated"), F.col("key") == F.col("bad"), "left_anti").select("row.*")
 
 
 SQL = rf"""

@@ -361,7 +361,8 @@ def fitted(sample: list[str], seed: int = 0) -> Labeller:
     whole = [[(b, marked(b)) for b in cutter.blocks(page)][:SAMPLE_BLOCKS] for page in sample]
     whole = [w for w in whole if any(y for _, y in w)] or [[(b, marked(b)) for b in cutter.blocks(OUTLINE)]]
     texts = [b.text for w in whole for b, _ in w]
-    learnt = [*whole, *(varied(w, texts, rng) for w in (whole * (2 * SAMPLE_PAGES // len(whole) + 1))[: 2 * SAMPLE_PAGES])]
+    copies = max(120, 2 * len(whole))
+    learnt = [*whole, *(varied(whole[k % len(whole)], texts, rng) for k in range(copies))]
     learnt = [w[: 2 * SAMPLE_BLOCKS] for w in learnt if w]
     return Labeller.fresh(seed).fit(
         [features.rows([b for b, _ in w]) for w in learnt], [np.array([y for _, y in w], np.float32) for w in learnt], seed=seed

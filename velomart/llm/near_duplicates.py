@@ -45,7 +45,8 @@ def shingles(words: np.ndarray, sizes: np.ndarray, width: int = SHINGLE) -> tupl
     value = np.zeros(len(words), np.uint64)
     for k in range(width):
         following = np.zeros_like(words)
-        following[: len(words) - k] = words[k:] if k else words
+        if k < len(words):
+            following[: len(words) - k] = words[k:]
         value = mixed(np.where(rest > k, following, np.uint64(0)) + value * STREAM + np.uint64(k))
     first = (rest >= width) | (place == 0)
     owner, value = owner[first], value[first]
@@ -237,11 +238,10 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = found.groupBy("class").agg(F.min("text_key").alias("text_key"))
     keep = found.join(first, ["class", "text_key"]).groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
     keep = stage(keep.select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_key"), "times"), "keep")
-    keyed = with_key(docs) if "text_key" not in docs.columns else docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    key = "text_key" if "text_key" not in docs.columns else "_key"
-    at = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col(key) == F.col("keep_key"))
-    once = keyed.join(keep.where("times = 1"), at, "left_semi").drop(key)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    at = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key"))
+    once = rows.join(keep.where("times = 1"), at, "left_semi").select("row.*")
     repeated = keep.where("times > 1")
     if repeated.isEmpty():
         return once
-    return once.unionByName(keyed.join(repeated, at, "left_semi").dropDuplicates(["doc_id", key]).drop(key))
+    return once.unionByName(rows.join(repeated, at, "left_semi").dropDuplicates(["doc_id", "key"]).select("row.*"))

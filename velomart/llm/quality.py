@@ -78,25 +78,29 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_stop_words."""
+    """Adds n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_stop_words.
+
+    Columns of these names are replaced.
+    """
     text = F.coalesce("text", F.lit(""))
     stops = sorted({w for words in STOP_WORDS.values() for w in words})
-    added = ["_words", "_lines"]
-    return (
-        docs.withColumn("_words", F.array_remove(F.split(text, SPACE), ""))
-        .withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")))
-        .withColumns(
-            {
-                "n_words": F.size("_words").cast("long"),
-                "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
-                "n_symbols": (F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
-                "n_lines": F.size("_lines").cast("long"),
-                "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-                "n_repeat_words": _repeat_words(F.col("_words")).cast("long"),
-                "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stops))).cast("long"),
-            }
-        )
-        .drop(*added)
+    measures = {
+        "n_words": F.size("words"),
+        "word_chars": F.char_length(F.array_join("words", "")),
+        "n_symbols": F.col("symbols"),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": _repeat_words(F.col("words")),
+        "n_stop_words": F.size(F.filter("words", lambda w: w.isin(stops))),
+    }
+    return docs.select(
+        F.struct("*").alias("row"),
+        F.array_remove(F.split(text, SPACE), "").alias("words"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]")).alias("lines"),
+        (F.char_length(text) - F.char_length(F.regexp_replace(text, SYMBOLS, ""))).alias("symbols"),
+    ).select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in measures],
+        *[value.cast("long").alias(name) for name, value in measures.items()],
     )
 
 

@@ -31,7 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def described(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, payload, digest, original): ``original`` is the page that stores the payload, for revisits.
+    """(page_id, url, payload, digest, original): ``original`` is the page and url that store the payload, for revisits.
 
     Of equal payloads of ``least`` bytes and more the largest page_id stores it; rows that repeat this id
     all do. A null page_id comes before all others; if a group has only null ids, each stores it.
@@ -43,19 +43,19 @@ def described(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
     stored = (
         hashed.where(F.octet_length("payload") >= least)
         .groupBy("digest")
-        .agg(F.max("page_id").alias("stored"), F.count("*").alias("n"))
-        .where("n > 1 AND stored IS NOT NULL")
+        .agg(F.max(F.struct("page_id", "url")).alias("stored"), F.count("*").alias("n"))
+        .where("n > 1 AND stored.page_id IS NOT NULL")
         .drop("n")
     )
     return (
         hashed.join(stored, "digest", "left")
-        .withColumn("original", F.when(~F.col("page_id").eqNullSafe(F.col("stored")), F.col("stored")))
+        .withColumn("original", F.when(~F.col("page_id").eqNullSafe(F.col("stored.page_id")), F.col("stored")))
         .drop("stored")
     )
 
 
-def _id(page_id: int | None, digest: str, kind: str) -> str:
-    name = f"{page_id}|{digest}|{kind}".encode()
+def _id(page_id: int | None, url: str | None, digest: str, kind: str) -> str:
+    name = repr((page_id, url, digest, kind)).encode()
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(name).digest(), version=3)}>"
 
 
@@ -69,7 +69,7 @@ def _record(kind: str, headers: list[tuple[str, str | None]], block: bytes) -> b
 def transaction(page_id, url, payload: bytes, digest: str, original, date: str = DATE) -> list[bytes]:
     """A page's request, response or revisit, and metadata, as gzip members."""
     uri = None if url is None else quote(url, safe="%/:?#[]@!$&'()*+,;=~")
-    own = _id(page_id, digest, "capture")
+    own = _id(page_id, url, digest, "capture")
     common = [("WARC-Date", date), ("WARC-Target-URI", uri)]
     labelled = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -85,11 +85,11 @@ def transaction(page_id, url, payload: bytes, digest: str, original, date: str =
     if original is None:
         stored = _record("response", capture, http + payload)
     else:
-        stored = _record("revisit", [*capture, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _id(original, digest, "capture"))], http)
+        stored = _record("revisit", [*capture, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _id(original["page_id"], original["url"], digest, "capture"))], http)
     return [
-        _record("request", [("WARC-Record-ID", _id(page_id, digest, "request")), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http; msgtype=request")], asked),
+        _record("request", [("WARC-Record-ID", _id(page_id, url, digest, "request")), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http; msgtype=request")], asked),
         stored,
-        _record("metadata", [("WARC-Record-ID", _id(page_id, digest, "metadata")), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], fields),
+        _record("metadata", [("WARC-Record-ID", _id(page_id, url, digest, "metadata")), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], fields),
     ]
 
 
