@@ -6,6 +6,7 @@ import datetime as dt
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 from build import hires, rows, stations
 
 from velomart.plans import calendar
@@ -52,7 +53,9 @@ def test_object_store_keys_come_from_the_environment():
 def test_stations_from_csv(spark, tmp_path):
     path = tmp_path / "stations.csv"
     path.write_text("name,id,extra,latitude,longitude,terminal_name\nA,1,z,51.5,-0.1,1001\nB,2,z,bad,-0.2,\n")
-    assert rows(scans.scan_stations_csv(spark, str(path))) == [(1, "A", 51.5, -0.1, 1001), (2, "B", None, -0.2, None)]
+    read = scans.scan_stations_csv(spark, str(path))
+    assert rows(read) == [(1, "A", 51.5, -0.1, 1001, "z"), (2, "B", None, -0.2, None, "z")]
+    assert rows(scans.unreadable_stations(spark, str(path))) == [("latitude", "bad", 1)]
 
 
 def test_date_seed_keeps_text_columns(spark, tmp_path):
@@ -92,15 +95,28 @@ def test_catalog_lists_loads_and_profiles(spark):
     assert catalog.describe(frames["mart_notes_df"]) == {"dtypes": {"id": "bigint"}, "shape": (2, 1)}
 
 
-def test_copy_goes_on_after_a_failure(spark, tmp_path):
+def test_copy_goes_on_after_any_failure_and_keeps_the_old_copy(spark, tmp_path):
+    target = tmp_path / "out"
     broken = spark.createDataFrame([("x",)], "s string").selectExpr("cast(s AS int) AS n")
+    spark.range(7).write.parquet(str(tmp_path / "damaged"))
+    for file in (tmp_path / "damaged").glob("*.parquet"):
+        file.write_bytes(b"not parquet at all")
+    damaged = spark.read.schema("id long").parquet(str(tmp_path / "damaged"))
+    spark.range(2).write.parquet(str(target / "damaged"))  # an earlier, good copy
+    spark.range(9).write.parquet(str(target / "b"))
+    names = ["a", "missing", "broken", "damaged", "b"]
     report = sinks.copy_tables(
-        spark, ["a", "missing", "broken", "b"], {"a": spark.range(3), "b": spark.range(4), "broken": broken}, str(tmp_path)
+        spark, names, {"a": spark.range(3), "b": spark.range(4), "broken": broken, "damaged": damaged}, str(target)
     )
     assert rows(report, "table_name", "row_count", "succeeded") == [
-        ("a", 3, True), ("b", 4, True), ("broken", None, False), ("missing", None, False)
+        ("a", 3, True), ("b", 4, True), ("broken", None, False), ("damaged", None, False), ("missing", None, False)
     ]
-    assert spark.read.parquet(str(tmp_path / "b")).count() == 4
+    errors = {r.table_name: r for r in report.collect()}
+    assert errors["missing"].error_type == "KeyError" and errors["a"].error is None
+    assert len(errors["damaged"].error) > 500
+    assert spark.read.parquet(str(target / "b")).count() == 4
+    assert spark.read.parquet(str(target / "damaged")).count() == 2
+    assert sorted(p.name for p in target.iterdir()) == ["a", "b", "damaged"]
 
 
 def test_warehouse_builds_partitioned_tables_twice(spark, tmp_path):
@@ -138,3 +154,22 @@ def test_staged_table_lies_in_the_session_folder(spark):
     df = sinks.staged(spark.range(9), "nine")
     assert df.count() == 9
     assert spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0]
+
+
+def test_work_folder_is_one_per_application_and_can_be_released(spark, tmp_path):
+    from pathlib import Path
+
+    df = sinks.staged(spark.range(3), "three")
+    folder = Path(sinks.run_folder(spark))
+    assert folder.name == spark.sparkContext.applicationId and any(folder.iterdir()) and df.count() == 3
+    sinks.release(spark)
+    assert not folder.exists()
+    assert sinks.staged(spark.range(2), "two").count() == 2
+
+
+def test_default_calendar_covers_every_hire(spark, tmp_path):
+    hire, known = raw(spark)
+    late = hire.withColumn("start_date", F.expr("start_date + INTERVAL 16 MONTH")).withColumn("end_date", F.expr("end_date + INTERVAL 16 MONTH"))
+    tables = build_star(Warehouse(spark, str(tmp_path)), hire.unionByName(late), known)
+    assert calendar.uncovered_days(tables["fact_hire"], tables["dim_date"]).count() == 0
+    assert calendar.uncovered_days(tables["fact_hire"], calendar.dim_date(spark)).agg(F.sum("hires")).first()[0] == 24

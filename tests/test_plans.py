@@ -133,11 +133,30 @@ def test_daily_usage_shuffles_only_days_with_hires(spark, models):
     """Below the rows multiplied by the calendar there are shuffles, above there are none."""
     from velomart.plans.calendar import dim_date
 
-    text = plan(star.fact_bike_daily_usage(models["fact"], models["bike"], dim_date(spark)))
-    upper = text[: text.index("Generate explode(sequence(")]
-    above = [line for line in upper.splitlines() if "Exchange" in line]
-    assert all("BroadcastExchange" in line for line in above), above
-    assert "CartesianProduct" not in text
+    dates = dim_date(spark)
+    runs = star.usage_runs(models["fact"], models["bike"], dates)
+    # Also as it is written: by month first, then days, sorted where they are.
+    written = star.usage_days(star.usage_by_month(runs), dates).sortWithinPartitions("date_key", "bike_id")
+    for text in (plan(star.usage_days(runs, dates)), plan(written)):
+        upper = text[: text.index("Generate explode(sequence(from_day")]
+        above = [line for line in upper.splitlines() if "Exchange" in line]
+        assert all("BroadcastExchange" in line for line in above), above
+        assert "CartesianProduct" not in text
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(written)
+
+
+def test_dense_usage_gets_partitions_by_its_size(spark, models, monkeypatch):
+    from velomart.plans.calendar import dim_date
+
+    dates = dim_date(spark)
+    monkeypatch.setattr(star, "DENSE_ROWS_PER_TASK", 1000)
+    expected = -(-models["bike"].count() * (dates.count() - 1) // 1000)
+    assert f", {expected})" in plan(star.usage_runs(models["fact"], models["bike"], dates))
+
+
+def test_days_are_read_by_partition(spark):
+    text = plan(all_queries()["active_bike_days"](spark, SF))
+    assert "PartitionFilters: [isnotnull(date_key" in text
 
 
 def test_latest_hire_is_limited_per_task_before_the_shuffle(models):

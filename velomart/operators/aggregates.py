@@ -17,8 +17,7 @@ def exact_median(df: DataFrame, group: str, value: str, widths: tuple[int, ...])
     values (the last width is 1). Every step is a partially aggregated count; the only window
     runs over bucket counts, at most range / width or width / next width of them per group.
 
-    ``group`` must be a label with a small fixed domain: what is broadcast is two rows per
-    group. Gives (group, low, high). Reads ``df`` once per width: pass a written table.
+    What is joined to the rows is two ranks per group. Gives (group, low, high). Reads ``df`` once per width: pass a written table.
     """
     rows = df.where(F.col(value).isNotNull()).select(group, value)
     last = F.col("total") - 1
@@ -47,10 +46,10 @@ def exact_median(df: DataFrame, group: str, value: str, widths: tuple[int, ...])
         )
 
     histogram = rows.groupBy(group, bucket(widths[0]).alias("bucket")).agg(F.count("*").alias("n"))
-    hit = holding_rank(histogram.join(F.broadcast(middle), group))
+    hit = holding_rank(histogram.join(middle, group))
     for coarser, width in zip(widths, widths[1:]):
         inside = rows.withColumn("coarse", bucket(coarser)).join(
-            F.broadcast(hit.withColumnRenamed("bucket", "coarse")), [group, "coarse"]
+            hit.withColumnRenamed("bucket", "coarse"), [group, "coarse"]
         )
         hit = holding_rank(
             inside.groupBy(group, "side", "rank", bucket(width).alias("bucket")).agg(F.count("*").alias("n"))
@@ -61,18 +60,21 @@ def exact_median(df: DataFrame, group: str, value: str, widths: tuple[int, ...])
 def distinct_counts(df: DataFrame) -> DataFrame:
     """(column_name, distinct_count) for every column, exact, NULLs not counted.
 
-    One narrow distinct per column: each reads and shuffles a single column. All counts in one
-    aggregate would multiply every row by the number of columns, each copy as wide as the row.
-    Pass a table, not a long plan: the branches read it side by side.
+    One pass: the columns become (name, value as text) rows, which are made distinct before and after
+    one shuffle. Values are counted as text, which is one to one for every type used here.
     """
-    counts = [
-        df.select(F.col(f"`{name}`").alias("value"))
+    names = df.columns
+    distinct = (
+        df.select(*[F.col(f"`{name}`").cast("string").alias(name) for name in names])
+        .unpivot([], [F.col(f"`{name}`") for name in names], "column_name", "value")
         .where("value IS NOT NULL")
         .distinct()
-        .agg(F.lit(name).alias("column_name"), F.count("*").alias("distinct_count"))
-        for name in df.columns
-    ]
-    return reduce(DataFrame.unionAll, counts)
+    )
+    counted = distinct.groupBy("column_name").agg(F.count("*").alias("distinct_count"))
+    listed = df.sparkSession.createDataFrame([(name,) for name in names], "column_name string")
+    return listed.join(counted, "column_name", "left").select(
+        "column_name", F.coalesce("distinct_count", F.lit(0)).cast("long").alias("distinct_count")
+    )
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,3 +47,26 @@ def unaccepted_offenders(df: DataFrame, column: str, accepted: Iterable) -> Data
         .groupBy(column)
         .agg(F.count("*").alias("occurrences"))
     )
+
+
+def orphan_keys(child: DataFrame, links: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """(child_column, value, child_rows) of keys without a parent, for (column, parent, key) links of one child.
+
+    One pass and one shuffle of the child, whatever the number of links; keys are compared as text.
+    """
+    columns = [column for column, *_ in links]
+    keys = (
+        child.select(*[F.col(name).cast("string").alias(name) for name in columns])
+        .unpivot([], columns, "child_column", "value")
+        .where("value IS NOT NULL")
+        .groupBy("child_column", "value")
+        .agg(F.count("*").alias("child_rows"))
+    )
+    known = reduce(
+        DataFrame.unionAll,
+        [
+            parent.select(F.lit(column).alias("child_column"), F.col(key).cast("string").alias("value"))
+            for column, parent, key in links
+        ],
+    )
+    return keys.join(known, ["child_column", "value"], "left_anti").select("child_column", "value", "child_rows")

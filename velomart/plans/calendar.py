@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from velomart.functions import columns as c
 
-# The days the date seed covers.
+# The days taken for the date seed, whose file is not given.
 FIRST_DAY = dt.date(2015, 1, 1)
 LAST_DAY = dt.date(2023, 1, 31)
 
@@ -45,3 +46,9 @@ def dim_date_spanning(hires: DataFrame) -> DataFrame:
     )
     days = f"concat(sequence(first, last), array({c.open_end_day()}))"
     return _dim_date_columns(span.selectExpr(f"explode({days}) AS date_key"))
+
+
+def uncovered_days(hires: DataFrame, dates: DataFrame) -> DataFrame:
+    """(start_date_key, hires): start days that a calendar lacks; their hires drop out of what is joined to it."""
+    counted = hires.groupBy("start_date_key").agg(F.count("*").alias("hires"))
+    return counted.join(dates.select("date_key"), F.col("start_date_key") == F.col("date_key"), "left_anti")

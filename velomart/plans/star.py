@@ -70,15 +70,15 @@ def fact_hire(stg_hires: DataFrame) -> DataFrame:
     )
 
 
-def fact_bike_daily_usage(hires: DataFrame, bikes: DataFrame, dates: DataFrame) -> DataFrame:
-    """Every hired bike on every day: hires, minutes and running minutes.
+#: Rows of the daily usage that one task spreads out, about.
+DENSE_ROWS_PER_TASK = 5_000_000
+
 
-    The result is the cross product of bike rows and days, far larger than the days with hires.
-    So the running total is taken over the days with hires only, and each such row is then
-    spread over the days up to the bike's next one. The dense rows are produced in place after
-    the window and are never shuffled or sorted; a bike's window holds at most one row per day.
+def usage_runs(hires: DataFrame, bikes: DataFrame, dates: DataFrame) -> DataFrame:
+    """One row per bike and day with hires, with the stretch of days on which it is the latest one.
 
-    A bike with several model rows repeats each day that often, and since the running total is
+    The running total is taken over the days with hires only; a bike's window holds at most one row
+    per day. A bike with several model rows repeats each day that often, and since the running total is
     defined over a RANGE frame, peers on one day all show the sum over all of them.
     """
     days = dates.where(f"date_key <> {c.open_end_day()}").selectExpr("date_key AS day")
@@ -91,12 +91,14 @@ def fact_bike_daily_usage(hires: DataFrame, bikes: DataFrame, dates: DataFrame)
         .join(days, F.expr("start_date_key = day"), "left")
         .drop("start_date_key")
     )
-    # Rows grow about a hundredfold after this shuffle, so its partitions are set by number:
-    # adaptive execution would merge them by the size before the growth.
-    partitions = int(hires.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Rows grow about a hundredfold after this shuffle, so its partitions are set by the rows that will
+    # be: adaptive execution would merge them by the size before the growth.
+    spark = hires.sparkSession
+    dense = bikes.count() * days.count()
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dense // DENSE_ROWS_PER_TASK))
     daily = daily.repartition(partitions, "bike_id")
     in_order = Window.partitionBy("bike_id").orderBy(F.asc_nulls_last("day"))
-    runs = (
+    return (
         daily.select(
             "*",
             F.row_number().over(in_order).alias("nth"),
@@ -118,12 +120,32 @@ def fact_bike_daily_usage(hires: DataFrame, bikes: DataFrame, dates: DataFrame)
             "minutes",
             "running * model_rows AS running",
             # The first row also covers the days before the first hire.
-            "explode(sequence(if(nth = 1, first_day, day), coalesce(date_sub(next_day, 1), last_day))) AS day",
+            "if(nth = 1, first_day, day) AS from_day",
+            "coalesce(date_sub(next_day, 1), last_day) AS to_day",
             "model_rows",
         )
-        .join(days, "day", "left_semi")  # leaves out days the calendar skips
     )
-    return runs.withColumnRenamed("day", "date_key").select(
+
+
+def usage_by_month(runs: DataFrame) -> DataFrame:
+    """``usage_runs`` cut at the ends of months and brought together by month.
+
+    A month is about a thirtieth of the rows that its days will be, so this is the place to shuffle.
+    """
+    cut = runs.selectExpr("*", "explode(sequence(trunc(from_day, 'MM'), trunc(to_day, 'MM'), INTERVAL 1 MONTH)) AS month")
+    return (
+        cut.withColumn("from_day", F.expr("greatest(from_day, month)"))
+        .withColumn("to_day", F.expr("least(to_day, last_day(month))"))
+        .hint("rebalance", "month")
+        .drop("month")
+    )
+
+
+def usage_days(runs: DataFrame, dates: DataFrame) -> DataFrame:
+    """Each run spread over its days, in place."""
+    days = dates.where(f"date_key <> {c.open_end_day()}").selectExpr("date_key AS day")
+    dense = runs.selectExpr("*", "explode(sequence(from_day, to_day)) AS day").join(days, "day", "left_semi")
+    return dense.withColumnRenamed("day", "date_key").select(
         c.surrogate_key("bike_id", "date_key").alias("bike_usage_key"),
         "bike_id",
         "date_key",
@@ -132,3 +154,12 @@ def fact_bike_daily_usage(hires: DataFrame, bikes: DataFrame, dates: DataFrame)
         F.expr("if(date_key >= hire_day, running, 0L) AS cumulative_duration_minutes"),
         F.expr("explode(array_repeat(0, model_rows)) AS copy"),
     ).drop("copy")
+
+
+def fact_bike_daily_usage(hires: DataFrame, bikes: DataFrame, dates: DataFrame) -> DataFrame:
+    """Every hired bike on every day: hires, minutes and running minutes.
+
+    The result is the cross product of bike rows and days, far larger than the days with hires, so each of
+    those is spread over the days up to the bike's next one. The dense rows are never shuffled or sorted.
+    """
+    return usage_days(usage_runs(hires, bikes, dates), dates)

@@ -28,7 +28,6 @@ def trend_month_model(hires: DataFrame, bikes: DataFrame, cutoff: str = c.MODEL_
         per_bike.join(bikes.select("bike_id", "bike_model"), "bike_id")
         .groupBy("year_month", label)
         .agg(F.expr("sum(trips) AS trip_count"))
-        .orderBy("year_month", "bike_model")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from velomart.plans import altstar, calendar, staging, star
-from velomart.sinks.tables import staged, write_partitioned
+from velomart.sinks.tables import replace_files, staged, write_days, write_partitioned
 
 # Partition column and clustering of the partitioned tables.
 PARTITIONED = {
@@ -18,14 +18,12 @@ STAR_TABLES = ["dim_bike", "dim_station", "dim_date", "fact_bike_daily_usage", "
 class Warehouse:
     """Tables under one folder; ``save`` replaces a table and returns it as written.
 
-    The facts are partitioned by day, which pays once a day fills a file; with
-    ``by_day=False`` they are written plainly.
+    The facts are partitioned by day. A table is replaced only by a complete one.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, by_day: bool = True):
+    def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
-        self.by_day = by_day
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -33,34 +31,43 @@ class Warehouse:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def _written(self, name: str, df: DataFrame) -> DataFrame:
+        return self.spark.read.schema(df.schema).parquet(self.path(name)).select(*df.columns)
+
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        if self.by_day and name in PARTITIONED:
-            partition, cluster = PARTITIONED[name]
-            write_partitioned(df, self.path(name), partition, cluster)
+        if name in PARTITIONED:
+            write_partitioned(df, self.path(name), *PARTITIONED[name])
         else:
-            df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name)).select(*df.columns)
+            replace_files(self.spark, self.path(name), lambda folder: df.write.parquet(folder))
+        return self._written(name, df)
+
+    def save_usage(self, hires: DataFrame, bikes: DataFrame, dates: DataFrame) -> DataFrame:
+        """Build and save the daily usage; its rows are brought together by month before they are days."""
+        name = "fact_bike_daily_usage"
+        df = star.usage_days(star.usage_by_month(star.usage_runs(hires, bikes, dates)), dates)
+        write_days(df, self.path(name), *PARTITIONED[name])
+        return self._written(name, df)
 
 
 def build_star(warehouse: Warehouse, hires: DataFrame, stations: DataFrame, dates: DataFrame | None = None):
     """Build the star tables from raw data; returns them by name, read from the written files.
 
     Staging stays a view over the raw scan: reading the raw columns a table needs again is
-    cheaper than writing all of them. Its two station lookups are written once.
+    cheaper than writing all of them. Its two station lookups are written once. ``dates``: a loaded seed;
+    without one the calendar spans the days of the hires, so that none drops out.
     """
     by_start, by_end = staging.station_lookups(hires, stations)
     lookups = staged(by_start, "start_lookup"), staged(by_end, "end_lookup")
     staged_hires = staging.stg_cycle_hire(hires, stations, lookups)
     tables = {}
     tables["dim_date"] = warehouse.save(
-        "dim_date", (calendar.dim_date(warehouse.spark) if dates is None else dates).coalesce(1)
+        "dim_date", (calendar.dim_date_spanning(hires) if dates is None else dates).coalesce(1)
     )
     tables["dim_bike"] = warehouse.save("dim_bike", star.dim_bike(staged_hires))
     tables["dim_station"] = warehouse.save("dim_station", star.dim_station(staged_hires, stations))
     tables["fact_hire"] = warehouse.save("fact_hire", star.fact_hire(staged_hires))
-    tables["fact_bike_daily_usage"] = warehouse.save(
-        "fact_bike_daily_usage",
-        star.fact_bike_daily_usage(tables["fact_hire"], tables["dim_bike"], tables["dim_date"]),
+    tables["fact_bike_daily_usage"] = warehouse.save_usage(
+        tables["fact_hire"], tables["dim_bike"], tables["dim_date"]
     )
     return tables
 

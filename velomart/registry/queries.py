@@ -1,13 +1,14 @@
 """Every query by name: ``(spark, sf_dir) -> DataFrame``.
 
-The warehouse is composed lazily from the test tables: a query is one plan from the Parquet
-scan to its result. Results that a query reads more than once are staged (written and read back).
+Models are composed lazily from the test tables. Results that a query reads more than once are staged
+(written and read back), which runs jobs when the query is built; checks, profiles and copies run on built tables.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,10 @@ from velomart.operators import aggregates, quality, sorting
 from velomart.plans import (
     altstar, calendar, checks, demand, fleet, lifecycle, staging, star, stations, trend, warehouse,
 )
-from velomart.sinks.tables import copy_tables, staged, work_folder
-from velomart.sources import bridge
-from velomart.sources.scans import ingest_report
+from velomart.sinks.tables import copy_tables, ensure_database, replace_table, staged, work_folder
+from velomart.sources import bridge, catalog
+from velomart.sources.registry import Source, SourceRegistry
+from velomart.sources.scans import ingest_report, scan_date_seed, scan_stations_csv, unreadable_stations
 
 
 class Models:
@@ -47,7 +49,7 @@ class Models:
 
     @cached_property
     def dim_date(self):
-        return calendar.dim_date(self.spark)
+        return calendar.dim_date_spanning(self.hires)
 
     @cached_property
     def fact_hire(self):
@@ -57,6 +59,21 @@ class Models:
     def daily_usage(self):
         return star.fact_bike_daily_usage(self.fact_hire, self.dim_bike, self.dim_date)
 
+    @cached_property
+    def usage_table(self):
+        """The daily usage as written, partitioned by day."""
+        built = warehouse.Warehouse(self.spark, work_folder(self.spark))
+        return built.save_usage(
+            staged(self.fact_hire, "fact_hire"), staged(self.dim_bike, "dim_bike"), staged(self.dim_date, "dim_date")
+        )
+
+    @cached_property
+    def built(self):
+        """Both stars as written tables, by name."""
+        folder = warehouse.Warehouse(self.spark, work_folder(self.spark))
+        tables = warehouse.build_star(folder, self.hires, self.raw_stations)
+        return tables | warehouse.build_alternative(folder, self.hires)
+
     @cached_property
     def alt_dim_station(self):
         """Staged: the hires join it twice, and written its size is known to the planner."""
@@ -95,52 +112,56 @@ def long_hires(spark: SparkSession, sf_dir: str) -> Models:
 
 
 def _profile(m: Models) -> DataFrame:
-    """Distinct counts over built tables."""
-    tables = {"fact_hire": m.fact_hire, "dim_bike": m.dim_bike, "dim_station": m.dim_station}
-    return aggregates.table_profile({name: staged(df, name) for name, df in tables.items()})
+    """Distinct counts over the built star."""
+    return aggregates.table_profile({name: m.built[name] for name in warehouse.STAR_TABLES})
 
 
 def _unique_report(m: Models) -> DataFrame:
-    hits = {
-        "fact_hire.rental_id": quality.unique_offenders(m.fact_hire, "rental_id"),
-        "dim_bike.bike_id": quality.unique_offenders(m.dim_bike, "bike_id"),
-        "dim_station.station_key": quality.unique_offenders(m.dim_station, "station_key"),
-    }
+    """Repeated values of every column declared unique."""
     parts = [
-        df.select(
-            F.lit(name).alias("checked"),
-            F.col(name.split(".")[1]).cast("string").alias("value"),
-            "occurrences",
+        quality.unique_offenders(m.built[table], name).select(
+            F.lit(f"{table}.{name}").alias("checked"), F.col(name).cast("string").alias("value"), "occurrences"
         )
-        for name, df in hits.items()
+        for table, names in {**checks.UNIQUE, **checks.EXTRA_UNIQUE}.items()
+        for name in names
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _relationship_report(m: Models) -> DataFrame:
-    """Foreign keys of built tables without their parent."""
-    hires, stations_built = staged(m.fact_hire, "fact_hire"), staged(m.dim_station, "dim_station")
-    pairs = [
-        ("start_station_id", stations_built, "station_id"),
-        ("end_station_id", stations_built, "station_id"),
-        ("start_date_key", m.dim_date, "date_key"),
-        ("end_date_key", m.dim_date, "date_key"),
+    """Values of every declared foreign key that lack their parent."""
+    parts = [
+        quality.orphan_keys(m.built[child], checks.links_of(m.built, child)).withColumn("child_table", F.lit(child))
+        for child in dict.fromkeys(child for child, *_ in checks.RELATIONSHIPS)
     ]
-    result = None
-    for column, parent, key in pairs:
-        part = quality.orphan_offenders(hires, column, parent, key).select(
-            F.lit(column).alias("child_column"), F.col(column).cast("string").alias("value"), "child_rows"
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _null_report(m: Models) -> DataFrame:
+    """Declared columns that have NULLs all the same."""
+    parts = [
+        quality.null_counts(m.built[table], names).withColumn("table_name", F.lit(table))
+        for table, names in checks.NOT_NULL.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).where("failures > 0")
+
+
+def _accepted_report(m: Models) -> DataFrame:
+    """Rows seen and rows outside the list, for every column with accepted values."""
+    parts = []
+    for table, name, accepted in checks.ACCEPTED:
+        outside = quality.unaccepted_offenders(m.built[table], name, accepted).agg(F.sum("occurrences"))
+        parts.append(
+            m.built[table]
+            .agg(F.count(name).alias("checked_rows"))
+            .select(F.lit(name).alias("column_name"), "checked_rows", F.coalesce(outside.scalar(), F.lit(0)).alias("failures"))
         )
-        result = part if result is None else result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _check_report(m: Models) -> DataFrame:
-    """Build both stars as written tables, then run every declared check on them."""
-    built = warehouse.Warehouse(m.spark, work_folder(m.spark), by_day=False)
-    tables = warehouse.build_star(built, m.hires, m.raw_stations)
-    tables |= warehouse.build_alternative(built, m.hires)
-    return checks.check_report(tables)
+    """Every declared check on the built tables."""
+    return checks.check_report(m.built)
 
 
 def _partitioned_days(m: Models) -> DataFrame:
@@ -155,16 +176,75 @@ def _partitioned_days(m: Models) -> DataFrame:
 
 
 def _copy_report(m: Models) -> DataFrame:
-    """Copy built tables and one that nothing builds."""
-    tables = {
-        "dim_bike": m.dim_bike,
-        "dim_station": m.dim_station,
-        "fact_hire": m.fact_hire,
-    }
-    names = ["dim_bike", "dim_station", "fact_hire", "next_gen_station_table"]
-    return copy_tables(m.spark, names, tables, work_folder(m.spark)).select(
-        "table_name", "row_count", "succeeded"
-    )
+    """Copy the star tables and one that nothing builds."""
+    names = [*warehouse.STAR_TABLES, "next_gen_station_table"]
+    return copy_tables(m.spark, names, m.built, work_folder(m.spark)).drop("error")
+
+
+def _rebuild_report(m: Models) -> DataFrame:
+    """Build the star twice into one folder; the second build replaces every table."""
+    folder = warehouse.Warehouse(m.spark, work_folder(m.spark))
+    warehouse.build_star(folder, m.hires, m.raw_stations)
+    again = warehouse.build_star(folder, m.hires, m.raw_stations)
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")) for name, df in again.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _csv_stations(m: Models) -> str:
+    """The raw stations as CSV with one more column; every eleventh id is not a number."""
+    path = work_folder(m.spark)
+    m.raw_stations.selectExpr(
+        "terminal_name", "'docked' AS kind", "if(id % 11 = 0, concat('x', id), string(id)) AS id", "name", "latitude", "longitude"
+    ).write.option("header", True).csv(path)
+    return path
+
+
+def _csv_kinds(m: Models) -> DataFrame:
+    """Stations by the CSV's further column, and how many of them have an id."""
+    stations_read = scan_stations_csv(m.spark, _csv_stations(m))
+    return stations_read.groupBy("kind").agg(F.count("*").alias("stations"), F.count("id").alias("with_id"))
+
+
+def _csv_heat(m: Models) -> DataFrame:
+    """The heat layer from stations read as CSV."""
+    path = work_folder(m.spark)
+    m.raw_stations.write.option("header", True).csv(path)
+    return stations.station_heat(scan_stations_csv(m.spark, path), m.dim_station)
+
+
+def _date_seed(m: Models) -> DataFrame:
+    """The calendar of the hires through a CSV seed."""
+    path = work_folder(m.spark)
+    m.dim_date.write.option("header", True).csv(path)
+    return scan_date_seed(m.spark, path)
+
+
+def _catalog_report(m: Models) -> DataFrame:
+    """Save tables into a database of their own, list and load them by frame name, and count."""
+    database = f"velomart_{uuid.uuid4().hex}"
+    ensure_database(m.spark, database)
+    try:
+        for name, df in (("dim_bike", m.dim_bike), ("dim_station", m.dim_station), ("stg_cycle_hire", m.stg_hires)):
+            replace_table(df, f"`{database}`.`{name}`")
+        listed = [(base, name) for base, name in catalog.list_tables(m.spark) if base == database]
+        frames = catalog.load_frames(m.spark, listed)
+        rows = [
+            (name.removeprefix(f"{database}_"), len(catalog.list_columns(m.spark, f"{base}.{table}")), catalog.describe(frames[name])["shape"][0])
+            for base, table in listed
+            for name in [catalog.frame_name(table, base)]
+        ]
+    finally:
+        m.spark.sql(f"DROP DATABASE `{database}` CASCADE")
+    return m.spark.createDataFrame(rows, "frame_name string, columns int, row_count long")
+
+
+def _zoned_times(m: Models) -> DataFrame:
+    """Hires whose times were written with a zone, read through a declared source, by hour in UTC."""
+    path = f"{work_folder(m.spark)}/zoned"
+    m.hires.withColumn("start_date", F.expr("cast(concat(start_date, '+00:00') AS timestamp)")).write.parquet(path)
+    declared = SourceRegistry("lake", {"cycle_hire": {"lake": Source(path=f"{path}*"), "catalog": Source(table="cycle_hire")}})
+    hires = declared.read(m.spark, "cycle_hire")
+    return hires.groupBy(F.hour("start_date").alias("start_hour")).agg(F.count("*").alias("hires"))
 
 
 def _ingest_report(m: Models) -> DataFrame:
@@ -216,28 +296,34 @@ SHORT: dict[str, Callable[[Models], DataFrame]] = {
         stations.station_heat(m.raw_stations, m.dim_station)
     ),
     # fleet
-    "latest_usage_date": lambda m: fleet.latest_usage_date(m.daily_usage),
-    "active_bike_days": lambda m: fleet.active_bike_days(m.daily_usage),
+    "latest_usage_date": lambda m: fleet.latest_usage_date(m.usage_table),
+    "active_bike_days": lambda m: fleet.active_bike_days(m.usage_table),
     "bike_last_location": lambda m: fleet.bike_last_location(m.fact_hire, m.dim_bike),
     "bike_idle_days": lambda m: fleet.bike_idle_days(fleet.bike_last_location(m.fact_hire, m.dim_bike)),
     # checks and profiles
     "profile_distinct": _profile,
     "dq_unique": _unique_report,
-    "dq_not_null": lambda m: quality.null_offenders(m.stg_hires, "end_date"),
+    "dq_not_null": _null_report,
     "dq_relationships": _relationship_report,
-    "dq_accepted_values": lambda m: quality.unaccepted_offenders(
-        m.stg_hires, "bike_model", ["CLASSIC"]
-    ),
+    "dq_accepted_values": _accepted_report,
     "dq_report": _check_report,
     # sources and sinks
     "raw_ingest_status": _ingest_report,
     "partitioned_fact_hire": _partitioned_days,
     "table_copy_status": _copy_report,
+    "rebuild_status": _rebuild_report,
+    "stations_csv_kinds": _csv_kinds,
+    "stations_csv_unreadable": lambda m: unreadable_stations(m.spark, _csv_stations(m)),
+    "stations_csv_heat": _csv_heat,
+    "catalog_frames": _catalog_report,
+    "zoned_start_hours": _zoned_times,
 }
 
 LONG: dict[str, Callable[[Models], DataFrame]] = {
-    "dim_date": lambda m: calendar.dim_date_spanning(m.hires),
-    "trend_month_model": lambda m: trend.trend_month_model(m.fact_hire, m.dim_bike),
+    "dim_date": lambda m: m.dim_date,
+    "date_seed": _date_seed,
+    "uncovered_days": lambda m: calendar.uncovered_days(m.fact_hire, calendar.dim_date(m.spark)),
+    "trend_month_model": lambda m: trend.trend_month_model(m.fact_hire, m.dim_bike).orderBy("year_month", "bike_model"),
     "trend_pivot": lambda m: trend.trend_pivot(m.month_trend),
     "trend_modern_era": lambda m: trend.trend_modern_era(m.month_trend),
     "trend_share": lambda m: trend.trend_share(m.month_trend),

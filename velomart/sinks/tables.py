@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +55,27 @@ def staged(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replace_files(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Replace the files at ``path`` by what ``write`` puts into the folder it is given.
+
+    Written beside the old files and swapped in when complete: if writing fails, the old ones stay.
+    """
+    beside = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
+    target, new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{beside}_new", f"{beside}_old"))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(f"{beside}_new")
+        files.mkdirs(target.getParent())
+        if files.exists(target) and not files.rename(target, old):
+            raise OSError(f"{path} could not be moved aside")
+        if not files.rename(new, target):
+            files.rename(old, target)
+            raise OSError(f"the new files could not be moved to {path}")
+    finally:
+        files.delete(new, True)
+    files.delete(old, True)
+
+
 def replace_table(df: DataFrame, name: str) -> None:
     """Create or replace a catalog table with the rows of ``df``."""
     df.write.mode("overwrite").saveAsTable(name)
@@ -71,19 +91,19 @@ def ensure_database(spark: SparkSession, name: str) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, partition: str, cluster: list[str]) -> None:
-    """Write by partition column, rows clustered inside each file.
+    """Write by partition column, rows clustered inside each file, replacing what was there.
 
     REBALANCE shuffles by the partition column, then adaptive execution splits the days that
     are too large for one task and merges small ones: neither one task per hot day nor a file
     per task and day. The sort lets Parquet min/max statistics skip row groups.
     """
-    (
-        df.hint("rebalance", partition)
-        .sortWithinPartitions(partition, *cluster)
-        .write.mode("overwrite")
-        .partitionBy(partition)
-        .parquet(path)
-    )
+    write_days(df.hint("rebalance", partition), path, partition, cluster)
+
+
+def write_days(df: DataFrame, path: str, partition: str, cluster: list[str]) -> None:
+    """As ``write_partitioned``, for rows that lie together by partition already."""
+    rows = df.sortWithinPartitions(partition, *cluster)
+    replace_files(df.sparkSession, path, lambda folder: rows.write.partitionBy(partition).parquet(folder))
 
 
 def write_counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
@@ -99,18 +119,24 @@ def copy_tables(
     read: Callable[[str], DataFrame] | Mapping[str, DataFrame],
     target: str,
 ) -> DataFrame:
-    """Copy tables into ``target`` one after another; a failure is noted and the rest go on.
+    """Copy tables into ``target`` one after another; any failure is noted and the rest go on.
 
-    Returns (table_name, row_count, succeeded, error), one row per name.
+    A table already at the target is replaced only by a complete copy. Returns (table_name, row_count,
+    succeeded, error_type, error), one row per name.
     """
     outcome = []
     for name in names:
         try:
             source = read[name] if isinstance(read, Mapping) else read(name)
-            rows = write_counted(source, lambda df: df.write.mode("overwrite").parquet(f"{target}/{name}"))
-            outcome.append((name, rows, True, None))
-        except (PySparkException, KeyError, OSError) as problem:
-            outcome.append((name, None, False, f"{type(problem).__name__}: {problem}"[:500]))
+            counted = []
+            replace_files(
+                spark,
+                f"{target}/{name}",
+                lambda folder: counted.append(write_counted(source, lambda df: df.write.parquet(folder))),
+            )
+            outcome.append((name, counted[0], True, None, None))
+        except Exception as problem:  # whatever a table's files or plan can raise
+            outcome.append((name, None, False, type(problem).__name__, str(problem)))
     return spark.createDataFrame(
-        outcome, "table_name string, row_count long, succeeded boolean, error string"
+        outcome, "table_name string, row_count long, succeeded boolean, error_type string, error string"
     )

@@ -57,7 +57,6 @@ def stations_from_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _table(spark, sf_dir, "supplier", SUPPLIER)
         .selectExpr("s_suppkey + 1 AS number", "cast(s_nationkey AS double) AS nation")
-        .where("number % 13 <> 0")
         .selectExpr(
             "number",
             "nation",

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from velomart.functions import columns as c
 from velomart.plans.calendar import DIM_DATE_SCHEMA
-from velomart.sinks.tables import write_counted
+from velomart.sinks.tables import replace_files, write_counted
 
 STATIONS_SCHEMA = T.StructType(
     [
@@ -42,10 +42,28 @@ def scan_parquet(spark: SparkSession, pattern: str, options: Mapping[str, str] |
 
 
 def scan_stations_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Stations from CSV with a header, columns in any order, further columns ignored."""
+    """Stations from CSV with a header: the known columns typed and first, further ones kept as text.
+
+    A value that cannot be read as its type becomes NULL here; ``unreadable_stations`` reports those rows.
+    """
     header = spark.read.option("header", True).csv(path)  # reads the header line only
-    return header.select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in STATIONS_SCHEMA]
+    known = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in STATIONS_SCHEMA]
+    return header.select(*known, *[F.col(f"`{name}`") for name in header.columns if name not in STATIONS_SCHEMA.names])
+
+
+def unreadable_stations(spark: SparkSession, path: str) -> DataFrame:
+    """(column_name, value, rows): texts in the stations CSV that are not of their column's type."""
+    header = spark.read.option("header", True).csv(path)
+    wrong = [
+        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.col(f.name)).alias(f.name)
+        for f in STATIONS_SCHEMA
+    ]
+    return (
+        header.select(*wrong)
+        .unpivot([], STATIONS_SCHEMA.names, "column_name", "value")
+        .where("value IS NOT NULL")
+        .groupBy("column_name", "value")
+        .agg(F.count("*").alias("rows"))
     )
 
 
@@ -62,13 +80,16 @@ def ingest(
     Returns (rows read, rows in the written table); the load is sound if they are equal.
     """
     source = scan_parquet(spark, pattern, options)
-    read = write_counted(source, lambda df: df.write.mode("overwrite").parquet(target))
-    return read, spark.read.parquet(target).count()
+    read = []
+    replace_files(spark, target, lambda folder: read.append(write_counted(source, lambda df: df.write.parquet(folder))))
+    return read[0], spark.read.parquet(target).count()
 
 
-def ingest_report(spark: SparkSession, loads: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Ingest several raw tables given as name -> (pattern, target); one row per table."""
-    rows = [(name, *ingest(spark, pattern, target)) for name, (pattern, target) in loads.items()]
+def ingest_report(
+    spark: SparkSession, loads: Mapping[str, tuple[str, str]], options: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Ingest several raw tables given as name -> (pattern, target), read with ``options``; one row per table."""
+    rows = [(name, *ingest(spark, pattern, target, options)) for name, (pattern, target) in loads.items()]
     return spark.createDataFrame(rows, "table_name string, rows_read long, rows_loaded long").withColumn(
         "complete", F.col("rows_read") == F.col("rows_loaded")
     )
