@@ -30,8 +30,8 @@ BANDS, ROWS = 16, 4
 #: Texts of a bucket that one round holds against the rest of it: so many comparisons at most, but 8 texts at least.
 ROUND_COMPARISONS = 1_000_000
 #: Registers in which the sketches of two such texts agree at least, or their sets are not compared.
-AGREEING = 39
-PACKED = 9
+AGREEING = 183
+PACKED = 37
 ID_BITS = np.uint64((1 << 24) - 1)
 NEVER = np.uint64(0x7FF0000000000000)  # infinity as a 64-bit float
 STREAM = np.uint64(0x9E3779B97F4A7C15)
@@ -92,11 +92,26 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def packed(registers: np.ndarray) -> np.ndarray:
-    """Seven bits of each of 63 registers, a byte each, seven bytes to a number."""
-    low = (registers[:, : 7 * PACKED] & np.uint64(127)).astype(np.uint8).reshape(len(registers), PACKED, 7)
+    """Seven bits of each register, a byte each, seven bytes to a number."""
+    low = (registers & np.uint64(127)).astype(np.uint8).reshape(len(registers), PACKED, 7)
     return np.concatenate([low, np.zeros((len(registers), PACKED, 1), np.uint8)], axis=2).view(np.int64)[:, :, 0]
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(text_key, sketch): ``7 * PACKED`` registers of each text's set, every shingle with one weight, as ``packed``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            own = batch.column("set")
+            sizes = np.diff(own.offsets.to_numpy())
+            value = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            found = packed(sketches(owner, value, np.ones(len(value)), len(sizes), 7 * PACKED))
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(list(found), pa.list_(pa.int64()))], ["text_key", "sketch"])
+
+    return sets.mapInArrow(rows, "text_key long, sketch array<long>")
+
+
 def _differing() -> str:
     """How many registers of ``sketch`` and ``a_sketch`` differ: adding 127 sets the eighth bit of bytes that are not 0."""
     ones, high = int.from_bytes(b"\x7f" * 7), int.from_bytes(b"\x80" * 7)
@@ -104,10 +119,7 @@ def _differing() -> str:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, shingles, bands, sketch): one row per document; null text counts as empty, and has no bands.
-
-    ``sketch``: the registers as ``packed``.
-    """
+    """(doc_id, text_key, shingles, bands): one row per document; null text counts as empty, and has no bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +129,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 found = of_worker("words", RunHasher).words(texts[part])
                 sizes = found.sizes
                 owner, value, count = shingles(found.hashes, sizes)
-                registers = sketches(owner, value, 1 + np.log(count), len(sizes))
-                hashed, short = bands(registers), packed(registers)
+                hashed = bands(sketches(owner, value, 1 + np.log(count), len(sizes)))
                 distinct = np.bincount(owner, minlength=len(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -126,13 +137,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                         batch.column("text_key")[part.start : part.stop],
                         pa.array(distinct.astype(np.int32)),
                         pa.array([b if n else [] for b, n in zip(hashed, distinct, strict=True)], pa.list_(pa.int64())),
-                        pa.array(list(short), pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "text_key", "shingles", "bands", "sketch"],
+                    ["doc_id", "text_key", "shingles", "bands"],
                 )
 
     return with_key(docs).select("doc_id", "text", "text_key").mapInArrow(
-        rows, f"doc_id {kind}, text_key long, shingles int, bands array<long>, sketch array<long>"
+        rows, f"doc_id {kind}, text_key long, shingles int, bands array<long>"
     )
 
 
@@ -201,8 +211,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     class_id unless a class has no other. An empty table gives an empty result; further columns are left out.
     """
     rows = stage(sketched(docs.select("doc_id", "text")), "sketches")
-    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    members = texts.select("text_key", "shingles", "sketch", F.posexplode("bands").alias("band", "bucket"))
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
+    members = texts.select("text_key", "shingles", F.posexplode("bands").alias("band", "bucket"))
     crowded = (
         members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("text_key").alias("a")).where("n > 1")
     )
@@ -220,7 +230,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = joined_classes(stage(labels, "labels"), first.where(F.col("similarity") >= threshold).select("a", "b"))
     left = members.where("text_key <> a").join(first.withColumnRenamed("b", "text_key"), ["a", "text_key"]).drop("a")
     # Links need sets of like size, and, as 1 - similarity is a metric, like distances from the first text. Sketches
-    # that agree in fewer than ``AGREEING`` of 63 registers are passed over: one link in 10,000 at 0.8 exactly does.
+    # that agree in fewer than ``AGREEING`` of 259 registers are passed over: one link in 10,000 at 0.8 exactly does.
     near = (
         f"least(shingles, a_shingles) >= {threshold} * greatest(shingles, a_shingles)"
         f" AND abs(similarity - a_similarity) <= {1 - threshold} + 1e-9 AND {_differing()} <= {7 * PACKED - AGREEING}"
@@ -232,6 +242,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         now = stage(now.join(split, bucket), "left")
         if now.isEmpty():
             break
+        if "sketch" not in now.columns:
+            known = fine_sketches(sets.join(now.select("text_key").distinct(), "text_key", "left_semi"))
+            now = stage(now.join(known, "text_key"), "sketched")
         per_class = now.groupBy(*bucket, "class").agg(F.count("*").alias("of_class"))
         main = per_class.groupBy(*bucket).agg(F.max(F.struct("of_class", "class")).alias("main")).select(*bucket, F.col("main.class").alias("main"))
         apart = now.join(main, bucket).where("class <> main")

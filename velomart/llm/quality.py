@@ -135,9 +135,13 @@ WITH d AS (
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \x09-\x0D]')) AS lines
   FROM documents
 ), w AS (
-  SELECT doc_id, unnest(range(1, len(words) - 3)) AS k, words FROM d WHERE len(words) >= 5
+  SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS k FROM d
+), v AS (
+  SELECT doc_id, k, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o, lead(a, 4) OVER o) AS gram,
+         lead(a, 4) OVER o IS NOT NULL AS whole
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY k)
 ), g AS (
-  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, array_to_string(words[k : k + 4], ' ')) AS found FROM w
+  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, gram) AS found FROM v WHERE whole
 ), c AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM g WHERE found > 1) GROUP BY doc_id
