@@ -12,7 +12,7 @@ import numpy as np
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes that are hashed in one go; longer texts are cut between words.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
