@@ -30,7 +30,7 @@ BITS, PROBES, MAX_FILTER_BYTES = 10, 5, 1 << 27
 #: Characters of training text for each segment, about.
 SEGMENT_CHARS = 3_000_000
 #: N-grams that a task gathers before it hands them on.
-GATHERED = 3_000_000
+GATHERED = 2_000_000
 #: Words whose exact counts are broadcast; the rest are joined.
 FREQUENT_WORDS = 1_000_000
 SMOOTHING = 300.0

@@ -158,7 +158,7 @@ class HashIndex:
         self.count += len(hashes)
 
 
-def by_size(texts: list[str | None], chars: int = 2_000_000) -> Iterator[slice]:
+def by_size(texts: list[str | None], chars: int = 1_000_000) -> Iterator[slice]:
     """Slices of a list of texts, of about so many characters each."""
     first, size = 0, 0
     for k, text in enumerate(texts):
