@@ -81,3 +81,26 @@ def test_nothing_to_learn_or_score(spark):
     row = lm.score(one, model).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
     assert lm.score(none, lm.train(one)).count() == 0
+
+
+def test_a_filter_too_large_to_broadcast_scores_the_same(spark, monkeypatch):
+    """Ten bits for each entry at every size: beyond the broadcast, the segments are asked and nothing is overstated."""
+    monkeypatch.setattr(lm, "SEGMENT_CHARS", 2000)
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 80) % 900)) for k in range(120)]
+    rows += [(None, None), (3, ""), (3, ""), (4, "never met before")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = lambda model: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in lm.score(docs, model).collect())
+    whole = lm.train(docs.where("doc_id < 60"))
+    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 500)
+    monkeypatch.setattr(lm, "SCORED_BYTES", 3000)
+    large = lm.train(docs.where("doc_id < 60"))
+    assert whole.filter is not None and large.filter is None
+    expected = scores(whole)
+    assert len(expected) == len(rows) and scores(large) == expected
+
+
+def test_levels_end_at_the_highest_of_the_segment():
+    """Also where every bit is set."""
+    full = lm.Filter.of_segments(np.full(8, 255, np.uint8), np.array([64], np.uint64), np.array([3]))
+    assert full.levels(mixed(np.arange(1, 9, dtype=np.uint64))).tolist() == [3] * 8

@@ -6,8 +6,9 @@ after level until one is missing, so a count is never lost and at times overstat
 Pairs are smoothed towards words: p(w|v) = (c(vw) + M p(w)) / (c(v) + M), p(w) = (c(w) + 1) / (N + V + 1).
 
 The n-grams are gathered in segments by hash; each segment becomes a stretch of the filter, as long
-as its own n-grams ask for. The whole is broadcast, and never larger than ``MAX_FILTER_BYTES``: beyond that
-all n-grams still go in, and the error rate rises (0.9 % at 10 bits for each entry, 9 % at 5).
+as its own n-grams ask for: 10 bits for each entry at every size, an error rate of 0.9 %. A filter of up to
+``MAX_FILTER_BYTES`` is broadcast. A larger one stays in its segments: stretches of the texts send their distinct
+n-grams to the segments and get the levels back, so no task holds more than a segment or a stretch.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +27,14 @@ from pyspark.sql import functions as F
 from velomart.llm.common import slices, stage
 from velomart.llm.words import GOLDEN, HashIndex, RunHasher, Runs, by_size, mixed, of_worker
 
-#: Bits of the filter for each entry, probes for each entry, and the largest filter that is broadcast.
+#: Bits of the filter for each entry, probes for each entry, and the largest filter that is broadcast whole.
 BITS, PROBES, MAX_FILTER_BYTES = 10, 5, 1 << 27
 #: Characters of training text for each segment, about.
 SEGMENT_CHARS = 3_000_000
 #: N-grams that a task gathers before it hands them on.
 GATHERED = 2_000_000
+#: Bytes of text, about, that are scored together when the filter is too large to broadcast.
+SCORED_BYTES = 4_000_000
 #: Words whose exact counts are broadcast; the rest are joined.
 FREQUENT_WORDS = 1_000_000
 SMOOTHING = 300.0
@@ -80,6 +84,7 @@ class Filter:
     bits: np.ndarray  # bytes of all segments
     sizes: np.ndarray  # bits of each segment
     starts: np.ndarray  # first bit of each segment
+    tops: np.ndarray  # highest level of each segment
 
     @staticmethod
     def positions(hashes: np.ndarray, at: int, size: np.uint64) -> Iterator[np.ndarray]:
@@ -91,9 +96,10 @@ class Filter:
             a = a + step
 
     @classmethod
-    def segment(cls, hashes: np.ndarray, levels: np.ndarray, most_bits: int) -> bytes:
+    def segment(cls, hashes: np.ndarray, levels: np.ndarray, most_bits: int | None = None) -> bytes:
         """The bits of one segment."""
-        size = max(64, min(BITS * int(levels.sum()), most_bits)) // 8 * 8
+        size = BITS * int(levels.sum())
+        size = max(64, size if most_bits is None else min(size, most_bits)) // 8 * 8
         on = np.zeros(size, bool)
         at = 1
         while len(hashes):
@@ -105,15 +111,15 @@ class Filter:
         return np.packbits(on, bitorder="little").tobytes()
 
     @classmethod
-    def of_segments(cls, bits: np.ndarray, sizes: np.ndarray) -> Filter:
-        """From the bytes of all segments in a row and the bits of each."""
-        return cls(bits, sizes, np.cumsum(sizes) - sizes)
+    def of_segments(cls, bits: np.ndarray, sizes: np.ndarray, tops: np.ndarray | None = None) -> Filter:
+        """From the bytes of all segments in a row, the bits of each and its highest level, 63 where not known."""
+        return cls(bits, sizes, np.cumsum(sizes) - sizes, np.full(len(sizes), 63) if tops is None else tops)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: probed upwards until one is missing."""
+        """The level of each n-gram: probed upwards until one is missing, or to the highest of its segment."""
         out = np.zeros(len(hashes), np.int32)
         own = (hashes % np.uint64(len(self.sizes))).astype(np.int64)
-        left, at = np.arange(len(hashes)), 1
+        left, at = np.flatnonzero(self.tops[own] >= 1), 1
         while len(left):
             size, start = self.sizes[own[left]], self.starts[own[left]]
             alive = np.arange(len(left))
@@ -127,9 +133,21 @@ class Filter:
             left = left[alive]
             out[left] = at
             at += 1
+            left = left[self.tops[own[left]] >= at]
         return out
 
 
+@dataclass
+class Answers:
+    """Levels that were looked up before: those of ``hashes``, ascending."""
+
+    hashes: np.ndarray
+    found: np.ndarray
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.hashes, hashes)].astype(np.int32)
+
+
 def _gathered(docs: DataFrame, segments: int) -> DataFrame:
     """(segment, words, word_counts, pairs, pair_counts): n-grams of stretches of the texts, summed there."""
 
@@ -168,7 +186,9 @@ def _gathered(docs: DataFrame, segments: int) -> DataFrame:
 
 @dataclass
 class Model:
-    filter: Filter
+    filter: Filter | None  # None if it is larger than ``MAX_FILTER_BYTES``
+    segments: DataFrame  # (segment, bits, top, ...): its segments, those without n-grams left out
+    of: int  # how many segments there are
     counts: DataFrame  # (word, count): exact, of every training word's hash
     tokens: int
     words: int
@@ -180,7 +200,6 @@ def train(docs: DataFrame) -> Model:
     """Count words and pairs of all (text) rows, each text closed by an end token; null text: that alone."""
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     segments = max(1, math.ceil(chars / SEGMENT_CHARS))
-    most_bits = 8 * MAX_FILTER_BYTES // segments
 
     def made(group: pa.Table) -> pa.Table:
         def total(kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -192,14 +211,15 @@ def train(docs: DataFrame) -> Model:
         return pa.table(
             {
                 "segment": group["segment"][:1],
-                "bits": pa.array([Filter.segment(*both, most_bits)], pa.binary()),
+                "bits": pa.array([Filter.segment(*both)], pa.binary()),
+                "top": pa.array([both[1].max(initial=0)], pa.int32()),
                 "words": pa.array([words.view(np.int64)]),
                 "counts": pa.array([counts]),
             }
         )
 
     built = stage(
-        _gathered(docs, segments).groupBy("segment").applyInArrow(made, "segment long, bits binary, words array<long>, counts array<long>"),
+        _gathered(docs, segments).groupBy("segment").applyInArrow(made, "segment long, bits binary, top int, words array<long>, counts array<long>"),
         "segments",
     )
     counts = built.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(
@@ -219,27 +239,29 @@ def train(docs: DataFrame) -> Model:
     hashes = often["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return Model(
-        _collected(built, segments), counts, sum(r["of"] for r in digits), sum(r["n"] for r in digits), (hashes[order], often["count"].to_numpy()[order]), least
+        _collected(built, segments), built, segments, counts, sum(r["of"] for r in digits), sum(r["n"] for r in digits), (hashes[order], often["count"].to_numpy()[order]), least
     )
 
 
-def _collected(built: DataFrame, segments: int) -> Filter:
-    """The filter in the driver's memory once: a file of segments at a time is copied to its place."""
-    sizes = np.full(segments, 64, np.uint64)
-    for row in built.select("segment", F.octet_length("bits").alias("n")).collect():
-        sizes[row["segment"]] = 8 * row["n"]
+def _collected(built: DataFrame, segments: int) -> Filter | None:
+    """The filter in the driver's memory once, if it may be broadcast: a file of segments at a time is copied to its place."""
+    if 8 * segments + (built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > MAX_FILTER_BYTES:
+        return None
+    sizes, tops = np.full(segments, 64, np.uint64), np.zeros(segments, np.int64)
+    for row in built.select("segment", F.octet_length("bits").alias("n"), "top").collect():
+        sizes[row["segment"]], tops[row["segment"]] = 8 * row["n"], row["top"]
     ends = np.cumsum(sizes // np.uint64(8)).astype(np.int64)
     bits = np.zeros(int(ends[-1]), np.uint8)
     for row in built.select("segment", "bits").toLocalIterator():
         end = int(ends[row["segment"]])
         bits[end - len(row["bits"]) : end] = np.frombuffer(row["bits"], np.uint8)
-    return Filter.of_segments(bits, sizes)
+    return Filter.of_segments(bits, sizes, tops)
 
 
 class Scorer:
-    """Scores of texts by a broadcast model; what depends on a single word is worked out once for each word met."""
+    """Scores of texts by a filter, or answers of one; what depends on a single word is worked out once for each word met."""
 
-    def __init__(self, bits: Filter, frequent: tuple[np.ndarray, np.ndarray], tokens: int, words: int):
+    def __init__(self, bits: Filter | Answers, frequent: tuple[np.ndarray, np.ndarray], tokens: int, words: int):
         self.filter, self.frequent, self.tokens, self.words = bits, frequent, tokens, words
         self._forget()
 
@@ -286,6 +308,107 @@ class Scorer:
         return out
 
 
+def _record(scorer: Scorer, row: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = batch.column("text").to_pylist()
+    found = [x for part in by_size(texts) for x in scorer.rows(texts[part])]
+    tokens, value, known, base, rare, times = zip(*found, strict=True) if found else [()] * 6
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(row, pa.int64()),
+            batch.column("doc_id"),
+            *[pa.array(x, t) for x, t in ((tokens, pa.int64()), (value, pa.float64()), (known, pa.int64()), (base, pa.float64()))],
+            *[pa.array(x, pa.list_(pa.int64())) for x in (rare, times)],
+        ],
+        ["row", "doc_id", "n_tokens", "score", "known", "base", "rare", "times"],
+    )
+
+
+def _by_broadcast(docs: DataFrame, model: Model, schema: str) -> DataFrame:
+    """The texts scored in one pass, by the whole filter."""
+    bits = model.filter
+    shared = docs.sparkSession.sparkContext.broadcast((bits.bits, bits.sizes, bits.tops, model.frequent, model.tokens, model.words))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sizes, tops, *rest = shared.value
+        scorer, partition, n = Scorer(Filter.of_segments(bits, sizes, tops), *rest), TaskContext.get().partitionId(), 0
+        for batch in slices(batches):
+            yield _record(scorer, (partition << 40) + n + np.arange(batch.num_rows), batch)
+            n += batch.num_rows
+
+    return docs.mapInArrow(rows, schema)
+
+
+def _by_segments(docs: DataFrame, model: Model, schema: str) -> DataFrame:
+    """The texts scored in stretches, by what the segments of the filter answer for the distinct n-grams of each."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    segments, shared = model.of, docs.sparkSession.sparkContext.broadcast((model.frequent, model.tokens, model.words))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, n, size = TaskContext.get().partitionId() << 40, 0, 0
+        for batch in slices(batches):
+            ends = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64) + 1)
+            number = [pa.array(partition + x) for x in (ends // SCORED_BYTES, n + np.arange(batch.num_rows))]
+            yield pa.RecordBatch.from_arrays([*number, batch.column("doc_id"), batch.column("text")], ["stretch", "row", "doc_id", "text"])
+            n, size = n + batch.num_rows, int(ends[-1])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for stretch, parts in held.items():
+                hashes = np.unique(np.concatenate(parts))
+                own = (hashes % np.uint64(segments)).astype(np.int64)
+                order = np.argsort(own, kind="stable")
+                hashes, own = hashes[order], own[order]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), stretch)), pa.array(own[first]), pa.array([x.tobytes() for x in np.split(hashes, first[1:])], pa.binary())],
+                    ["stretch", "segment", "hashes"],
+                )
+            held.clear()
+
+        for batch in slices(batches):
+            stretch, texts = batch.column("stretch").to_numpy(), batch.column("text").to_pylist()
+            cuts = [0, *(np.flatnonzero(stretch[1:] != stretch[:-1]) + 1).tolist(), len(texts)]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                if int(stretch[start]) not in held:
+                    yield from flushed()
+                own = texts[start:stop]
+                for part in by_size(own):
+                    hashes, _ = closed(of_worker("words", RunHasher).words(own[part]))
+                    held.setdefault(int(stretch[start]), []).append(np.unique(np.concatenate([hashes, pairs(hashes)])))
+        yield from flushed()
+
+    def answered(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in asked["hashes"]]
+        found = np.zeros(sum(map(len, parts)), np.uint8)
+        if parts and segment.num_rows:
+            bits = np.frombuffer(segment["bits"][0].as_py(), np.uint8)
+            own = Filter.of_segments(bits, np.array([8 * len(bits)], np.uint64), segment["top"].to_numpy())
+            found = own.levels(np.concatenate(parts)).astype(np.uint8)
+        levels = [x.tobytes() for x in np.split(found, np.cumsum([len(x) for x in parts])[:-1])] if parts else []
+        return pa.table({"stretch": asked["stretch"], "hashes": asked["hashes"], "levels": pa.array(levels, pa.binary())})
+
+    def rows(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answers["hashes"]])
+        levels = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in answers["levels"]])
+        order = np.argsort(hashes)
+        scorer = Scorer(Answers(hashes[order], levels[order]), *shared.value)
+        return pa.Table.from_batches([_record(scorer, x.column("row").to_numpy(), x) for x in slices(iter(texts.to_batches()))])
+
+    texts = stage(docs.mapInArrow(stretches, f"stretch long, row long, doc_id {kind}, text string"), "stretches")
+    # A segment is asked by as many tasks as there is more to score than was learnt from.
+    size = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    shares = max(1, math.ceil(size / (segments * SEGMENT_CHARS)))
+    questions = texts.select("stretch", "text").mapInArrow(asked, "stretch long, segment long, hashes binary")
+    questions = questions.withColumn("share", F.pmod(F.xxhash64("stretch"), F.lit(shares)))
+    bits = model.segments.select("segment", "bits", "top", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
+    answers = questions.groupBy("segment", "share").cogroup(bits.groupBy("segment", "share")).applyInArrow(
+        answered, "stretch long, hashes binary, levels binary"
+    )
+    return texts.groupBy("stretch").cogroup(answers.groupBy("stretch")).applyInArrow(rows, schema)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
 
@@ -293,35 +416,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     counts, each document's occurrences summed before. Rows with one doc_id are scored apart; further
     columns are left out.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.filter.bits, model.filter.sizes, model.frequent, model.tokens, model.words))
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, sizes, *rest = shared.value
-        scorer, partition, n = Scorer(Filter.of_segments(bits, sizes), *rest), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            found = [row for part in by_size(texts) for row in scorer.rows(texts[part])]
-            tokens, value, known, base, rare, times = zip(*found, strict=True) if found else [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((partition << 40) + n + np.arange(len(texts))),
-                    batch.column("doc_id"),
-                    *[pa.array(x, t) for x, t in ((tokens, pa.int64()), (value, pa.float64()), (known, pa.int64()), (base, pa.float64()))],
-                    *[pa.array(x, pa.list_(pa.int64())) for x in (rare, times)],
-                ],
-                ["row", "doc_id", "n_tokens", "score", "known", "base", "rare", "times"],
-            )
-            n += len(texts)
-
+    schema = f"row long, doc_id {kind}, n_tokens long, score double, known long, base double, rare array<long>, times array<long>"
     # Written, so that a row keeps its number in both uses below.
-    scored = stage(
-        docs.select("doc_id", "text").mapInArrow(
-            rows, f"row long, doc_id {kind}, n_tokens long, score double, known long, base double, rare array<long>, times array<long>"
-        ),
-        "scored",
-    )
+    scored = stage((_by_segments if model.filter is None else _by_broadcast)(docs.select("doc_id", "text"), model, schema), "scored")
     rest = (
         scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r"))
         .select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
