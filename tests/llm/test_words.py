@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from velomart.llm import lm
 from velomart.llm.registry import VOCABULARIES
 from velomart.llm.tokens import UnitEncoder
 from velomart.llm.words import LOWER, STRETCH, HashIndex, RunHasher
@@ -52,3 +53,27 @@ def test_ids_are_the_tokenizers(file, byte_level):
         assert got == [own.encode(t or "", add_special_tokens=False).ids + [7] for t in ODD]
     encoder.index.count = len(encoder.index.keys)  # full: all is forgotten
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(ODD)] == got
+
+
+def test_index_makes_room_and_keeps_its_numbers():
+    index, keys = HashIndex(4), np.arange(1, 5001, dtype=np.uint64)
+    for part in np.split(keys, [3, 9, 10, 700]):
+        index.reserve(len(part))
+        index.add(part)
+    assert index.find(keys).tolist() == list(range(5000))
+    assert index.full and (index.find(keys + np.uint64(5000)) == -1).all()
+
+
+def test_a_text_of_more_distinct_words_than_the_index_has_room():
+    """1.2 million, for the tokens and for the scores; what follows is as before."""
+    long = " ".join(map(str, range(1_200_000)))
+    file = f"{VOCABULARIES}/byte_bpe_50k.json"
+    encoder, own = UnitEncoder(file, True, 7), Tokenizer.from_file(file)
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(["1 2 3", long, "3 2 1"])]
+    assert got == [own.encode(t, add_special_tokens=False).ids + [7] for t in ("1 2 3", long, "3 2 1")]
+    segment = lm.Filter.segment(np.arange(5, dtype=np.uint64), np.ones(5, np.int64), 1 << 20)
+    bits = lm.Filter.of_segments(np.frombuffer(segment, np.uint8), np.array([8 * len(segment)], np.uint64))
+    scorer = lm.Scorer(bits, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 5, 5)
+    short, whole, again = (scorer.rows([t])[0] for t in ("1 2 3", long, "1 2 3"))
+    assert whole[0] == 1_200_001 and len(whole[4]) == 1_200_001
+    assert again[:4] == short[:4] and len(scorer.index.keys) == 1 << 20

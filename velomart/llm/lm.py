@@ -275,6 +275,7 @@ class Scorer:
         missing = numbers < 0
         if missing.any():
             fresh = np.unique(hashes[missing])
+            self.index.reserve(len(fresh))
             self.index.add(fresh)
             keys, counts = self.frequent
             at = np.minimum(np.searchsorted(keys, fresh), max(0, len(keys) - 1))

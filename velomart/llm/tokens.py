@@ -84,6 +84,7 @@ class UnitEncoder:
 
     def _keep(self, hashes: np.ndarray, ids: list[bytes]) -> None:
         n = self.index.count
+        self.index.reserve(len(hashes))
         self.index.add(hashes)
         added = np.frombuffer(b"".join(ids), np.uint32)
         ends = self.bounds[n] + np.cumsum([len(x) // 4 for x in ids])

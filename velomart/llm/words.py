@@ -118,17 +118,36 @@ class RunHasher:
 
 
 class HashIndex:
-    """Numbers distinct 64-bit hashes in the order they are added; look-ups are vectorised open addressing."""
+    """Numbers distinct 64-bit hashes in the order they are added; look-ups are vectorised open addressing.
+
+    It is full when half of the slots it began with are taken: time to start anew. Until then ``reserve`` makes
+    room for whatever a single text brings.
+    """
 
     def __init__(self, digits: int = 20):
+        self.most, self.count = 1 << (digits - 1), 0
+        self._empty(digits)
+
+    def _empty(self, digits: int) -> None:
         self.shift = np.uint64(64 - digits)
         self.keys = np.zeros(1 << digits, np.uint64)
         self.numbers = np.full(1 << digits, -1, np.int32)
-        self.count = 0
 
     @property
     def full(self) -> bool:
-        return 2 * self.count > len(self.keys)
+        return self.count > self.most
+
+    def reserve(self, more: int) -> None:
+        """Double the tables until so many more hashes leave a quarter of them free."""
+        digits = len(self.keys).bit_length() - 1
+        while 4 * (self.count + more) > 3 << digits:
+            digits += 1
+        if 1 << digits > len(self.keys):
+            taken = np.flatnonzero(self.numbers >= 0)
+            hashes = self.keys[taken[np.argsort(self.numbers[taken])]]
+            self._empty(digits)
+            self.count = 0
+            self.add(hashes)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 for those not added."""
@@ -142,7 +161,7 @@ class HashIndex:
         return out
 
     def add(self, hashes: np.ndarray) -> None:
-        """Number hashes that are distinct and not there yet."""
+        """Number hashes that are distinct and not there yet; ``reserve`` makes room for them."""
         if 10 * (self.count + len(hashes)) > 9 * len(self.keys):
             raise ValueError("the index is full")
         slot = ((hashes * GOLDEN) >> self.shift).astype(np.int64)
