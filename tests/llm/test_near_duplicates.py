@@ -106,3 +106,19 @@ def test_shingles_count_repeats_and_keep_short_texts():
     assert np.bincount(owner, minlength=4).tolist() == [5, 1, 0, 1]
     assert sorted(count[owner == 0].tolist()) == [1, 1, 1, 2, 2]
     assert value[owner == 3][0] in value[owner == 0]
+
+
+def test_links_whatever_the_texts_repeat(spark):
+    """Sets at 0.8 and more are one class, also if one text has a passage 20 or 100 times."""
+    rng, rows = random.Random(6), []
+    for k in range(100):
+        base = [f"w{k}x{n}" for n in range(300)]
+        other = list(base)
+        for at in rng.sample(range(60, 300), 5):
+            other[at] = "edited"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*other, *other[:60] * rng.choice([20, 100])]))]
+    sets = [shingle_set(t) for _, t in rows]
+    linked = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(linked) > 90
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(100)] == linked

@@ -1,9 +1,10 @@
 """Near-duplicate documents by ProbMinHash.
 
-A document is its five-word shingles, weighted by 1 + ln of how often each occurs. Every shingle sends a
-Poisson stream of arrivals at the rate of its weight, each arrival to a random register; a register keeps the
-shingle that reached it first, and a stream ends when it can reach no register earlier. Two documents agree in a
-register with the probability Jaccard similarity of their weights. Registers in bands give buckets of
+A document is the set of its five-word shingles. Every shingle sends a Poisson stream of arrivals at the rate
+of its weight, each arrival to a random register; a register keeps the shingle that reached it first, and a
+stream ends when it can reach no register earlier. Two documents agree in a register with the probability
+Jaccard similarity of their weights. All weights are 1, so that this is the similarity by which links are
+judged, however often either text repeats a passage. Registers in bands give buckets of
 candidates; a candidate pair is a link if the Jaccard similarity of its shingle sets is ``THRESHOLD`` or more.
 
 Documents of equal text are one class from the start. Classes of linked texts are found bucket by
@@ -128,8 +129,8 @@ def sketched(docs: DataFrame) -> DataFrame:
             for part in by_size(texts, 1_000_000):
                 found = of_worker("words", RunHasher).words(texts[part])
                 sizes = found.sizes
-                owner, value, count = shingles(found.hashes, sizes)
-                hashed = bands(sketches(owner, value, 1 + np.log(count), len(sizes)))
+                owner, value, _ = shingles(found.hashes, sizes)
+                hashed = bands(sketches(owner, value, np.ones(len(value)), len(sizes)))
                 distinct = np.bincount(owner, minlength=len(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [
