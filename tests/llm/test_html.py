@@ -85,3 +85,16 @@ def test_gradients():
         low = loss()
         model.weights[name][at] = old
         assert grads[name][at] == pytest.approx((high - low) / 2e-2, abs=2e-3)
+
+
+@pytest.mark.parametrize(
+    "odd", ['<svg class="i" viewBox="0 > 1"/>', "<svg/>", "<MATH />", "<svg><path/></svg>", "<video-player>", "<svg-icon></svg-icon>", "<title-bar>x</title-bar>", "<audio-x src=a>"]
+)
+def test_text_goes_on_after(odd):
+    texts = [b.text for b in h.Cutter().blocks(f"<article><p>before</p>{odd}<p>after</p></article><p>end</p>")]
+    assert [t for t in texts if t != "x"] == ["before", "after", "end"]
+
+
+def test_raw_elements_hold_no_text():
+    for raw in ("<svg a='/'><text>no</text></svg>", "<script/>no</script>", "<video\ncontrols>no</video>", "<title>no</title>"):
+        assert [b.text for b in h.Cutter().blocks(f"<p>a</p>{raw}<p>b</p>")] == ["a", "b"]
