@@ -98,3 +98,14 @@ def test_text_goes_on_after(odd):
 def test_raw_elements_hold_no_text():
     for raw in ("<svg a='/'><text>no</text></svg>", "<script/>no</script>", "<video\ncontrols>no</video>", "<title>no</title>"):
         assert [b.text for b in h.Cutter().blocks(f"<p>a</p>{raw}<p>b</p>")] == ["a", "b"]
+
+
+def test_captions_and_table_footers_are_article_text(labeller):
+    content = """<body><nav><ul><li><a>Home</a></li></ul></nav><article><h1>Title of it</h1><p>First paragraph of the text.</p>
+    <figure><img src="x"><figcaption>The bridge as it stood in spring.</figcaption></figure><p>Second paragraph of it.</p>
+    <table><tr><td>Rides counted by the city</td></tr><tfoot><tr><td>All rides of the year together</td></tr></tfoot></table>
+    <p>Third paragraph of it.</p></article><footer><p>All rights reserved.</p></footer></body>"""
+    blocks = h.Cutter().blocks(content)
+    assert [h.marked(b) for b in blocks] == [False, *[True] * 7, False]
+    assert kept(labeller, content) == [b.text for b in blocks[1:-1]]
+    assert not h.marked(h.Block(("article", "div", ".footer"), "x")) and not h.marked(h.Block(("article", "footer"), "x"))

@@ -135,7 +135,7 @@ class Cutter:
 
 
 # Words in class names and ids, and elements, that say what a container holds.
-NOISE_TAGS = frozenset("nav header footer aside form button select option label dialog menu head title figcaption fieldset legend".split())
+NOISE_TAGS = frozenset("nav header footer aside form button select option label dialog menu head title fieldset legend".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
     "overlay nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot sidebar side aside widget related recommended "
@@ -149,7 +149,7 @@ MAIN_WORDS = ("article", "content", "main", "post", "entry", "story", "body")
 def marked(block: Block) -> bool:
     """Whether the markup itself says that a block is main text."""
     inside = any(w in MAIN_TAGS or w == ".article" for w in block.path)
-    return inside and not any(w in NOISE_TAGS or w[1:] in NOISE_WORDS for w in block.path if w[0] != "." or w[1:] in NOISE_WORDS)
+    return inside and not any(w[1:] in NOISE_WORDS if w[0] == "." else w in NOISE_TAGS for w in block.path)
 
 
 def varied(blocks: list[tuple[Block, bool]], texts: list[str], rng: random.Random) -> list[tuple[Block, bool]]:
@@ -177,7 +177,7 @@ def varied(blocks: list[tuple[Block, bool]], texts: list[str], rng: random.Rando
     for k, (b, y) in enumerate(out):
         if y and b.path and b.path[-1] == "p":
             if not left and rng.random() < 0.25:
-                inside = rng.choice([("h2",), ("h3",), ("ul", "li"), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("div", "p"), ("section", "p"), ("pre",), ("table", "tr", "td"), ("figure", "p")])
+                inside = rng.choice([("h2",), ("h3",), ("ul", "li"), ("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("div", "p"), ("section", "p"), ("pre",), ("table", "tr", "td"), ("table", "tfoot", "tr", "td"), ("table", "caption"), ("figure", "p"), ("figure", "figcaption"), ("figure", "figcaption")])
                 left = rng.randint(1, 4)
             if left:
                 left -= 1
