@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velomart.llm import binary, decontaminate, html, line_quality, lm, near_duplicates, packing, quality, sharding, warc
+from velomart.llm import binary, decontaminate, html, line_quality, lm, near_duplicates, packing, periodic, quality, sharding, warc
 from velomart.llm.common import table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -88,6 +88,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's longest run of repeated words, and digests of its runs and of what is left without them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.reported(periodic.collapsed(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
