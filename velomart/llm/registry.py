@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velomart.llm import binary, decontaminate, html, line_quality, lm, near_duplicates, packing, periodic, quality, sharding, url_filter, warc
+from velomart.llm import (
+    binary,
+    collocations,
+    decontaminate,
+    html,
+    line_quality,
+    lm,
+    near_duplicates,
+    packing,
+    periodic,
+    quality,
+    sharding,
+    url_filter,
+    warc,
+)
 from velomart.llm.common import table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -88,6 +102,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-scored phrases of each language."""
+    return collocations.top_phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict by the longest rule that fits its url."""
     return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
@@ -110,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_collocations": op11_collocations,
     "op12_url_filter": op12_url_filter,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -119,7 +139,13 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
-SQL = {"op6_decontamination": decontaminate.SQL, "op7_quality_rules": quality.SQL, "op9_warc": warc.SQL, "op12_url_filter": url_filter.SQL}
+SQL = {
+    "op6_decontamination": decontaminate.SQL,
+    "op7_quality_rules": quality.SQL,
+    "op9_warc": warc.SQL,
+    "op11_collocations": collocations.SQL,
+    "op12_url_filter": url_filter.SQL,
+}
 
 
 def all_sql() -> dict[str, str]:
