@@ -72,16 +72,24 @@ def test_all_phrases(spark, least, keep):
 def test_a_sample_that_proposes_nothing(spark, monkeypatch):
     """Then every frequent word, pair and triple is a failure, and pass after pass extends them."""
     passes = []
-    count = collocations.counted
-    monkeypatch.setattr(collocations, "counted", lambda *a: passes.append(1) or count(*a))
+    count = collocations.border_pass
+    monkeypatch.setattr(collocations, "border_pass", lambda *a: passes.append(1) or count(*a))
     monkeypatch.setattr(collocations, "PROPOSED", 1_000_000)
     rows = some(300, 5)
     assert sorted(map(tuple, collocations.top_phrases(frame(spark, rows)).collect())) == plain(rows, 30, 2000)
     assert len(passes) == 4
 
 
+def test_many_segments_and_stretches(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "SEGMENT_TEXT", 2000)
+    monkeypatch.setattr(collocations, "GATHERED", 500)
+    monkeypatch.setattr(collocations, "CHARS", 3000)
+    rows = some(300, 8)
+    assert sorted(map(tuple, collocations.top_phrases(frame(spark, rows)).collect())) == plain(rows, 30, 2000)
+
+
 def test_full_bits_count_everything_once(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "proposals", lambda docs: collocations.Bits(np.full(collocations.SEGMENT // 8, 255, np.uint8)))
+    monkeypatch.setattr(collocations, "proposals", lambda docs, segments: collocations.Bits(np.full(collocations.SEGMENT // 8, 255, np.uint8)))
     rows = some(200, 6)
     assert sorted(map(tuple, collocations.top_phrases(frame(spark, rows)).collect())) == plain(rows, 30, 2000)
 

@@ -1,28 +1,29 @@
 """Phrase collocation mining by Toivonen's method.
 
-A hashed sample of the rows proposes phrases, by a lowered threshold. One full pass counts exactly, over all
+A hashed sample of the rows proposes phrases, by a lowered threshold. One full pass counts, over all
 rows, the proposed phrases and their negative border: the phrases that were not proposed themselves but whose
 two parts, without the last and without the first word, were. Every single word belongs to one or the other. A phrase
 of the border that turns out frequent is a failure: it may have frequent extensions that nobody counted. Failures join the proposed
 and another full pass counts the border that has grown, until none fails; every frequent phrase has then
 been counted, as all its parts are frequent. Phrases have ``MOST_WORDS`` words at most, so the passes end.
 
-What is proposed is known to the tasks as bits, of which each phrase sets three by its hash; a phrase that finds its bits set
-by others is counted without need, which changes no result. The number of bits is fixed by the
-sample and never above ``MOST_BITS``, so what is broadcast is bounded whatever the input. Counts are kept by
-the phrases themselves; only within a stretch of texts in one task are equal phrases found by 64-bit hashes.
+These passes count 64-bit hashes, sent as sorted stretches of a segment of all hashes; as two phrases of one hash can only
+count too much, a last pass counts by the phrases themselves those whose hash was frequent, and what it returns is exact.
+What is proposed, or frequent, is known to the tasks as bits, of which each phrase sets three by its hash; a phrase that finds
+its bits set by others is counted without need, which changes no result. Bits never are more than ``MOST_BITS``, so what is
+broadcast is bounded whatever the input.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +40,8 @@ BITS_EACH, MOST_BITS = 32, 1 << 29
 SEGMENT = 1 << 16
 PROBES = 3
 PIECES = b".,;:!?\n\x0b\x0c\r"
-CHARS = 4_000_000
+#: Characters worked on at a time, hashes that a task sums up at a time, bytes of text to a segment of the hashes.
+CHARS, GATHERED, SEGMENT_TEXT = 1_000_000, 2_000_000, 4_000_000
 
 
 @dataclass
@@ -118,15 +120,18 @@ class Stretch:
         seeds = np.array([_language(x) for x in langs], np.uint64)[owner]
         return cls(found.data, found.starts, found.ends, owner, np.repeat(close, sizes) - np.arange(len(piece)), seeds, found.hashes)
 
-    def phrases(self):
-        """The hash of the phrase that begins at each word, for 1, 2, … words; those beyond the piece are meaningless."""
+    def phrases(self) -> Iterator[np.ndarray]:
+        """The hash of the phrase that begins at each word, for 1, 2, … words; those beyond the piece are meaningless.
+
+        Its two low bits say how many words it has.
+        """
         value = mixed(self.hashes ^ self.seeds)
-        yield value
-        for m in range(2, MOST_WORDS + 1):
-            further = np.zeros_like(value)
-            further[: max(0, len(value) - m + 1)] = self.hashes[m - 1 :]
-            value = mixed(value * GOLDEN + further + np.uint64(m))
-            yield value
+        for m in range(1, MOST_WORDS + 1):
+            if m > 1:
+                further = np.zeros_like(value)
+                further[: max(0, len(value) - m + 1)] = self.hashes[m - 1 :]
+                value = mixed(value * GOLDEN + further)
+            yield (value & ~np.uint64(3)) | np.uint64(m - 1)
 
     def text(self, at: int, words: int) -> str:
         own = self.data[self.starts[at] : self.ends[at + words - 1]]
@@ -137,20 +142,24 @@ def _next(flags: np.ndarray) -> np.ndarray:
     return np.append(flags[1:], False)
 
 
-def to_count(stretch: Stretch, now: Bits, before: Bits | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, places, hashes): the phrases that ``now`` has to be counted and had not ``before``."""
-    states = [[bits, np.ones(len(stretch.hashes), bool)] for bits in (now, before) if bits]
+def walked(stretch: Stretch, bits: Bits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, border, known) for 1, 2, … words: where both parts are known, every single word included, and where the phrase is too."""
+    known = np.ones(len(stretch.hashes), bool)
     for m, value in enumerate(stretch.phrases(), 1):
-        due = []
-        for state in states:
-            bits, proposed = state
-            counted = (proposed & _next(proposed) & (stretch.rest >= m)) if m > 1 else proposed.copy()
-            due.append(counted)
-            known = np.flatnonzero(counted)
-            state[1] = np.zeros(len(value), bool)
-            state[1][known[bits.has(value[known])]] = True
-        places = np.flatnonzero(due[0] & ~due[1] if before else due[0])
-        yield m, places, value[places]
+        border = known & _next(known) & (stretch.rest >= m) if m > 1 else known
+        known = np.zeros(len(value), bool)
+        at = np.flatnonzero(border)
+        known[at[bits.has(value[at])]] = True
+        yield value, border, known
+
+
+def to_count(stretch: Stretch, now: Bits, before: Bits | None) -> Iterator[np.ndarray]:
+    """Hashes of the phrases that are proposed or in the border now and were not before."""
+    if before is None:
+        yield from (value[border] for value, border, _ in walked(stretch, now))
+    else:
+        for (value, border, _), (_, earlier, _) in zip(walked(stretch, now), walked(stretch, before), strict=True):
+            yield value[border & ~earlier]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -158,83 +167,88 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Stretch]]:
-    for batch in slices(batches, 4096):
+    for batch in slices(batches, 2048):
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for part in by_size(texts, CHARS):
             yield langs[part], Stretch.of(texts[part], langs[part])
 
 
-def sampled_hashes(sample: DataFrame, words: tuple[int, ...], known: Bits | None = None) -> DataFrame:
-    """(hash): phrases of so many words with ``PROPOSED`` occurrences in the sample; with ``known``, only of pairs that it has."""
+def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else order
+    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def often(docs: DataFrame, pick: Callable[[Stretch], Iterator[np.ndarray]], least: int, segments: int) -> DataFrame:
+    """(hash): the hashes that ``pick`` takes ``least`` times or more from all texts.
+
+    Tasks sum up what they gather and send it cut by segment, sorted; a segment, which grows with
+    the distinct phrases of ``SEGMENT_TEXT`` bytes of text, is summed up by one task.
+    """
+    width = 64 - (segments.bit_length() - 1)
+
+    def cut(gathered: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, counts = summed(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
+        segment = (hashes >> np.uint64(width)).astype(np.int64) if width < 64 else np.zeros(len(hashes), np.int64)
+        first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else segment
+        edges = pa.array(np.append(first, len(hashes)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (hashes.view(np.int64), counts.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(segment[first]), *lists], ["segment", "hashes", "counts"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, held = [], 0
         for _, stretch in _stretches(batches):
-            found, pairs = [], None
-            for m, value in enumerate(stretch.phrases(), 1):
-                whole = stretch.rest >= m
-                if m == 2 and known:
-                    pairs = whole & known.has(value)
-                if m > 2 and known:
-                    whole = whole & functools.reduce(np.logical_and, (np.append(pairs[k:], np.zeros(k, bool))[: len(pairs)] for k in range(m - 1)))
-                if m in words:
-                    found.append(value[whole])
-            hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"])
-
-    counts = _texts(sample).mapInArrow(rows, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return stage(counts.where(F.col("n") >= PROPOSED).select("hash"), "proposed")
-
-
-def proposals(docs: DataFrame) -> Bits:
+            found = np.concatenate(list(pick(stretch)))
+            gathered.append(summed(found, np.ones(len(found), np.int64)))
+            held += len(gathered[-1][0])
+            if held >= GATHERED:
+                yield cut(gathered)
+                gathered, held = [], 0
+        if held:
+            yield cut(gathered)
+
+    def whole(own: pa.Table) -> pa.Table:
+        hashes = pa.chunked_array([x.flatten() for x in own.column("hashes").chunks], pa.int64()).to_numpy().view(np.uint64)
+        counts = pa.chunked_array([x.flatten() for x in own.column("counts").chunks], pa.int32()).to_numpy().astype(np.int64)
+        hashes, counts = summed(hashes, counts)
+        return pa.table({"hash": hashes[counts >= least].view(np.int64)})
+
+    sent = _texts(docs).mapInArrow(rows, "segment long, hashes array<long>, counts array<int>")
+    return stage(sent.groupBy("segment").applyInArrow(whole, "hash long"), "often")
+
+
+def bits_for(hashes: DataFrame, room: int = 1) -> Bits:
+    """Bits of the hashes, with room for so many times their number."""
+    size, wanted = SEGMENT, BITS_EACH * room * hashes.count()
+    while size < min(MOST_BITS, wanted):
+        size *= 2
+    return set_bits(hashes, size)
+
+
+def proposals(docs: DataFrame, segments: int = 1) -> Bits:
     """What the sample proposes: words and pairs first, longer phrases of proposed pairs then."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
-    short = sampled_hashes(sample, (1, 2))
-    size = SEGMENT
-    while size < min(MOST_BITS, BITS_EACH * 2 * short.count()):
-        size *= 2
-    known = set_bits(short, size)
-    return Bits(known.packed | set_bits(sampled_hashes(sample, (3, 4), known), size).packed)
 
+    def short(stretch: Stretch) -> Iterator[np.ndarray]:
+        for m, value in enumerate(stretch.phrases(), 1):
+            if m <= 2:
+                yield value[stretch.rest >= m]
 
-def counted(docs: DataFrame, now: Bits, before: Bits | None, least: int) -> DataFrame:
-    """(lang, phrase, words, hash, f): one full pass; phrases with ``least`` occurrences of those due in it.
+    known = bits_for(often(sample, short, PROPOSED, segments), room=2)
+    packed = docs.sparkSession.sparkContext.broadcast(known.packed)
 
-    The first pass has all words due, and a row of no words for each language that counts all of them.
-    """
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast((now.packed, before.packed if before else None))
+    def long(stretch: Stretch) -> Iterator[np.ndarray]:
+        bits, pairs = Bits(packed.value), None
+        for m, value in enumerate(stretch.phrases(), 1):
+            if m == 2:
+                pairs = (stretch.rest >= 2) & bits.has(value)
+            if m > 2:
+                # All pairs of the phrase, the last of which starts m - 2 words on.
+                pairs_all = functools.reduce(np.logical_and, (np.append(pairs[k:], np.zeros(min(k, len(pairs)), bool)) for k in range(m - 1)))
+                yield value[pairs_all]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = (Bits(b) if b is not None else None for b in bits.value)
-        names = ["lang", "phrase", "words", "hash", "n"]
-        for langs, stretch in _stretches(batches):
-            lang = pa.array(langs, pa.string())
-            if before is None:
-                own, place = np.unique(np.array(langs, object), return_inverse=True)
-                totals = np.bincount(place[stretch.owner], minlength=len(own)) if len(stretch.owner) else np.zeros(len(own), int)
-                none = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.string()), pa.array([""] * none), pa.array(np.zeros(none, np.int32)), pa.array(np.zeros(none, np.int64)), pa.array(totals)], names
-                )
-            for m, places, hashes in to_count(stretch, now, before):
-                if m == 1 and before is not None or not len(places):
-                    continue
-                distinct, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                at = places[first]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        lang.take(pa.array(stretch.owner[at])),
-                        pa.array([stretch.text(k, m) for k in at.tolist()], pa.string()),
-                        pa.array(np.full(len(at), m, np.int32)),
-                        pa.array(distinct.view(np.int64)),
-                        pa.array(n),
-                    ],
-                    names,
-                )
-
-    found = _texts(docs).mapInArrow(rows, "lang string, phrase string, words int, hash long, n long")
-    sums = found.groupBy("lang", "phrase", "words", "hash").agg(F.sum("n").alias("f"))
-    return stage(sums.where((F.col("f") >= least) | (F.col("words") == 0)), "counts")
+    return Bits(known.packed | set_bits(often(sample, long, PROPOSED, segments), known.size).packed)
 
 
 def failures(counts: DataFrame, now: Bits) -> DataFrame:
@@ -243,10 +257,50 @@ def failures(counts: DataFrame, now: Bits) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = batch.column("hash").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[~Bits(bits.value).has(hashes.view(np.uint64))])], ["hash"])
+            hashes = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            failed = ((hashes & np.uint64(3)) < np.uint64(MOST_WORDS - 1)) & ~Bits(bits.value).has(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[failed].view(np.int64))], ["hash"])
+
+    return stage(counts.mapInArrow(rows, "hash long"), "failures")
+
+
+def border_pass(docs: DataFrame, now: Bits, before: Bits | None, least: int, segments: int) -> DataFrame:
+    """(hash): the frequent ones of what is proposed or in the border now and was not before; one pass over all rows."""
+    packed = docs.sparkSession.sparkContext.broadcast((now.packed, before.packed if before else None))
+
+    def due(stretch: Stretch) -> Iterator[np.ndarray]:
+        new, old = packed.value
+        return to_count(stretch, Bits(new), None if old is None else Bits(old))
+
+    return often(docs, due, least, segments)
+
+
+def counted(docs: DataFrame, hashes: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, words, f): phrases whose hash is one of ``hashes``, by themselves, ``least`` occurrences or more.
 
-    return stage(counts.where(f"words BETWEEN 1 AND {MOST_WORDS - 1}").select("hash").mapInArrow(rows, "hash long"), "failures")
+    A phrase of no words for each language counts all of its words.
+    """
+    packed = docs.sparkSession.sparkContext.broadcast(bits_for(hashes).packed)
+    names = ["lang", "phrase", "words", "n"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, stretch in _stretches(batches):
+            own, place = np.unique(np.array(langs, object), return_inverse=True)
+            totals = np.bincount(place[stretch.owner], minlength=len(own))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own, pa.string()), pa.array([""] * len(own)), pa.array(np.zeros(len(own), np.int32)), pa.array(totals)], names
+            )
+            lang = pa.array(langs, pa.string())
+            for m, (value, _, known) in enumerate(walked(stretch, Bits(packed.value)), 1):
+                places = np.flatnonzero(known)
+                _, first, n = np.unique(value[places], return_index=True, return_counts=True)
+                at = places[first]
+                texts = pa.array([stretch.text(k, m) for k in at.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(stretch.owner[at])), texts, pa.array(np.full(len(at), m, np.int32)), pa.array(n)], names)
+
+    found = _texts(docs).mapInArrow(rows, "lang string, phrase string, words int, n long")
+    sums = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+    return stage(sums.where((F.col("f") >= least) | (F.col("words") == 0)), "counts")
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -255,13 +309,16 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     Phrases of no words carry the number of all words of their language.
     """
     docs = docs.select("doc_id", "lang", "text")
-    now, before, found = proposals(docs), None, None
+    size, segments = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 1
+    while segments * SEGMENT_TEXT < size:
+        segments *= 2
+    now, before, found = proposals(docs, segments), None, None
     while True:
-        counts = counted(docs, now, before, least)
-        found = counts if found is None else found.unionByName(counts)
-        failed = failures(counts, now)
+        hashes = border_pass(docs, now, before, least, segments)
+        found = hashes if found is None else found.unionByName(hashes)
+        failed = failures(hashes, now)
         if failed.isEmpty():
-            return found.select("lang", "phrase", "words", "f")
+            return counted(docs, found, least)
         now, before = Bits(now.packed | set_bits(failed, now.size).packed), now
 
 
