@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
+import time
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ def test_ingest_reads_shards_by_wildcard_and_checks_the_count(spark, tmp_path):
     target = str(tmp_path / "raw/cycle_hire")
     for _ in range(2):  # a second load replaces the first
         assert scans.ingest(spark, str(tmp_path / "lake/*cycle_hire*"), target) == (24, 24)
-    assert rows(spark.read.parquet(target)) == rows(hire)
+    assert rows(sinks.read_published(spark, target)) == rows(hire)
 
 
 def test_zone_aware_times_become_utc_without_zone(spark, tmp_path):
@@ -102,8 +105,8 @@ def test_copy_goes_on_after_any_failure_and_keeps_the_old_copy(spark, tmp_path):
     for file in (tmp_path / "damaged").glob("*.parquet"):
         file.write_bytes(b"not parquet at all")
     damaged = spark.read.schema("id long").parquet(str(tmp_path / "damaged"))
-    spark.range(2).write.parquet(str(target / "damaged"))  # an earlier, good copy
-    spark.range(9).write.parquet(str(target / "b"))
+    early = sinks.copy_tables(spark, ["damaged", "b"], {"damaged": spark.range(2), "b": spark.range(9)}, str(target))
+    assert early.where("succeeded").count() == 2
     names = ["a", "missing", "broken", "damaged", "b"]
     report = sinks.copy_tables(
         spark, names, {"a": spark.range(3), "b": spark.range(4), "broken": broken, "damaged": damaged}, str(target)
@@ -114,9 +117,9 @@ def test_copy_goes_on_after_any_failure_and_keeps_the_old_copy(spark, tmp_path):
     errors = {r.table_name: r for r in report.collect()}
     assert errors["missing"].error_type == "KeyError" and errors["a"].error is None
     assert len(errors["damaged"].error) > 500
-    assert spark.read.parquet(str(target / "b")).count() == 4
-    assert spark.read.parquet(str(target / "damaged")).count() == 2
-    assert sorted(p.name for p in target.iterdir()) == ["a", "b", "damaged"]
+    assert sinks.read_published(spark, str(target / "b")).count() == 4
+    assert sinks.read_published(spark, str(target / "damaged")).count() == 2
+    assert len(list((target / "damaged").glob("v-*"))) == 1  # what the failed copy had written is gone
 
 
 def test_warehouse_builds_partitioned_tables_twice(spark, tmp_path):
@@ -128,13 +131,107 @@ def test_warehouse_builds_partitioned_tables_twice(spark, tmp_path):
     assert sorted(tables) == sorted(STAR_TABLES)
     assert built.read("fact_hire").count() == 24
     assert tables["fact_bike_daily_usage"].count() == 3 * 8
-    assert len(list((tmp_path / "fact_hire").glob("start_date_key=*"))) == 4
+    assert len(list((tmp_path / "fact_hire").glob("v-*"))) == 2
+    assert len(list(Path(sinks.published(spark, str(tmp_path / "fact_hire"))).glob("start_date_key=*"))) == 4
     plan = tables["fact_hire"].where("start_date_key = DATE'2023-01-03'")._jdf.queryExecution().executedPlan()
     assert "PartitionFilters: [isnotnull(start_date_key" in plan.toString()
     other = build_alternative(built, hire)
     assert other["alt_fact_hires"].count() == 24
 
 
+def test_a_reader_finds_old_or_new_rows_at_every_moment(spark, tmp_path):
+    hire, known = raw(spark)
+    dates = calendar.dim_date(spark, date(2023, 1, 1), date(2023, 1, 8))
+    built = Warehouse(spark, str(tmp_path / "mart"), "polled")
+    build_star(built, hire, known, dates)
+    seen, stop = set(), threading.Event()
+
+    def poll():
+        while not stop.is_set():
+            try:
+                seen.add((spark.table("polled.fact_hire").count(), spark.table("polled.dim_bike").count()))
+                seen.add(sinks.read_published(spark, built.path("fact_hire")).count())
+            except Exception as problem:
+                seen.add(repr(problem)[:300])
+
+    reader = threading.Thread(target=poll)
+    reader.start()
+    try:
+        build_star(built, hire.unionByName(hire.withColumn("bike_id", F.col("bike_id") + 10)), known, dates)
+        time.sleep(1)
+    finally:
+        stop.set()
+        reader.join()
+    assert seen - {24, 48} <= {(24, 3), (24, 6), (48, 3), (48, 6)} and {48, (48, 6)} <= seen
+    spark.sql("DROP DATABASE polled CASCADE")
+
+
+def test_catalog_table_is_replaced_whole_or_not_at_all(spark):
+    sinks.ensure_database(spark, "swap")
+    sinks.replace_table(spark.range(5), "swap.t")
+    broken = spark.range(3).selectExpr("cast(if(id = 2, raise_error('no'), id) AS bigint) AS id")
+    with pytest.raises(Exception, match="no"):
+        sinks.replace_table(broken, "swap.t")
+    assert spark.table("swap.t").count() == 5
+    sinks.replace_table(spark.table("swap.t").where("id > 1"), "swap.t")  # from its own rows
+    assert rows(spark.table("swap.t")) == [(2,), (3,), (4,)]
+    sinks.replace_table(spark.range(2).selectExpr("id", "'x' AS further"), "swap.t")
+    assert rows(spark.table("swap.t")) == [(0, "x"), (1, "x")]
+    sinks.replace_table(spark.range(2).selectExpr("'y' AS id"), "swap.t")
+    assert rows(spark.table("swap.t")) == [("y",), ("y",)]
+    days = spark.range(20).selectExpr("date_add(DATE'2023-01-01', int(id % 4)) AS d", "id")
+    for _ in range(2):
+        sinks.replace_table(days, "swap.days", "d", ["id"])
+        assert spark.table("swap.days").where("d = DATE'2023-01-02'").count() == 5
+    assert len(list(Path(sinks.table_root(spark, "swap.t").removeprefix("file:")).glob("v-*"))) == 2
+    spark.sql("DROP DATABASE swap CASCADE")
+
+
+def test_nothing_is_renamed():
+    source = Path(sinks.__file__).read_text()
+    assert ".rename(" not in source and 'mode("overwrite")' not in source
+
+
+def test_jobs_run_together_and_a_slow_or_failing_one_delays_none(spark):
+    ends = {}
+
+    def slow(name, seconds):
+        time.sleep(seconds)
+        n = spark.range(10).count()
+        ends[name] = time.perf_counter()
+        return n, spark.sparkContext.getLocalProperty("spark.scheduler.pool"), spark.sparkContext.getLocalProperty("own")
+
+    spark.sparkContext.setLocalProperty("own", "inherited")
+    begun = time.perf_counter()
+    done = sinks.run_together(spark, {"a": lambda: slow("a", 3), "b": lambda: 1 / 0, "c": lambda: slow("c", 0)}, 3)
+    spark.sparkContext.setLocalProperty("own", None)
+    assert done["a"] == (10, "a", "inherited") and done["c"] == (10, "c", "inherited")
+    assert isinstance(done["b"], ZeroDivisionError) and ends["c"] < ends["a"] and time.perf_counter() - begun < 6
+    assert list(done) == ["a", "b", "c"]
+
+
+def test_shards_of_different_schema(spark, tmp_path):
+    spark.sql("SELECT 1 AS id, 2.5F AS x, DATE'2023-01-01' AS t, 'a' AS s, 1 AS k").write.parquet(str(tmp_path / "x_1"))
+    spark.sql("SELECT 3000000000L AS ID, 7 AS x, TIMESTAMP_NTZ'2023-01-02 03:00:00' AS t, 5 AS s").write.parquet(str(tmp_path / "x_2"))
+    spark.sql("SELECT 2 AS id, 1.5D AS x, TIMESTAMP'2023-07-02 03:00:00 Europe/London' AS t, 'b' AS s, 2 AS k, true AS more").write.parquet(str(tmp_path / "x_3"))
+    df = scans.scan_parquet(spark, str(tmp_path / "x_*"))
+    assert df.dtypes == [("id", "bigint"), ("x", "double"), ("t", "timestamp_ntz"), ("s", "string"), ("k", "int"), ("more", "boolean")]
+    assert sorted(map(tuple, df.collect())) == [
+        (1, 2.5, dt.datetime(2023, 1, 1), "a", 1, None),
+        (2, 1.5, dt.datetime(2023, 7, 2, 2), "b", 2, True),
+        (3_000_000_000, 7.0, dt.datetime(2023, 1, 2, 3), "5", None, None),
+    ]
+    found = {(r.column_name, r.shard_type): (r.read_as, r.shards) for r in scans.shard_differences(spark, str(tmp_path / "x_*")).collect()}
+    assert found[("id", "int")] == ("bigint", 2) and found[("k", "missing")] == ("int", 1) and found[("more", "missing")] == ("boolean", 2)
+    assert scans.shard_differences(spark, str(tmp_path / "x_1")).count() == 0
+
+
+def test_a_failing_load_is_reported_and_delays_none(spark, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "good"))
+    report = scans.ingest_report(spark, {"none": (str(tmp_path / "no*"), str(tmp_path / "t0")), "good": (str(tmp_path / "go*"), str(tmp_path / "t1"))})
+    assert rows(report) == [("good", 4, 4, True, None), ("none", None, None, False, "AnalysisException")]
+
+
 def test_hot_day_is_split_over_several_files(spark, tmp_path):
     """A day with nearly all rows is written by several tasks, other days by one."""
     df = spark.range(400_000).selectExpr(

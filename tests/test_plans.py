@@ -178,3 +178,20 @@ def test_alternative_fact_joins_the_written_station_list(spark, raw):
 def test_lifecycle_reads_hires_once_when_staged(spark, models):
     durations = lifecycle.bike_durations(staged(lifecycle.hire_spans(models["fact"]), "spans"))
     assert "start_station_id" not in plan(lifecycle.lifecycle_combined(durations))
+
+
+def test_calendar_filter_prunes_the_days_of_the_hires(spark, tmp_path):
+    """Only weekend partitions are read; the filter comes from the calendar when the query runs."""
+    query = all_queries()["weekend_rides"](spark, SF)
+    text = plan(query)
+    assert "dynamicpruning" in text and "LeftSemi" in text
+    query.collect()
+    nodes, metrics = [query._jdf.queryExecution().executedPlan().finalPhysicalPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("Scan parquet") and node.metrics().contains("numPartitions"):
+            metrics.append(node.metrics().apply("numPartitions").value())
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+    assert metrics and 0 < min(metrics) <= 10  # of 31 days

@@ -57,6 +57,12 @@ def exact_median(df: DataFrame, group: str, value: str, widths: tuple[int, ...])
     return hit.groupBy(group).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
 
 
+def value_counts(df: DataFrame) -> DataFrame:
+    """(column_name, present): how many rows have a value in each column; one aggregate over one pass."""
+    counted = df.agg(*[F.count(F.col(f"`{name}`")).alias(name) for name in df.columns])
+    return counted.unpivot([], [F.col(f"`{name}`") for name in df.columns], "column_name", "present")
+
+
 def distinct_counts(df: DataFrame) -> DataFrame:
     """(column_name, distinct_count) for every column, exact, NULLs not counted.
 

@@ -23,6 +23,20 @@ def rides_by_weekday(hires: DataFrame, dates: DataFrame) -> DataFrame:
     )
 
 
+def rides_on_days(hires: DataFrame, dates: DataFrame, chosen: str) -> DataFrame:
+    """(date_key, rides, minutes) of the calendar days that ``chosen`` is true for.
+
+    A semi join of the hires to the filtered calendar, both written: where the hires are partitioned by day the days that
+    are left of the calendar become a filter on the partitions when the query runs, and no other day is read.
+    """
+    days = dates.where(chosen).select(F.col("date_key").alias("start_date_key"))
+    return (
+        hires.join(days, "start_date_key", "left_semi")
+        .groupBy(F.col("start_date_key").alias("date_key"))
+        .agg(F.expr("count(*) AS rides"), F.expr("sum(duration_minutes) AS minutes"))
+    )
+
+
 def rides_by_hour(hires: DataFrame) -> DataFrame:
     return hires.groupBy("start_hour").agg(F.expr("count(*) AS total_rides")).orderBy("start_hour")
 

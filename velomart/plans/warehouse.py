@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from velomart.plans import altstar, calendar, staging, star
-from velomart.sinks.tables import replace_files, staged, write_days, write_partitioned
+from velomart.sinks.tables import ensure_database, point_table, publish, read_published, staged, write_days, write_partitioned
 
 # Partition column and clustering of the partitioned tables.
 PARTITIONED = {
@@ -18,35 +20,44 @@ STAR_TABLES = ["dim_bike", "dim_station", "dim_date", "fact_bike_daily_usage", "
 class Warehouse:
     """Tables under one folder; ``save`` replaces a table and returns it as written.
 
-    The facts are partitioned by day. A table is replaced only by a complete one.
+    The facts are partitioned by day. Every build of a table has a folder of its own and is published when complete, so
+    readers find the old rows or the new ones at every moment. With a ``database`` each table is known to the catalog too,
+    by one statement per build.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, database: str | None = None):
         self.spark = spark
         self.folder = folder
+        self.database = database
+        if database:
+            ensure_database(spark, database)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.table(f"`{self.database}`.`{name}`") if self.database else read_published(self.spark, self.path(name))
+
+    def _publish(self, name: str, df: DataFrame, write: Callable[[str], None]) -> DataFrame:
+        """``df`` as written: read from its version, which the next build leaves in place."""
+        partition = PARTITIONED.get(name, (None,))[0]
+
+        def point(folder: str) -> None:
+            point_table(self.spark, f"`{self.database}`.`{name}`", df.schema, folder, partition)
 
-    def _written(self, name: str, df: DataFrame) -> DataFrame:
-        return self.spark.read.schema(df.schema).parquet(self.path(name)).select(*df.columns)
+        folder = publish(self.spark, self.path(name), write, point if self.database else None)
+        return self.spark.read.schema(df.schema).parquet(folder).select(*df.columns)
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         if name in PARTITIONED:
-            write_partitioned(df, self.path(name), *PARTITIONED[name])
-        else:
-            replace_files(self.spark, self.path(name), lambda folder: df.write.parquet(folder))
-        return self._written(name, df)
+            return self._publish(name, df, lambda folder: write_partitioned(df, folder, *PARTITIONED[name]))
+        return self._publish(name, df, lambda folder: df.write.parquet(folder))
 
     def save_usage(self, hires: DataFrame, bikes: DataFrame, dates: DataFrame) -> DataFrame:
         """Build and save the daily usage; its rows are brought together by month before they are days."""
         name = "fact_bike_daily_usage"
         df = star.usage_days(star.usage_by_month(star.usage_runs(hires, bikes, dates)), dates)
-        write_days(df, self.path(name), *PARTITIONED[name])
-        return self._written(name, df)
+        return self._publish(name, df, lambda folder: write_days(df, folder, *PARTITIONED[name]))
 
 
 def build_star(warehouse: Warehouse, hires: DataFrame, stations: DataFrame, dates: DataFrame | None = None):

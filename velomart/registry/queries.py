@@ -17,19 +17,23 @@ from velomart.operators import aggregates, quality, sorting
 from velomart.plans import (
     altstar, calendar, checks, demand, fleet, lifecycle, staging, star, stations, trend, warehouse,
 )
-from velomart.sinks.tables import copy_tables, ensure_database, replace_table, staged, work_folder
+from velomart.sinks.tables import copy_tables, ensure_database, replace_table, run_key, staged, work_folder
 from velomart.sources import bridge, catalog
 from velomart.sources.registry import Source, SourceRegistry
-from velomart.sources.scans import ingest_report, scan_date_seed, scan_stations_csv, unreadable_stations
+from velomart.sources.scans import ingest_report, scan_date_seed, scan_parquet, scan_stations_csv, shard_differences, unreadable_stations
+
+
+_BUILT: dict[tuple, dict[str, DataFrame]] = {}
 
 
 class Models:
     """The warehouse models over one pair of raw tables, each built when first asked for."""
 
-    def __init__(self, spark: SparkSession, hires: DataFrame, raw_stations: DataFrame):
+    def __init__(self, spark: SparkSession, hires: DataFrame, raw_stations: DataFrame, origin: str):
         self.spark = spark
         self.hires = hires
         self.raw_stations = raw_stations
+        self.origin = origin
 
     @cached_property
     def stg_hires(self):
@@ -67,12 +71,15 @@ class Models:
             staged(self.fact_hire, "fact_hire"), staged(self.dim_bike, "dim_bike"), staged(self.dim_date, "dim_date")
         )
 
-    @cached_property
+    @property
     def built(self):
-        """Both stars as written tables, by name."""
-        folder = warehouse.Warehouse(self.spark, work_folder(self.spark))
-        tables = warehouse.build_star(folder, self.hires, self.raw_stations)
-        return tables | warehouse.build_alternative(folder, self.hires)
+        """Both stars as written tables, by name; built once for all queries of the session on the same raw tables."""
+        key = (*run_key(self.spark), self.origin)
+        if key not in _BUILT:
+            folder = warehouse.Warehouse(self.spark, work_folder(self.spark))
+            tables = warehouse.build_star(folder, self.hires, self.raw_stations)
+            _BUILT[key] = tables | warehouse.build_alternative(folder, self.hires)
+        return _BUILT[key]
 
     @cached_property
     def alt_dim_station(self):
@@ -100,14 +107,14 @@ class Models:
 def short_hires(spark: SparkSession, sf_dir: str) -> Models:
     """A month of hires with hours, gaps and open hires."""
     return Models(
-        spark, bridge.hires_from_events(spark, sf_dir), bridge.stations_from_suppliers(spark, sf_dir)
+        spark, bridge.hires_from_events(spark, sf_dir), bridge.stations_from_suppliers(spark, sf_dir), f"events {sf_dir}"
     )
 
 
 def long_hires(spark: SparkSession, sf_dir: str) -> Models:
     """Hires over several years."""
     return Models(
-        spark, bridge.hires_from_orders(spark, sf_dir), bridge.stations_from_suppliers(spark, sf_dir)
+        spark, bridge.hires_from_orders(spark, sf_dir), bridge.stations_from_suppliers(spark, sf_dir), f"orders {sf_dir}"
     )
 
 
@@ -182,12 +189,23 @@ def _copy_report(m: Models) -> DataFrame:
 
 
 def _rebuild_report(m: Models) -> DataFrame:
-    """Build the star twice into one folder; the second build replaces every table."""
-    folder = warehouse.Warehouse(m.spark, work_folder(m.spark))
-    warehouse.build_star(folder, m.hires, m.raw_stations)
-    again = warehouse.build_star(folder, m.hires, m.raw_stations)
-    counts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")) for name, df in again.items()]
-    return reduce(DataFrame.unionByName, counts)
+    """Build the star twice into one folder and database; the second build replaces every table, read by its name."""
+    database = f"velomart_{uuid.uuid4().hex}"
+    built = warehouse.Warehouse(m.spark, work_folder(m.spark), database)
+    try:
+        warehouse.build_star(built, m.hires, m.raw_stations)
+        warehouse.build_star(built, m.hires, m.raw_stations)
+        rows = [(name, built.read(name).count()) for name in warehouse.STAR_TABLES]
+    finally:
+        m.spark.sql(f"DROP DATABASE `{database}` CASCADE")
+    return m.spark.createDataFrame(rows, "table_name string, row_count long")
+
+
+def _weekend_rides(m: Models) -> DataFrame:
+    """Rides of the weekends of the first quarter, from the hires partitioned by day."""
+    built = warehouse.Warehouse(m.spark, work_folder(m.spark))
+    hires, dates = built.save("fact_hire", m.fact_hire), built.save("dim_date", m.dim_date.coalesce(1))
+    return demand.rides_on_days(hires, dates, "quarter = '1' AND day_type = 'Weekend'")
 
 
 def _csv_stations(m: Models) -> str:
@@ -225,6 +243,7 @@ def _catalog_report(m: Models) -> DataFrame:
     ensure_database(m.spark, database)
     try:
         for name, df in (("dim_bike", m.dim_bike), ("dim_station", m.dim_station), ("stg_cycle_hire", m.stg_hires)):
+            replace_table(df.limit(1), f"`{database}`.`{name}`")
             replace_table(df, f"`{database}`.`{name}`")
         listed = [(base, name) for base, name in catalog.list_tables(m.spark) if base == database]
         frames = catalog.load_frames(m.spark, listed)
@@ -247,11 +266,18 @@ def _zoned_times(m: Models) -> DataFrame:
     return hires.groupBy(F.hour("start_date").alias("start_hour")).agg(F.count("*").alias("hires"))
 
 
+def _export_shards(m: Models, lake: str) -> None:
+    """The raw tables as exports leave them: two shards of hires, the earlier with narrower ids and without two columns."""
+    early = m.hires.where("rental_id % 2 = 0").drop("bike_model", "end_station_priority_id")
+    early.withColumns({name: F.col(name).cast("int") for name in ("rental_id", "duration")}).write.parquet(f"{lake}/export_cycle_hire_2022")
+    m.hires.where("rental_id % 2 = 1").write.parquet(f"{lake}/export_cycle_hire_2023")
+    m.raw_stations.write.parquet(f"{lake}/export_cycle_stations_shards")
+
+
 def _ingest_report(m: Models) -> DataFrame:
     """Export the raw tables as shards, then ingest them by wildcard."""
     lake, raw = work_folder(m.spark), work_folder(m.spark)
-    m.hires.write.parquet(f"{lake}/export_cycle_hire_shards")
-    m.raw_stations.write.parquet(f"{lake}/export_cycle_stations_shards")
+    _export_shards(m, lake)
     return ingest_report(
         m.spark,
         {
@@ -261,6 +287,16 @@ def _ingest_report(m: Models) -> DataFrame:
     )
 
 
+def _shard_report(m: Models) -> DataFrame:
+    """Columns in which the shards of the hires differ, with the values that reach the reconciled scan."""
+    lake = work_folder(m.spark)
+    _export_shards(m, lake)
+    pattern = f"{lake}/*cycle_hire*"
+    found = shard_differences(m.spark, pattern)
+    values = aggregates.value_counts(scan_parquet(m.spark, pattern))
+    return found.join(values, "column_name")
+
+
 def _lifecycle_section(section: str) -> Callable[[Models], DataFrame]:
     return lambda m: lifecycle.lifecycle_section(lifecycle.lifecycle_combined(m.durations), section)
 
@@ -282,6 +318,7 @@ SHORT: dict[str, Callable[[Models], DataFrame]] = {
     "rides_by_weekday": lambda m: demand.rides_by_weekday(m.fact_hire, m.dim_date),
     "rides_by_hour": lambda m: demand.rides_by_hour(m.fact_hire),
     "rides_by_hour_ts": lambda m: demand.rides_by_hour_ts(m.fact_hire),
+    "weekend_rides": _weekend_rides,
     "peak_offpeak": lambda m: demand.peak_offpeak(m.fact_hire),
     "minute_profile": lambda m: demand.minute_profile(m.fact_hire),
     "minute_profile_labelled": lambda m: demand.minute_profile_labelled(demand.minute_profile(m.fact_hire)),
@@ -309,6 +346,7 @@ SHORT: dict[str, Callable[[Models], DataFrame]] = {
     "dq_report": _check_report,
     # sources and sinks
     "raw_ingest_status": _ingest_report,
+    "raw_shard_differences": _shard_report,
     "partitioned_fact_hire": _partitioned_days,
     "table_copy_status": _copy_report,
     "rebuild_status": _rebuild_report,

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from velomart.functions import columns as c
 from velomart.plans.calendar import DIM_DATE_SCHEMA
-from velomart.sinks.tables import replace_files, write_counted
+from velomart.sinks.tables import publish, read_published, run_together, write_counted
 
 STATIONS_SCHEMA = T.StructType(
     [
@@ -34,9 +36,93 @@ def object_store_options(endpoint: str, region: str, env: Mapping[str, str] = os
     }
 
 
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or []]
+
+
+def shard_schemas(spark: SparkSession, pattern: str, options: Mapping[str, str] | None = None) -> dict[str, T.StructType]:
+    """The schema of every file or folder that matches a wildcard, from one footer of each."""
+    read = spark.read.options(**(options or {}))
+    found = run_together(spark, {path: lambda path=path: read.parquet(path).schema for path in _matches(spark, pattern)}, 8)
+    for schema in found.values():
+        if isinstance(schema, Exception):
+            raise schema
+    return found
+
+
+# Numeric types from narrow to wide.
+NUMBERS = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+
+
+def common_type(types: list[T.DataType]) -> T.DataType:
+    """The type that a column is read as whose shards differ: the widest number, the finest time, else text."""
+    names = [t.simpleString() for t in types]
+    if len(set(names)) == 1:
+        return types[0]
+    if all(n in NUMBERS for n in names):
+        whole = {"int", "bigint"} & set(names)
+        widest = max(types, key=lambda t: NUMBERS.index(t.simpleString()))
+        return T.DoubleType() if whole and widest == T.FloatType() else widest
+    if set(names) <= {"date", "timestamp", "timestamp_ntz"}:
+        return T.TimestampNTZType()
+    return T.StringType()
+
+
+def reconciled(schemas: Iterable[T.StructType]) -> T.StructType:
+    """One schema for shards that differ: columns by name whatever their case, in the order they are met."""
+    types: dict[str, list[T.DataType]] = {}
+    spelled: dict[str, str] = {}
+    for schema in schemas:
+        for field in schema:
+            spelled.setdefault(field.name.lower(), field.name)
+            types.setdefault(field.name.lower(), []).append(field.dataType)
+    return T.StructType([T.StructField(spelled[key], common_type(own)) for key, own in types.items()])
+
+
+def shard_differences(spark: SparkSession, pattern: str, options: Mapping[str, str] | None = None) -> DataFrame:
+    """(column_name, shard_type, read_as, shards): columns that are missing from some shards, or of another type there than read."""
+    schemas = list(shard_schemas(spark, pattern, options).values())
+    counts: Counter[tuple[str, str, str]] = Counter()
+    for field in reconciled(schemas):
+        for schema in schemas:
+            own = [f.dataType.simpleString() for f in schema if f.name.lower() == field.name.lower()]
+            counts[field.name, own[0] if own else "missing", field.dataType.simpleString()] += 1
+    rows = [(*key, n) for key, n in counts.items() if n < len(schemas) or key[1] != key[2]]
+    return spark.createDataFrame(rows, "column_name string, shard_type string, read_as string, shards long")
+
+
+def _read_as(df: DataFrame, schema: T.StructType) -> DataFrame:
+    own = {name.lower(): name for name in df.columns}
+    kinds = dict(df.dtypes)
+    columns = []
+    for field in schema:
+        name = own.get(field.name.lower())
+        value = F.lit(None) if name is None else c.utc_ntz(name) if kinds[name] == "timestamp" else F.col(f"`{name}`")
+        columns.append(value.cast(field.dataType).alias(field.name))
+    return df.select(*columns)
+
+
 def scan_parquet(spark: SparkSession, pattern: str, options: Mapping[str, str] | None = None) -> DataFrame:
-    """All Parquet files matching a wildcard; zone-aware times become UTC times without zone."""
-    df = spark.read.options(**(options or {})).parquet(pattern)
+    """All Parquet files matching a wildcard; zone-aware times become UTC times without zone.
+
+    Shards may differ in their columns: each group of equal schema is read as it is, cast to the
+    ``reconciled`` schema and put together by name; a column that a shard lacks is NULL there.
+    """
+    groups: dict[str, list[str]] = {}
+    schemas = shard_schemas(spark, pattern, options)
+    for path, schema in schemas.items():
+        groups.setdefault(schema.json(), []).append(path)
+    read = spark.read.options(**(options or {}))
+    if len(groups) > 1:
+        whole = reconciled(schemas.values())
+        zoned = [f for f in whole if f.dataType == T.TimestampType()]
+        for field in zoned:
+            field.dataType = T.TimestampNTZType()
+        parts = [_read_as(read.schema(schemas[paths[0]]).parquet(*paths), whole) for paths in groups.values()]
+        return reduce(DataFrame.unionByName, parts)
+    df = read.parquet(pattern)
     zoned = [f.name for f in df.schema if f.dataType == T.TimestampType()]
     return df.withColumns({name: c.utc_ntz(name) for name in zoned}) if zoned else df
 
@@ -75,21 +161,29 @@ def scan_date_seed(spark: SparkSession, path: str) -> DataFrame:
 def ingest(
     spark: SparkSession, pattern: str, target: str, options: Mapping[str, str] | None = None
 ) -> tuple[int, int]:
-    """Load files matching ``pattern`` into the raw table at ``target``, replacing it.
+    """Load files matching ``pattern`` into the raw table at ``target``, replacing it; ``read_published`` reads it.
 
     Returns (rows read, rows in the written table); the load is sound if they are equal.
     """
     source = scan_parquet(spark, pattern, options)
     read = []
-    replace_files(spark, target, lambda folder: read.append(write_counted(source, lambda df: df.write.parquet(folder))))
-    return read[0], spark.read.parquet(target).count()
+    publish(spark, target, lambda folder: read.append(write_counted(source, lambda df: df.write.parquet(folder))))
+    return read[0], read_published(spark, target).count()
 
 
 def ingest_report(
-    spark: SparkSession, loads: Mapping[str, tuple[str, str]], options: Mapping[str, str] | None = None
+    spark: SparkSession, loads: Mapping[str, tuple[str, str]], options: Mapping[str, str] | None = None, at_once: int = 4
 ) -> DataFrame:
-    """Ingest several raw tables given as name -> (pattern, target), read with ``options``; one row per table."""
-    rows = [(name, *ingest(spark, pattern, target, options)) for name, (pattern, target) in loads.items()]
-    return spark.createDataFrame(rows, "table_name string, rows_read long, rows_loaded long").withColumn(
-        "complete", F.col("rows_read") == F.col("rows_loaded")
+    """Ingest several raw tables given as name -> (pattern, target), read with ``options``; one row per table.
+
+    Several at once; a load that fails is reported with its kind of error and leaves what was at its target.
+    """
+    jobs = {name: lambda x=x: ingest(spark, *x, options) for name, x in loads.items()}
+    done = run_together(spark, jobs, at_once)
+    rows = [
+        (name, None, None, False, type(x).__name__) if isinstance(x, Exception) else (name, *x, x[0] == x[1], None)
+        for name, x in done.items()
+    ]
+    return spark.createDataFrame(
+        rows, "table_name string, rows_read long, rows_loaded long, complete boolean, error_type string"
     )
