@@ -8,6 +8,7 @@ import time
 from datetime import date
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from build import hires, rows, stations
@@ -61,6 +62,38 @@ def test_stations_from_csv(spark, tmp_path):
     assert rows(scans.unreadable_stations(spark, str(path))) == [("latitude", "bad", 1)]
 
 
+def test_lines_of_the_csv_that_are_not_rows(spark, tmp_path):
+    path = tmp_path / "stations.csv"
+    path.write_text("name,id,latitude,longitude,terminal_name\nA,1,51.5,-0.1,1001\nB,2\nC,3,51.5,-0.1,1003,more\nB,2\n\"D, e\",x,51.5,-0.1,1004\n")
+    assert rows(scans.unreadable_stations(spark, str(path))) == [("_line", "B,2", 2), ("_line", "C,3,51.5,-0.1,1003,more", 1), ("id", "x", 1)]
+    assert sorted(r.name for r in scans.scan_stations_csv(spark, str(path)).collect()) == ["A", "B", "B", "C", "D, e"]
+
+
+def test_a_curve_skips_row_groups_by_every_column(spark, tmp_path):
+    """By footers: a linear sort skips by its first column only."""
+    df = sinks.staged(
+        spark.range(200_000).selectExpr("DATE'2023-01-01' AS d", "hash(id) & 1023 AS a", "if(id % 50 = 0, NULL, hash(id, 1) & 1023) AS b", "hash(id, 2) & 1023 AS c", "id")
+    )
+    options = {"parquet.block.size": 65536, "parquet.page.size": 8192, "parquet.block.row.check.min": 100}
+    sinks.write_curve(df, str(tmp_path / "curve"), "d", ["a", "b", "c"], **options)
+    df.repartitionByRange("d", "a", "b", "c").sortWithinPartitions("a", "b", "c").write.options(**options).partitionBy("d").parquet(str(tmp_path / "line"))
+    assert rows(spark.read.parquet(str(tmp_path / "curve")).select(df.columns)) == rows(df)
+
+    def share(name, column):
+        seen = []
+        for file in (tmp_path / name).glob("d=*/*.parquet"):
+            footer = pq.ParquetFile(file).metadata
+            place = footer.schema.names.index(column)
+            stats = [footer.row_group(k).column(place).statistics for k in range(footer.num_row_groups)]
+            seen += [s.has_min_max and s.min <= 500 <= s.max for s in stats]
+        return sum(seen) / len(seen), len(seen)
+
+    curve = {c: share("curve", c) for c in "abc"}
+    assert min(n for _, n in curve.values()) > 15
+    assert all(part < 0.6 for part, _ in curve.values()), curve
+    assert share("line", "c")[0] > 0.9
+
+
 def test_date_seed_keeps_text_columns(spark, tmp_path):
     path = str(tmp_path / "dim_date")
     made = calendar.dim_date(spark, date(2023, 1, 1), date(2023, 1, 3))

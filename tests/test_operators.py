@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from velomart.functions import columns as c
 from velomart.operators.aggregates import distinct_counts, exact_median, table_profile
+from velomart.operators.quality import unique_offenders
 from velomart.operators.sorting import head, tail
 from velomart.operators.windows import first_per_key
 
@@ -28,10 +29,29 @@ def test_exact_median_equals_sorting(spark):
     }
     data = [(g, v) for g, values in groups.items() for v in values] + [("spread", None), ("nothing", None)]
     df = spark.createDataFrame(data, "g string, v long").repartition(5)
-    found = exact_median(df, "g", "v", widths=(100_000, 500, 1))
-    middle = {r.g: (r.low + r.high) / 2 for r in found.collect()}
-    assert middle == {g: statistics.median(values) for g, values in groups.items()}
-
+    for accuracy in (10_000, 20):  # whole range, then brackets
+        found = exact_median(df, "g", "v", accuracy)
+        middle = {r.g: (r.low + r.high) / 2 for r in found.collect()}
+        assert middle == {g: statistics.median(values) for g, values in groups.items()}
+
+
+def test_exact_median_brackets_a_large_group(spark):
+    """Half a million values, in order and shuffled, with one value that holds a third of the rows."""
+    df = spark.range(500_000).selectExpr("id % 2 AS g", "if(id % 3 = 0, 77, pmod(id * 7919, 1000003)) AS v")
+    expected = df.groupBy("g").agg(F.expr("percentile(v, 0.5) AS m")).collect()
+    for order in ("v", "hash(v)"):
+        found = exact_median(df.orderBy(F.expr(order)), "g", "v", 1000).collect()
+        assert {r.g: (r.low + r.high) / 2 for r in found} == {r.g: r.m for r in expected}
+
+
+def test_unique_offenders_with_colliding_fingerprints(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,), (None,), ("e",)], "k string")
+    same = lambda column: F.when(F.col(column) == "e", 1).otherwise(0)
+    assert rows(unique_offenders(df, "k", same)) == rows(unique_offenders(df, "k")) == [("b", 2)]
+    numbers = spark.createDataFrame([(1,), (1,), (None,), (2,)], "k int")
+    assert rows(unique_offenders(numbers, "k")) == [(1, 2)]
+    shuffled = unique_offenders(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "fingerprint" in shuffled
 
 def test_first_per_key_takes_one_row_per_key_and_limits_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (1, None, "c"), (2, None, "d")], "k int, v int, x string")

@@ -195,3 +195,9 @@ def test_calendar_filter_prunes_the_days_of_the_hires(spark, tmp_path):
         if node.nodeName().endswith("QueryStage"):
             nodes.append(node.plan())
     assert metrics and 0 < min(metrics) <= 10  # of 31 days
+
+
+def test_lifecycle_summary_reads_the_spans_few_times(models):
+    """Once for the figures, twice for the median; the latest end of all is one more scalar."""
+    durations = staged(lifecycle.bike_durations(staged(lifecycle.hire_spans(models["fact"]), "spans")), "durations")
+    assert plan(lifecycle.lifecycle_summary(durations)).count("FileScan parquet") == 3

@@ -8,53 +8,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_median(df: DataFrame, group: str, value: str, widths: tuple[int, ...]) -> DataFrame:
-    """The two middle values (equal for an odd count) of an integer column per group.
-
-    The built-in exact median keeps a group's values in one task's memory, and with few groups
-    that is most of the data. Here the middle ranks are found in a histogram with buckets of
-    the first width, then only the buckets hit are split by the next width, down to single
-    values (the last width is 1). Every step is a partially aggregated count; the only window
-    runs over bucket counts, at most range / width or width / next width of them per group.
-
-    What is joined to the rows is two ranks per group. Gives (group, low, high). Reads ``df`` once per width: pass a written table.
+def exact_median(df: DataFrame, group: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """The two middle values (equal for an odd count) of an integer column per group: (group, low, high), exact.
+
+    The built-in exact median keeps a group's values in one task's memory, and with few groups that is most of the
+    data. Here one pass builds a mergeable quantile sketch per group, whose error in rank is bounded by one in ``accuracy``,
+    and takes two values that must enclose the middle; a second pass counts what lies below them and, value by value, what
+    lies between, some thousandths of the rows. Both are partially aggregated; what is joined to the rows is
+    one bracket per group, and the window runs over the counted values between. Reads ``df`` twice; NULL values are left out, and a group
+    without others has no row.
     """
-    rows = df.where(F.col(value).isNotNull()).select(group, value)
-    last = F.col("total") - 1
-    ranks = F.array((last / 2).cast("long"), ((last + 1) / 2).cast("long"))
-    middle = (
-        rows.groupBy(group)
-        .agg(F.count("*").alias("total"))
-        .select(group, F.posexplode(ranks).alias("side", "rank"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    margin = 3 / accuracy
+    # Below some thousand values the rounding of the two shares to ranks matters; the whole range is no more then.
+    enclosing = F.percentile_approx("v", F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), F.lit(accuracy))
+    small = F.count("*") <= 10 * accuracy
+    brackets = rows.groupBy("g").agg(
+        F.count("*").alias("total"),
+        F.when(small, F.min("v")).otherwise(enclosing[0]).alias("least"),
+        F.when(small, F.max("v")).otherwise(enclosing[1]).alias("most"),
     )
-    running = (
-        Window.partitionBy(group, "side")
-        .orderBy("bucket")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = (
+        rows.join(brackets, "g")
+        .where("v <= most")
+        .groupBy("g", "total", F.expr("if(v < least, NULL, v) AS v"))
+        .agg(F.count("*").alias("n"))
     )
+    upto = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
 
-    def bucket(width: int):
-        return F.floor(F.col(value) / width).cast("long")
+    def holds(rank: str) -> str:
+        return f"before <= {rank} AND {rank} < upto"
 
-    def holding_rank(counts: DataFrame) -> DataFrame:
-        """The bucket each wanted rank falls in, and the rank within that bucket."""
-        below = F.sum("n").over(running) - F.col("n")
-        return (
-            counts.withColumn("below", below)
-            .where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("n")))
-            .select(group, "side", (F.col("rank") - F.col("below")).alias("rank"), "bucket")
-        )
-
-    histogram = rows.groupBy(group, bucket(widths[0]).alias("bucket")).agg(F.count("*").alias("n"))
-    hit = holding_rank(histogram.join(middle, group))
-    for coarser, width in zip(widths, widths[1:]):
-        inside = rows.withColumn("coarse", bucket(coarser)).join(
-            hit.withColumnRenamed("bucket", "coarse"), [group, "coarse"]
-        )
-        hit = holding_rank(
-            inside.groupBy(group, "side", "rank", bucket(width).alias("bucket")).agg(F.count("*").alias("n"))
-        )
-    return hit.groupBy(group).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
+    found = placed.groupBy("g").agg(
+        F.expr(f"max(if({holds('(total - 1) div 2')}, v, NULL)) AS low"), F.expr(f"max(if({holds('total div 2')}, v, NULL)) AS high")
+    )
+    return found.withColumnRenamed("g", group)
 
 
 def value_counts(df: DataFrame) -> DataFrame:

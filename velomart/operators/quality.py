@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from velomart.sinks.tables import staged
 
-def unique_offenders(df: DataFrame, column: str) -> DataFrame:
-    """Non-NULL values that occur more than once."""
-    return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count("*").alias("occurrences"))
-        .where(F.col("occurrences") > 1)
-    )
+
+def unique_offenders(df: DataFrame, column: str, fingerprint: Callable[[str], Column] = F.xxhash64) -> DataFrame:
+    """Non-NULL values that occur more than once.
+
+    Texts are counted by a 64-bit fingerprint first, which is what is shuffled; only rows whose fingerprint was seen
+    twice are read again and compared as they are, so that two texts of one fingerprint are told apart.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(column)
+    if df.schema[column].dataType == T.StringType():
+        mark = fingerprint(column).alias("fingerprint")
+        twice = rows.groupBy(mark).agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+        # Written, so that its true size decides how rows are joined to it: mostly it is empty.
+        rows = rows.withColumn("fingerprint", mark).join(staged(twice, "twice"), "fingerprint", "left_semi").select(column)
+    return rows.groupBy(column).agg(F.count("*").alias("occurrences")).where(F.col("occurrences") > 1)
 
 
 def null_offenders(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from velomart.plans import altstar, calendar, staging, star
-from velomart.sinks.tables import ensure_database, point_table, publish, read_published, staged, write_days, write_partitioned
+from velomart.sinks.tables import ensure_database, point_table, publish, read_published, staged, write_curve, write_days, write_partitioned
 
 # Partition column and clustering of the partitioned tables.
 PARTITIONED = {
@@ -53,6 +53,10 @@ class Warehouse:
             return self._publish(name, df, lambda folder: write_partitioned(df, folder, *PARTITIONED[name]))
         return self._publish(name, df, lambda folder: df.write.parquet(folder))
 
+    def save_curve(self, name: str, df: DataFrame) -> DataFrame:
+        """Save a partitioned table clustered by all of its columns alike; ``df`` is read several times, a written table best."""
+        return self._publish(name, df, lambda folder: write_curve(df, folder, *PARTITIONED[name]))
+
     def save_usage(self, hires: DataFrame, bikes: DataFrame, dates: DataFrame) -> DataFrame:
         """Build and save the daily usage; its rows are brought together by month before they are days."""
         name = "fact_bike_daily_usage"

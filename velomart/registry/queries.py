@@ -201,6 +201,12 @@ def _rebuild_report(m: Models) -> DataFrame:
     return m.spark.createDataFrame(rows, "table_name string, row_count long")
 
 
+def _station_arrivals(m: Models) -> DataFrame:
+    """Arrivals at one station, from the hires clustered by bike, start and end alike."""
+    built = warehouse.Warehouse(m.spark, work_folder(m.spark))
+    return stations.station_arrivals(built.save_curve("fact_hire", staged(m.fact_hire, "fact_hire")), 7)
+
+
 def _weekend_rides(m: Models) -> DataFrame:
     """Rides of the weekends of the first quarter, from the hires partitioned by day."""
     built = warehouse.Warehouse(m.spark, work_folder(m.spark))
@@ -209,12 +215,17 @@ def _weekend_rides(m: Models) -> DataFrame:
 
 
 def _csv_stations(m: Models) -> str:
-    """The raw stations as CSV with one more column; every eleventh id is not a number."""
+    """The raw stations as CSV with one more column; every eleventh id is not a number, and some lines lack fields or have too many."""
     path = work_folder(m.spark)
+    header = ["terminal_name", "kind", "id", "name", "latitude", "longitude"]
     m.raw_stations.selectExpr(
         "terminal_name", "'docked' AS kind", "if(id % 11 = 0, concat('x', id), string(id)) AS id", "name", "latitude", "longitude"
-    ).write.option("header", True).csv(path)
-    return path
+    ).write.option("header", True).csv(f"{path}/whole")
+    line = "if(id % 13 = 0, concat(terminal_name, ',short'), concat(terminal_name, ',long,', id, ',', name, ',51.5,-0.1,more'))"
+    # One column whose name is the header line; nothing is quoted, as no value holds the separator.
+    lines = m.raw_stations.where("id % 13 = 0 OR id % 17 = 0").selectExpr(f"{line} AS `{','.join(header)}`")
+    lines.write.options(header=True, sep="\u0001").csv(f"{path}/broken")
+    return f"{path}/*"
 
 
 def _csv_kinds(m: Models) -> DataFrame:
@@ -319,6 +330,7 @@ SHORT: dict[str, Callable[[Models], DataFrame]] = {
     "rides_by_hour": lambda m: demand.rides_by_hour(m.fact_hire),
     "rides_by_hour_ts": lambda m: demand.rides_by_hour_ts(m.fact_hire),
     "weekend_rides": _weekend_rides,
+    "station_arrivals": _station_arrivals,
     "peak_offpeak": lambda m: demand.peak_offpeak(m.fact_hire),
     "minute_profile": lambda m: demand.minute_profile(m.fact_hire),
     "minute_profile_labelled": lambda m: demand.minute_profile_labelled(demand.minute_profile(m.fact_hire)),

@@ -127,26 +127,44 @@ def scan_parquet(spark: SparkSession, pattern: str, options: Mapping[str, str] |
     return df.withColumns({name: c.utc_ntz(name) for name in zoned}) if zoned else df
 
 
+LINE = "_line"
+
+
+def _csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a CSV with a header as text, and in ``_line`` the whole of lines with too few or too many fields."""
+    names = spark.read.option("header", True).csv(path).columns  # reads the header line only
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, LINE]])
+    # Without pruning, as otherwise only the fields asked for are counted.
+    options = {"header": True, "columnNameOfCorruptRecord": LINE, "columnPruning": False}
+    return spark.read.schema(schema).options(**options).csv(path)
+
+
 def scan_stations_csv(spark: SparkSession, path: str) -> DataFrame:
     """Stations from CSV with a header: the known columns typed and first, further ones kept as text.
 
-    A value that cannot be read as its type becomes NULL here; ``unreadable_stations`` reports those rows.
+    A value that cannot be read as its type becomes NULL here, as does a field that a line lacks; ``unreadable_stations``
+    reports both.
     """
-    header = spark.read.option("header", True).csv(path)  # reads the header line only
+    lines = _csv_lines(spark, path)
     known = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in STATIONS_SCHEMA]
-    return header.select(*known, *[F.col(f"`{name}`") for name in header.columns if name not in STATIONS_SCHEMA.names])
+    further = [F.col(f"`{name}`") for name in lines.columns if name not in (*STATIONS_SCHEMA.names, LINE)]
+    return lines.select(*known, *further)
 
 
 def unreadable_stations(spark: SparkSession, path: str) -> DataFrame:
-    """(column_name, value, rows): texts in the stations CSV that are not of their column's type."""
-    header = spark.read.option("header", True).csv(path)
+    """(column_name, value, rows): texts in the stations CSV that are not of their column's type.
+
+    Lines with too few or too many fields are reported whole, under the column name ``_line``.
+    """
     wrong = [
         F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.col(f.name)).alias(f.name)
         for f in STATIONS_SCHEMA
     ]
+    names = [*STATIONS_SCHEMA.names, LINE]
     return (
-        header.select(*wrong)
-        .unpivot([], STATIONS_SCHEMA.names, "column_name", "value")
+        _csv_lines(spark, path)
+        .select(*wrong, LINE)
+        .unpivot([], names, "column_name", "value")
         .where("value IS NOT NULL")
         .groupBy("column_name", "value")
         .agg(F.count("*").alias("rows"))
