@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from velomart.llm import binary
 from velomart.llm.common import read_blobs
 from velomart.llm.registry import VOCABULARIES
+from velomart.llm.tokens import UnitEncoder
 
 BYTES = f"{VOCABULARIES}/byte_bpe_50k.json"
 
@@ -45,3 +49,16 @@ def test_file_without_dictionary_and_wide_ids():
     file = binary.TokenFile(binary.file_bytes(rows, b"", 4, 0, 0) + b"\0", b"")
     assert [file.ids(k).tolist() for k in range(2)] == [[70_000, 1], [2]]
     assert file.index["has_id"].tolist() == [1, 0]
+    with pytest.raises(ValueError, match="70000"):
+        binary.file_bytes(rows, b"", 2, 0, 0)
+
+
+def test_ids_of_texts_with_any_white_space():
+    """100,000 odd texts, given as the tokenizers library gives them."""
+    own, encoder, rng = Tokenizer.from_file(BYTES), UnitEncoder(BYTES, True, 2), random.Random(9)
+    parts = ["a", "word", "Wörter,", "end.", "x1", "—", " ", " ", "\n", "\n", "\u00a0", "\u2028", "\u3000", "\t", "\r\n", "\x0b", "\x1f", "\x85", "\u200b", "\ufeff"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(100_000)]
+    texts += ["a \u00a0 \u00a0 b", "word\n\u00a0\nword"]
+    expected = [x.ids + [2] for x in own.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == expected
+    assert encoder.width == 2

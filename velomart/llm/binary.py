@@ -58,7 +58,10 @@ def _digest(content: bytes) -> bytes:
 
 
 def _serialized(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    own = np.frombuffer(ids, "<u4")
+    if len(own) and int(own.max()) >> (8 * width):
+        raise ValueError(f"id {own.max()} does not fit into {width} bytes")
+    return own.astype(f"<u{width}").tobytes()
 
 
 def file_bytes(rows: list[tuple], dictionary: bytes, width: int, partition: int, place: int) -> bytes:
@@ -106,17 +109,20 @@ class TokenFiles:
     dictionary: bytes
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2) -> TokenFiles:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, width: int | None = None) -> TokenFiles:
     """Write (doc_id, text) as token files in ascending doc_id order, a null id first; null text: the end id alone.
 
-    ``width`` 2 suits vocabularies under 65,536, 4 any. One shuffle, of the texts, by range of
+    ``width``: bytes of an id, 2 or 4, by default as few as the vocabulary needs; an id beyond it is an error. One shuffle, of the texts, by range of
     doc_id; further columns are left out, rows with one doc_id are kept as documents of their own.
     """
     spark = docs.sparkSession
     path = f"{work_folder(spark)}/tokens"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = bounded_sample(docs, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    # Of long texts a stretch at a hashed place.
+    start = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS + 1)).cast("int")
+    sample = bounded_sample(docs, "doc_id", SAMPLE_DOCS).select(F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text")).collect()
     encoder = UnitEncoder(tokenizer, True, end_id)
+    width = width or encoder.width
     dictionary = train_dictionary([_serialized(x, width) for x in encoder.encode([r.text for r in sample])])
     write_blobs(spark.createDataFrame([(bytearray(dictionary),)], "blob binary").coalesce(1), f"{path}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)

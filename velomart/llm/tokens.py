@@ -18,6 +18,8 @@ from velomart.llm.words import GOLDEN, HashIndex, RunHasher, by_size, mixed, of_
 
 #: A line with a Latin word, and a full stop or comma after it: both pre-tokenizers split it in the same way.
 LATIN = "^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)$"
+#: White space of any script but the plain space and line break.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 #: How a unit follows what is before it: at the start of a text, after a line break, after a space.
 FIRST, AFTER_BREAK, AFTER_SPACE = 0, 1, 2
 
@@ -35,7 +37,7 @@ class UnitEncoder:
     Without ``leading_space`` the tokenizer drops white space and lower-cases letters. With it, it is
     byte-level: a line break is a token of its own, the space before a unit belongs to the unit,
     and the first unit of a line is another word than the same unit after a space. A text with white
-    space in a row, or at its ends, then goes to the tokenizer whole. A null text counts as empty.
+    space in a row, at its ends or of another kind then goes to the tokenizer whole. A null text counts as empty.
     """
 
     def __init__(self, path: str, leading_space: bool, end_id: int):
@@ -48,6 +50,8 @@ class UnitEncoder:
         self.letters = _byte_letters()
         self.leading_space = leading_space
         self.end = end_id
+        most = max(end_id, max(self.tokenizer.get_vocab().values(), default=0))
+        self.width = 2 if most < 1 << 16 else 4  # bytes that hold every id
         self.hasher = RunHasher(b" \n", b".,")
         self.stops = dict(zip(".,\n", self._direct([".", ",", "\n"]), strict=True))
         self._forget()
@@ -155,5 +159,7 @@ class UnitEncoder:
 
     @staticmethod
     def _plain(texts: list[str], runs) -> list[bool]:
-        """Whether a text has single spaces and line breaks only, and none at its ends."""
-        return [n == t.count(" ") + t.count("\n") + 1 or not t for t, n in zip(texts, runs.sizes.tolist(), strict=True)]
+        """Whether a text has single spaces and line breaks only, none at its ends, and no other white space, which
+        the tokenizer would take together with those beside it."""
+        single = (n == t.count(" ") + t.count("\n") + 1 for t, n in zip(texts, runs.sizes.tolist(), strict=True))
+        return [not t or (one and not OTHER_SPACE.search(t)) for t, one in zip(texts, single, strict=True)]
