@@ -109,3 +109,17 @@ def test_captions_and_table_footers_are_article_text(labeller):
     assert [h.marked(b) for b in blocks] == [False, *[True] * 7, False]
     assert kept(labeller, content) == [b.text for b in blocks[1:-1]]
     assert not h.marked(h.Block(("article", "div", ".footer"), "x")) and not h.marked(h.Block(("article", "footer"), "x"))
+
+
+def test_a_form_around_the_whole_page(labeller):
+    wrapped = page(98).replace("<body>", '<body><form id="aspnet" method="post">').replace("</body>", "</form></body>")
+    assert [w.split()[1] for w in kept(labeller, wrapped)] == ["title", "first", "second", "third"]
+
+
+def test_training_reads_whole_pages(spark):
+    """Of a page beyond ``SAMPLE_BLOCKS`` some stretch is learnt, not its beginning."""
+    long = "<nav>menu</nav><article>" + "".join(f"<p>word {k} of it.</p>" for k in range(500)) + "</article><footer>end</footer>"
+    starts = {int(h.stretch(h.Cutter(), long + " " * k)[0][0].text.split()[1]) for k in range(8) if h.stretch(h.Cutter(), long + " " * k)[0][1]}
+    assert len(starts) > 4 and max(starts) > 60
+    pages = spark.createDataFrame([(k, "u", long + f"<p>{k}</p>") for k in range(30)], "page_id long, url string, html string")
+    assert h.extract(pages, h.train(pages)).first().text.count("\n") > 400

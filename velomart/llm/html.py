@@ -13,6 +13,7 @@ the telling elements replaced by plain ones with telling or no class names.
 from __future__ import annotations
 
 import html as entities
+import json
 import random
 import re
 import zlib
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velomart.llm.common import bounded_sample
+from velomart.llm.common import bounded_sample, slices
+from velomart.llm.words import by_size
 
 # HTML's block-level elements, those without content, and those whose content is not markup.
 BLOCK = frozenset(
@@ -147,9 +149,14 @@ MAIN_WORDS = ("article", "content", "main", "post", "entry", "story", "body")
 
 
 def marked(block: Block) -> bool:
-    """Whether the markup itself says that a block is main text."""
-    inside = any(w in MAIN_TAGS or w == ".article" for w in block.path)
-    return inside and not any(w[1:] in NOISE_WORDS if w[0] == "." else w in NOISE_TAGS for w in block.path)
+    """Whether the markup itself says that a block is main text.
+
+    A form inside the main element is noise; one around it is how some sites wrap whole pages.
+    """
+    inside = [k for k, w in enumerate(block.path) if w in MAIN_TAGS or w == ".article"]
+    return bool(inside) and not any(
+        w[1:] in NOISE_WORDS if w[0] == "." else w in NOISE_TAGS and (w != "form" or k > inside[0]) for k, w in enumerate(block.path)
+    )
 
 
 def varied(blocks: list[tuple[Block, bool]], texts: list[str], rng: random.Random) -> list[tuple[Block, bool]]:
@@ -183,6 +190,11 @@ def varied(blocks: list[tuple[Block, bool]], texts: list[str], rng: random.Rando
                 left -= 1
                 text = b.text if rng.random() < 0.5 else " ".join(b.text.split()[: rng.randint(1, 8)])
                 out[k] = (Block((*b.path[:-1], *inside), text, b.link_chars), y)
+    if rng.random() < 0.1:  # nothing but the article, as in print views
+        out = [(b, y) for b, y in out if y] or out
+    if rng.random() < 0.3:  # one form around the whole page
+        wrap = lambda path: (*path[:2], "form", *path[2:]) if path[:2] == ("html", "body") else ("form", *path)
+        out = [(Block(wrap(b.path), b.text, b.link_chars), y) for b, y in out]
     return out
 
 
@@ -345,26 +357,49 @@ class Labeller:
         return grads
 
 
-#: Pages that the labeller learns from at most, characters of each, and blocks of each.
-SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_BLOCKS = 240, 40_000, 48
+#: Pages that the labeller learns from at most, and blocks in a row of each.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 240, 48
+#: Characters of html that are worked on at a time; a single page may have more.
+CHARS = 2_000_000
 
 
 def train(pages: DataFrame, seed: int = 0) -> Labeller:
-    """Learn from a bounded sample of about ``SAMPLE_PAGES`` pages, chosen by a hash of their ids."""
-    rows = bounded_sample(pages.where("html IS NOT NULL"), "page_id", SAMPLE_PAGES).select(F.substring("html", 1, SAMPLE_CHARS).alias("html"))
-    rows = rows.orderBy("html").limit(SAMPLE_PAGES).collect()
-    return fitted([r.html for r in rows], seed)
+    """Learn from a bounded sample of about ``SAMPLE_PAGES`` pages, chosen by a hash of their ids.
+
+    Pages are cut into blocks in tasks; of a page of more than ``SAMPLE_BLOCKS`` a stretch at a hashed place is learnt.
+    """
+    rows = bounded_sample(pages.where("html IS NOT NULL").select("page_id", "html"), "page_id", SAMPLE_PAGES)
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter()
+        for batch in batches:
+            found = [[(b.path, b.text, b.link_chars, y) for b, y in stretch(cutter, page)] for page in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(x) for x in found], pa.string())], ["blocks"])
+
+    found = rows.select("html").mapInArrow(stretches, "blocks string").orderBy("blocks").limit(SAMPLE_PAGES).collect()
+    return learnt_from([[(Block(tuple(path), text, link), y) for path, text, link, y in json.loads(r.blocks)] for r in found], seed)
+
+
+def stretch(cutter: Cutter, page: str) -> list[tuple]:
+    """Blocks of a page in a row, each with whether its markup says that it is main text."""
+    whole = [(b, marked(b)) for b in cutter.blocks(page)]
+    start = zlib.crc32(page.encode()) % max(1, len(whole) - SAMPLE_BLOCKS + 1)
+    return whole[start : start + SAMPLE_BLOCKS]
 
 
 def fitted(sample: list[str], seed: int = 0) -> Labeller:
     """A labeller from pages with telling markup; without any, from the built-in outline alone."""
-    cutter, features, rng = Cutter(), Features(), random.Random(seed)
-    whole = [[(b, marked(b)) for b in cutter.blocks(page)][:SAMPLE_BLOCKS] for page in sample]
-    whole = [w for w in whole if any(y for _, y in w)] or [[(b, marked(b)) for b in cutter.blocks(OUTLINE)]]
+    cutter = Cutter()
+    return learnt_from([stretch(cutter, page) for page in sample], seed)
+
+
+def learnt_from(sample: list[list[tuple]], seed: int = 0) -> Labeller:
+    features, rng = Features(), random.Random(seed)
+    whole = [w for w in sample if any(y for _, y in w)] or [stretch(Cutter(), OUTLINE)]
     texts = [b.text for w in whole for b, _ in w]
     copies = max(120, 2 * len(whole))
     learnt = [*whole, *(varied(whole[k % len(whole)], texts, rng) for k in range(copies))]
-    learnt = [w[: 2 * SAMPLE_BLOCKS] for w in learnt if w]
+    learnt = [w[(at := rng.randrange(max(1, len(w) - 2 * SAMPLE_BLOCKS + 1))) : at + 2 * SAMPLE_BLOCKS] for w in learnt if w]
     return Labeller.fresh(seed).fit(
         [features.rows([b for b, _ in w]) for w in learnt], [np.array([y for _, y in w], np.float32) for w in learnt], seed=seed
     )
@@ -383,9 +418,9 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, features, model = Cutter(), Features(), Labeller(weights.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+        for whole in slices(batches, 256):
+            for part in by_size(whole.column("html").to_pylist(), CHARS):
+                batch = whole.slice(part.start, part.stop - part.start)
                 cut = [cutter.blocks(page or "") for page in batch.column("html").to_pylist()]
                 full = [k for k, blocks in enumerate(cut) if blocks]
                 rows = features.rows([b for blocks in cut for b in blocks]) if full else np.zeros((0, 1))
