@@ -8,6 +8,7 @@ weighted by the lines' lengths, is the document's score.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -201,7 +202,8 @@ class Chain:
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
     """Learn from a bounded sample of about ``SAMPLE_DOCS`` labelled documents, chosen by a hash of doc_id.
 
-    Only rows that are not held out are read. Without labelled documents of both kinds the chain is
+    Only rows that are not held out are read; of a document of more than ``SAMPLE_LINES`` lines a stretch of
+    so many at a hashed place is learnt, of rows that share a doc_id the smallest text. Without labelled documents of both kinds the chain is
     indifferent. Of a document with several labels the smallest counts.
     """
     known = (
@@ -215,9 +217,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
         for batch in slices(batches):
             for text, quality in zip(batch.column("text").to_pylist(), batch.column("_quality").to_pylist(), strict=True):
                 rows, _, _ = of_worker("lines", LineFeatures).of([text])
-                yield pa.RecordBatch.from_arrays([pa.array([rows[:SAMPLE_LINES].tobytes()], pa.binary()), pa.array([quality], pa.int32())], ["rows", "quality"])
+                start = zlib.crc32(rows.tobytes()) % max(1, len(rows) - SAMPLE_LINES + 1)
+                rows = rows[start : start + SAMPLE_LINES]
+                yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary()), pa.array([quality], pa.int32())], ["rows", "quality"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("_quality").cast("int").alias("_quality"))
+    # One text for each sampled label, so that what is collected is bounded whatever repeats.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_quality").cast("int").alias("_quality"))
     found = chosen.mapInArrow(lines, "rows binary, quality int").collect()
     found = sorted(((bytes(r["rows"]), r["quality"]) for r in found if r["rows"]))
     if len({q for _, q in found}) < 2:
