@@ -7,6 +7,7 @@ Each stage reads what its predecessor wrote and works on all of it; all but the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from velomart.llm import decontaminate, line_quality, near_duplicates, packing, quality
 from velomart.llm.common import stage, table
@@ -14,28 +15,32 @@ from velomart.llm.registry import VOCABULARIES
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line chain predicts to be good."""
+    """Documents that the line chain predicts to be good; null and empty texts are not.
+
+    Rows go through whole, columns called ``score`` or ``predicted`` too; rows that repeat are judged each.
+    """
     chain = line_quality.train(docs, table(spark, sf_dir, "labels"))
-    return line_quality.scored(docs, chain).where("predicted = 1").select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return line_quality.scored(rows, chain).where("predicted = 1").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule."""
-    return quality.judged(docs).where("kept").select(docs.columns)
+    """Documents that pass every rule; null and empty texts fail. Rows go through whole, whatever their columns are called."""
+    return quality.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, null and empty texts being one class; of rows that repeat one stays."""
     return near_duplicates.deduplicated(docs).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark; null and empty texts have no words and stay."""
     return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document with their places in the packed sequences."""
+    """The pieces of every document with their places in the packed sequences; a null or empty text is its end id alone."""
     return packing.pack(docs, f"{VOCABULARIES}/word_bpe_49k.json", end_id=0).places
 
 

@@ -8,12 +8,13 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import corpus_pipeline  # noqa: E402
 import __spark_entry__ as contract  # noqa: E402
-from velomart.llm import registry  # noqa: E402
+from velomart.llm import quality, registry  # noqa: E402
 from velomart.llm.common import stage  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -41,8 +42,36 @@ def test_run_and_no_documents(spark):
         assert docs.count() == 0
 
 
+def test_stages_with_odd_rows_and_clashing_names(spark):
+    """Null and empty texts, repeated rows, and columns that stages use names of: kept rows come back as they were."""
+    names = ["score", "predicted", "kept", "n_words", "measures", "row", "failed_rules", "text_key", "class_id", "bands", "key"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.limit(20)).unionByName(docs.limit(5).withColumn("text", F.lit("")))
+    docs = docs.unionByName(docs.limit(5).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = stage(docs.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names]), "odd")
+    own = Counter(map(tuple, docs.collect()))
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        after = stage(apply(spark, docs, SF), name)
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes
+        rows = Counter(map(tuple, after.collect()))
+        assert rows and all(n <= own[r] for r, n in rows.items())
+        if name != "near_dedup":  # equal rows are judged alike
+            before = Counter(map(tuple, docs.collect()))
+            assert all(n == before[r] for r, n in rows.items())
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_passing_is_judged_and_splits_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("measures", F.lit(1))
+    found = quality.passing(docs)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, quality.judged(docs).where("kept").select(docs.columns).collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2 and plan.count("xxhash64") <= 2
+
+
 def test_registered():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(any(q.startswith(n) for q in registry.all_queries()) for n in names)
     assert {"pipeline", *registry.all_queries()} <= set(contract.queries())
     assert set(registry.all_sql()) <= set(registry.all_queries())
