@@ -7,19 +7,30 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from velomart.llm import sharding
+from velomart.llm.common import stage
+
+
+def md5(*parts):
+    return hashlib.md5("|".join([str(sharding.SEED), *parts]).encode()).hexdigest()[:16]
 
 
 def plain(rows, shards):
     ranked, out = [], []
     by_source = {}
     for doc_id, text, source in rows:
-        key = hashlib.md5("|".join([str(sharding.SEED), *([] if doc_id is None else [str(doc_id)])]).encode()).hexdigest()[:16]
+        crc = zlib.crc32((text or "").encode())
+        key = md5(*([] if doc_id is None else [str(doc_id)]), str(crc))
         by_source.setdefault(source, []).append((key, doc_id, text or ""))
+    by_size = {}
+    for source, own in by_source.items():
+        by_size.setdefault(len(own), []).append((md5("" if source is None else "=" + source), source is not None, source or "", source))
+    u = {x[3]: (2 * k + 1) / (2 * len(own)) for own in by_size.values() for k, x in enumerate(sorted(own, key=lambda x: x[:3]))}
     for source, own in by_source.items():
         for k, (_, doc_id, text) in enumerate(sorted(own, key=lambda x: (x[0], x[1] is not None, x[1] or 0, zlib.crc32(x[2].encode())))):
-            ranked.append(((2 * k + 1) / (2 * len(own)), source is not None, source or "", k, doc_id, text))
+            ranked.append(((k + u[source]) / len(own), source is not None, source or "", k, doc_id, text))
     for position, (*_, doc_id, text) in enumerate(sorted(ranked)):
         shard = position * shards // len(rows)
         out.append((doc_id, len(text.encode()) + 16, zlib.crc32(text.encode()), shard, position - (shard * len(rows) + shards - 1) // shards))
@@ -47,3 +58,20 @@ def test_fewer_rows_than_shards_and_none(spark):
     got = sharding.assign(docs, shards=40).collect()
     assert sorted((r.shard, r.slot) for r in got) == [(0, 0), (20, 0)]
     assert sharding.assign(docs.where("false")).count() == 0
+
+
+def test_many_sources_of_one_row_keep_the_mixture(spark):
+    """A third of the rows in sources of their own: every shard has its share of them and of the large sources, and so has every window."""
+    docs = spark.range(60_000).selectExpr(
+        "if(id % 50 = 0, NULL, id) AS doc_id", "concat('t', id) AS text", "CASE id % 3 WHEN 0 THEN concat('host', id) WHEN 1 THEN 'a' ELSE concat('b', id % 2) END AS source"
+    )
+    got = sharding.assign(docs).selectExpr("shard", "if(source LIKE 'host%', 'one', source) AS kind")
+    for kind, total in (("one", 20_000), ("a", 20_000), ("b0", 10_000), ("b1", 10_000)):
+        counts = [r["n"] for r in got.where(f"kind = '{kind}'").groupBy("shard").agg(F.count("*").alias("n")).collect()]
+        assert len(counts) == 40 and all(abs(n - total / 40) <= 2 for n in counts)
+    rows = stage(sharding.described(docs), "described")
+    steps = sharding.offsets(rows, sharding.SEED)
+    placed = sharding.ranked(rows, 60_000, "source", ["doc_id"]).join(steps, F.col("source").eqNullSafe(F.col("u_source")))
+    cells = placed.groupBy(F.floor((F.col("place") - 1 + F.col("u")) / F.col("of") * 12)).count().collect()
+    assert len(cells) == 12 and max(r["count"] for r in cells) <= 2 * sharding.GROUP_ROWS
+    assert rows.groupBy("shuffled").count().agg(F.max("count")).first()[0] == 1  # rows without a doc_id are apart

@@ -1,11 +1,14 @@
 """Proportional stratified interleaving: rows into equal shards that each hold the whole mixture.
 
-Rows are shuffled by a seeded hash and ranked within their source; row r of a source of n stands at
-the fraction (2r - 1) / 2n of the whole. Sorted by that fraction, every stretch holds each source in
-its share, and equal stretches are the shards. Law ``rows``: shard sizes differ by one row at most.
+Rows are shuffled by a seeded hash and ranked within their source; row r (from 1) of a source of n stands at
+the fraction (r - 1 + u) / n of the whole. u spreads the sources of one size evenly, in the order of a seeded
+hash: source s (from 1) of c such sources has u = (2s - 1) / 2c. So a thousand sources of one row stand
+as evenly as a thousand rows of one source. Sorted by the fraction, every stretch holds each source, and the small
+ones together, in their share, and equal stretches are the shards. Law ``rows``: shard sizes differ by one row at most.
 
 Both numberings, within a source and over all rows, are done in groups of about ``GROUP_ROWS`` that are
-cut by value, each starting where those before it end; a source may hold any share of the rows.
+cut by value, each starting where those before it end; a source may hold any share of the rows, and so may
+sources of one row.
 """
 
 from __future__ import annotations
@@ -41,33 +44,46 @@ def described(docs: DataFrame, seed: int = SEED) -> DataFrame:
         "source",
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")), 1, 16).alias("shuffled"),
+        _hashed(seed, F.col("doc_id").cast("string"), F.crc32(text.cast("binary")).cast("string")).alias("shuffled"),
     )
 
 
-def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """Adds ``place`` (from 1, in shuffled order within the source) and ``of`` (rows of the source)."""
+def _hashed(seed: int, *parts: Column) -> Column:
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary")), 1, 16)
+
+
+def ranked(rows: DataFrame, total: int, within: str, ties: list[str]) -> DataFrame:
+    """Adds ``place`` (from 1, by ``shuffled`` among the rows of equal ``within``) and ``of`` (how many these are)."""
     digits = max(0, math.ceil(math.log(max(1, total / GROUP_ROWS), 16)))
     rows = rows.withColumn("bucket", F.substring("shuffled", 1, digits) if digits else F.lit(""))
     groups = (
-        rows.groupBy("source", "bucket")
+        rows.groupBy(within, "bucket")
         .agg(F.count("*").alias("n"))
         .select(
-            F.col("source").alias("of_source"),
+            F.col(within).alias("of_within"),
             F.col("bucket").alias("of_bucket"),
-            _before("n", "bucket", ["source"]).alias("before"),
-            F.sum("n").over(Window.partitionBy("source")).alias("of"),
+            _before("n", "bucket", [within]).alias("before"),
+            F.sum("n").over(Window.partitionBy(within)).alias("of"),
         )
     )
-    within = Window.partitionBy("source", "bucket").orderBy("shuffled", "doc_id", "text_crc32", "size")
+    own = Window.partitionBy(within, "bucket").orderBy("shuffled", *ties)
     return (
-        rows.withColumn("row", F.row_number().over(within))
-        .join(groups, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
+        rows.withColumn("row", F.row_number().over(own))
+        .join(groups, F.col(within).eqNullSafe(F.col("of_within")) & (F.col("bucket") == F.col("of_bucket")))
         .withColumn("place", F.col("before") + F.col("row"))
-        .drop("bucket", "of_source", "of_bucket", "row", "before")
+        .drop("bucket", "of_within", "of_bucket", "row", "before")
     )
 
 
+def offsets(rows: DataFrame, seed: int) -> DataFrame:
+    """(u_source, u): where in the step of its source a row stands; sources of one size share the step evenly."""
+    sources = rows.groupBy("source").agg(F.count("*").alias("size"))
+    # A null source is told apart from one of an empty name.
+    sources = stage(sources.withColumn("shuffled", _hashed(seed, F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))), "sources")
+    places = ranked(sources, sources.count(), "size", ["source"])
+    return places.select(F.col("source").alias("u_source"), ((2 * F.col("place") - 1).cast("double") / (2 * F.col("of")).cast("double")).alias("u"))
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, text_crc32, shard, slot): every document once, slots gapless from 0.
 
@@ -75,13 +91,19 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     of doc_id, source and text are interchangeable. An empty table gives an empty result; further
     columns are left out.
     """
-    total = docs.count()
-    # Read twice below: its cells are counted, then its rows numbered.
-    placed = stage(ranked(described(docs, seed), total), "ranked")
-    cells = max(1, math.ceil(total / GROUP_ROWS))
-    placed = placed.withColumn("cell", F.expr(f"((2 * place - 1) * {cells}L) div (2 * of)")).withColumn(
-        "fraction", (2 * F.col("place") - 1).cast("double") / (2 * F.col("of")).cast("double")
+    # Read several times below: its sources and cells are counted, its rows numbered.
+    rows = stage(described(docs, seed), "described")
+    total = rows.count()
+    numbered = ranked(rows, total, "source", ["doc_id", "text_crc32", "size"])
+    steps = stage(offsets(rows, seed), "offsets")
+    placed = stage(
+        numbered.join(steps, F.col("source").eqNullSafe(F.col("u_source")))
+        .withColumn("fraction", (F.col("place") - 1 + F.col("u")) / F.col("of").cast("double"))
+        .drop("u_source", "u"),
+        "ranked",
     )
+    cells = max(1, math.ceil(total / GROUP_ROWS))
+    placed = placed.withColumn("cell", F.floor(F.col("fraction") * cells))
     per_cell = placed.groupBy("cell").agg(F.count("*").alias("n"))
     # One row per cell, of some thousand rows each.
     starts = per_cell.withColumn("block", F.expr("cell div 4096")).withColumn("in_block", _before("n", "cell", ["block"]))
