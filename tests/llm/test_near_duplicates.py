@@ -122,3 +122,60 @@ def test_links_whatever_the_texts_repeat(spark):
     assert sum(linked) > 90
     got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[2 * k + 1] == 2 * k for k in range(100)] == linked
+
+
+def crowd(seed, size, words=150):
+    """Copies of one text with so many edits that they lie on both sides of 0.8 of one another, and copies of those."""
+    rng = random.Random(seed)
+    base, texts = [f"b{k}" for k in range(words)], []
+    while len(texts) < size:
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(words)] = f"e{rng.randint(0, 10**6)}"
+        texts.append(" ".join(copy))
+        if rng.random() < 0.1:
+            copy[rng.randrange(words)] = "again"
+            texts.append(" ".join(copy))
+    return list(enumerate(texts))
+
+
+def test_a_crowd_about_the_threshold(spark, monkeypatch):
+    """No link is lost, and few of all pairs are compared: texts that no other can be linked to meet the first and the middle one alone."""
+    seen, compare = [], nd.compared
+    monkeypatch.setattr(nd, "compared", lambda pairs, sets: seen.append(pairs.count()) or compare(pairs, sets))
+    rows = crowd(11, 700)
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = plain(rows)
+    assert [got[k] for k, _ in rows] == expected
+    assert len(set(expected)) > 50 and max(Counter(expected).values()) > 250
+    assert sum(seen[1:]) < 0.08 * len(rows) ** 2 / 2
+
+
+def test_bound_is_never_below_what_two_texts_share(spark):
+    rows = crowd(12, 60) + [(100 + k, t) for k, t in crowd(13, 30, 40)]
+    docs = nd.with_key(spark.createDataFrame(rows, "doc_id long, text string")).dropDuplicates(["text_key"])
+    sets = nd.shingle_sets(docs)
+    groups = docs.selectExpr("1L AS ref", "text_key")
+    found = {r.text_key: r for r in nd.distances(groups, sets).collect()}
+    own = {r.text_key: set(r.set) for r in sets.collect()}
+    counts = Counter(x for s in own.values() for x in s)
+    major = {x for x, n in counts.items() if 2 * n > len(own)}
+    for a, s in own.items():
+        assert found[a].apart == len(s ^ major)
+        for b, t in own.items():
+            if a != b:
+                assert len(s ^ t) >= found[a].apart + found[b].apart - 2 * min(found[a].shared, found[b].shared)
+
+
+def test_every_link_of_the_given_documents(spark):
+    """Link recall by all pairs that share a shingle: 1.0 over sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    sets, holders = [shingle_set(t) for _, t in rows], {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    both = Counter((a, b) for own in holders.values() for i, a in enumerate(own) for b in own[i + 1 :])
+    links = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    assert len(links) > 50 and all(got[rows[a][0]] == got[rows[b][0]] for a, b in links)

@@ -8,8 +8,10 @@ judged, however often either text repeats a passage. Registers in bands give buc
 candidates; a candidate pair is a link if the Jaccard similarity of its shingle sets is ``THRESHOLD`` or more.
 
 Documents of equal text are one class from the start. Classes of linked texts are found bucket by
-bucket without all pairs of a bucket: everything is compared with the bucket's first text; then, round by
-round, only texts whose class still differs from others of their bucket are compared with those, in blocks.
+bucket without all pairs of a bucket: everything is compared with the bucket's first text, and where that leaves several classes
+with the text in the middle; then, round by round, only texts whose class still differs from others of their bucket are compared with those, in blocks, and only
+where a link is possible. That is decided by what sets a text apart from the majority of its bucket, see ``distances``; the
+bound is exact, so no link between texts that share a bucket is passed over.
 """
 
 from __future__ import annotations
@@ -30,9 +32,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Texts of a bucket that one round holds against the rest of it: so many comparisons at most, but 8 texts at least.
 ROUND_COMPARISONS = 1_000_000
-#: Registers in which the sketches of two such texts agree at least, or their sets are not compared.
-AGREEING = 183
-PACKED = 37
 ID_BITS = np.uint64((1 << 24) - 1)
 NEVER = np.uint64(0x7FF0000000000000)  # infinity as a 64-bit float
 STREAM = np.uint64(0x9E3779B97F4A7C15)
@@ -92,33 +91,6 @@ def bands(found: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
-def packed(registers: np.ndarray) -> np.ndarray:
-    """Seven bits of each register, a byte each, seven bytes to a number."""
-    low = (registers & np.uint64(127)).astype(np.uint8).reshape(len(registers), PACKED, 7)
-    return np.concatenate([low, np.zeros((len(registers), PACKED, 1), np.uint8)], axis=2).view(np.int64)[:, :, 0]
-
-
-def fine_sketches(sets: DataFrame) -> DataFrame:
-    """(text_key, sketch): ``7 * PACKED`` registers of each text's set, every shingle with one weight, as ``packed``."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
-            own = batch.column("set")
-            sizes = np.diff(own.offsets.to_numpy())
-            value = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            found = packed(sketches(owner, value, np.ones(len(value)), len(sizes), 7 * PACKED))
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(list(found), pa.list_(pa.int64()))], ["text_key", "sketch"])
-
-    return sets.mapInArrow(rows, "text_key long, sketch array<long>")
-
-
-def _differing() -> str:
-    """How many registers of ``sketch`` and ``a_sketch`` differ: adding 127 sets the eighth bit of bytes that are not 0."""
-    ones, high = int.from_bytes(b"\x7f" * 7), int.from_bytes(b"\x80" * 7)
-    return " + ".join(f"bit_count(((get(sketch, {k}) ^ get(a_sketch, {k})) + {ones}L) & {high}L)" for k in range(PACKED))
-
-
 def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, shingles, bands): one row per document; null text counts as empty, and has no bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -179,6 +151,36 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def distances(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(ref, text_key, apart, shared): for the texts of each group, given as (ref, text_key), what sets them apart.
+
+    Let M be the shingles that more than half of a group's texts have, and D the difference between a text's
+    set and M. ``apart`` is the size of D, ``shared`` how many shingles of D another text's difference may have too: those
+    that M has, and those that at least one more text has. Two sets A and B differ in apart(A) + apart(B) - 2 |D(A) and D(B)|
+    shingles, and the last is at most the smaller ``shared``. In a group of near copies most of what sets a copy apart is its own.
+    """
+    has = groups.join(sets, "text_key").select("ref", "text_key", F.explode("set").alias("shingle"))
+    sizes = groups.groupBy("ref").agg(F.count("*").alias("texts"))
+    common = (
+        has.groupBy("ref", "shingle")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .join(sizes, "ref")
+        .select("ref", "shingle", F.expr("int(2 * n > texts)").alias("major"))
+    )
+    common = stage(common, "common")
+    majors = common.groupBy("ref").agg(F.sum("major").alias("majors"))
+    held = has.join(common, ["ref", "shingle"]).groupBy("ref", "text_key").agg(F.count("*").alias("common"), F.sum("major").alias("major"))
+    whole = sets.select("text_key", F.size("set").alias("size"))
+    found = groups.join(whole, "text_key").join(majors, "ref", "left").join(held, ["ref", "text_key"], "left").fillna(0)
+    return found.select(
+        "ref",
+        "text_key",
+        F.expr("size + majors - 2 * major").alias("apart"),
+        F.expr("common + majors - 2 * major").alias("shared"),
+    )
+
+
 def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(text_key, class) after ``links`` between texts: the smallest label of what hangs together.
 
@@ -225,37 +227,52 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         ),
         "sets",
     )
-    # Every text of a bucket with its first text; the distance is kept for the rounds below.
+    # Every text of a bucket with its first text.
     pairs = members.where("text_key <> a").select("a", F.col("text_key").alias("b")).distinct()
     first = stage(compared(pairs, sets), "first")
     labels = joined_classes(stage(labels, "labels"), first.where(F.col("similarity") >= threshold).select("a", "b"))
-    left = members.where("text_key <> a").join(first.withColumnRenamed("b", "text_key"), ["a", "text_key"]).drop("a")
-    # Links need sets of like size, and, as 1 - similarity is a metric, like distances from the first text. Sketches
-    # that agree in fewer than ``AGREEING`` of 259 registers are passed over: one link in 10,000 at 0.8 exactly does.
+    left = members.where("text_key <> a").withColumnRenamed("a", "ref")
+    bucket = ["band", "bucket"]
+    # Sets of m and n shingles are a link if they differ in (m + n) * most or fewer.
+    most = (1 - threshold) / (1 + threshold) + 1e-9
     near = (
         f"least(shingles, a_shingles) >= {threshold} * greatest(shingles, a_shingles)"
-        f" AND abs(similarity - a_similarity) <= {1 - threshold} + 1e-9 AND {_differing()} <= {7 * PACKED - AGREEING}"
+        f" AND apart + a_apart - 2 * least(shared, a_shared) <= (shingles + a_shingles) * {most}D"
     )
-    bucket = ["band", "bucket"]
     while True:
         now = left.join(labels, "text_key")
         split = now.groupBy(*bucket).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(*bucket)
         now = stage(now.join(split, bucket), "left")
         if now.isEmpty():
             break
-        if "sketch" not in now.columns:
-            known = fine_sketches(sets.join(now.select("text_key").distinct(), "text_key", "left_semi"))
-            now = stage(now.join(known, "text_key"), "sketched")
+        if "apart" not in now.columns:
+            known = stage(distances(now.select("ref", "text_key").distinct(), sets), "distances")
+            # The text nearest to the majority is the best one to be compared with, one pair per text.
+            centre = known.groupBy("ref").agg(F.min(F.struct("apart", "text_key")).alias("c")).selectExpr("ref", "c.text_key AS a")
+            pairs = known.join(centre, "ref").where("a <> text_key").select("a", F.col("text_key").alias("b")).distinct()
+            links = compared(pairs, sets).where(F.col("similarity") >= threshold).select("a", "b")
+            labels = joined_classes(labels, links)
+            left = left.join(known, ["ref", "text_key"])
+            continue
         per_class = now.groupBy(*bucket, "class").agg(F.count("*").alias("of_class"))
         main = per_class.groupBy(*bucket).agg(F.max(F.struct("of_class", "class")).alias("main")).select(*bucket, F.col("main.class").alias("main"))
-        apart = now.join(main, bucket).where("class <> main")
+        # What no other text can have in common with a text is too much already, even beside the largest and closest of the bucket.
+        best = now.groupBy(*bucket).agg(F.max("shingles").alias("largest"), F.min(F.col("apart") - F.col("shared")).alias("closest"))
+        apart = (
+            now.join(main, bucket)
+            .where("class <> main")
+            .join(best, bucket)
+            .where(f"apart - shared + closest <= (shingles + largest) * {most}D")
+        )
         # Texts outside their bucket's main class are few, or the bucket is; both are numbered block by block.
         turn = F.row_number().over(Window.partitionBy(*bucket).orderBy("text_key"))
         block = apart.withColumn("turn", turn).where(f"turn <= greatest(8, {ROUND_COMPARISONS} div n)")
         block = stage(
-            block.select(*bucket, *[F.col(c).alias(to) for c, to in (("text_key", "a"), ("class", "a_class"), ("shingles", "a_shingles"), ("similarity", "a_similarity"), ("sketch", "a_sketch"))]),
+            block.select(*bucket, *[F.col(c).alias(to) for c, to in (("text_key", "a"), ("class", "a_class"), ("shingles", "a_shingles"), ("apart", "a_apart"), ("shared", "a_shared"))]),
             "block",
         )
+        if block.isEmpty():
+            break
         pairs = (
             now.join(block, bucket)
             .where(f"class <> a_class AND {near}")
