@@ -74,7 +74,7 @@ def test_a_curve_skips_row_groups_by_every_column(spark, tmp_path):
     df = sinks.staged(
         spark.range(200_000).selectExpr("DATE'2023-01-01' AS d", "hash(id) & 1023 AS a", "if(id % 50 = 0, NULL, hash(id, 1) & 1023) AS b", "hash(id, 2) & 1023 AS c", "id")
     )
-    options = {"parquet.block.size": 65536, "parquet.page.size": 8192, "parquet.block.row.check.min": 100}
+    options = {"parquet.block.size": 16384, "parquet.page.size": 2048, "parquet.block.row.check.min": 100}
     sinks.write_curve(df, str(tmp_path / "curve"), "d", ["a", "b", "c"], **options)
     df.repartitionByRange("d", "a", "b", "c").sortWithinPartitions("a", "b", "c").write.options(**options).partitionBy("d").parquet(str(tmp_path / "line"))
     assert rows(spark.read.parquet(str(tmp_path / "curve")).select(df.columns)) == rows(df)
