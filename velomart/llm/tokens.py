@@ -20,6 +20,8 @@ from velomart.llm.words import GOLDEN, HashIndex, RunHasher, by_size, mixed, of_
 LATIN = "^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)$"
 #: White space of any script but the plain space and line break.
 OTHER_SPACE = re.compile(r"[^\S \n]")
+SUSPECT = np.zeros(256, bool)
+SUSPECT[list({c.encode()[0] for c in map(chr, range(0x3001)) if OTHER_SPACE.match(c)})] = True
 #: How a unit follows what is before it: at the start of a text, after a line break, after a space.
 FIRST, AFTER_BREAK, AFTER_SPACE = 0, 1, 2
 
@@ -127,7 +129,8 @@ class UnitEncoder:
     def _encoded(self, texts: list[str]) -> Iterator[bytes]:
         if self.index.full:
             self._forget()
-        runs = self.hasher.runs([t.encode() for t in texts])
+        encoded = [t.encode() for t in texts]
+        runs = self.hasher.runs(encoded)
         data = np.frombuffer(runs.data, np.uint8)
         last = np.cumsum(runs.sizes)
         if self.leading_space:
@@ -150,7 +153,7 @@ class UnitEncoder:
         ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
         close = np.concatenate([[0], ends])[last]  # ids up to the end of each text
         end = np.array([self.end], "<u4").tobytes()
-        spaces = self._plain(texts, runs) if self.leading_space else [True] * len(texts)
+        spaces = self._plain(texts, runs, self._suspects(encoded, data)) if self.leading_space else [True] * len(texts)
         for text, stop, start, plain in zip(texts, close.tolist(), [0, *close[:-1].tolist()], spaces, strict=True):
             if plain:
                 yield ids[start:stop].astype("<u4").tobytes() + end
@@ -158,8 +161,15 @@ class UnitEncoder:
                 yield self._direct([text])[0] + end
 
     @staticmethod
-    def _plain(texts: list[str], runs) -> list[bool]:
+    def _suspects(encoded: list[bytes], data: np.ndarray) -> list[bool]:
+        """Which texts have a byte that other white space may begin with."""
+        out = np.zeros(len(encoded), bool)
+        out[np.searchsorted(np.cumsum([len(t) + 1 for t in encoded]), np.flatnonzero(SUSPECT[data]), side="right")] = True
+        return out.tolist()
+
+    @staticmethod
+    def _plain(texts: list[str], runs, suspects: list[bool]) -> list[bool]:
         """Whether a text has single spaces and line breaks only, none at its ends, and no other white space, which
         the tokenizer would take together with those beside it."""
         single = (n == t.count(" ") + t.count("\n") + 1 for t, n in zip(texts, runs.sizes.tolist(), strict=True))
-        return [not t or (one and not OTHER_SPACE.search(t)) for t, one in zip(texts, single, strict=True)]
+        return [not t or (one and not (odd and OTHER_SPACE.search(t))) for t, one, odd in zip(texts, single, suspects, strict=True)]
