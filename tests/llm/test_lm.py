@@ -15,25 +15,80 @@ from velomart.llm.words import LOWER, mixed
 def test_filter_never_loses_and_rarely_invents():
     rng = np.random.default_rng(3)
     keys = mixed(np.arange(1, 20_001, dtype=np.uint64))
-    counts = rng.geometric(0.3, len(keys)) ** 3
-    segments = [
-        lm.Filter.segment(keys[own], lm.level(counts[own]), 1 << 40) for own in (keys % np.uint64(4) == np.uint64(k) for k in range(4))
-    ]
+    codes = lm.quantised(rng.geometric(0.3, len(keys)) ** 3)
+    segments = [lm.Filter.segment(keys[own], codes[own], 1 << 40) for own in (keys % np.uint64(4) == np.uint64(k) for k in range(4))]
     joined = lambda parts: lm.Filter.of_segments(np.frombuffer(b"".join(parts), np.uint8), np.array([8 * len(x) for x in parts], np.uint64))
     bits = joined(segments)
-    found = bits.levels(keys)
-    assert (found >= lm.level(counts)).all()
-    assert (found == lm.level(counts)).mean() > 0.97
-    assert (bits.levels(mixed(np.arange(30_000, 60_000, dtype=np.uint64))) > 0).mean() < 0.03
-    assert bits.levels(keys[:0]).tolist() == []
-    tight = joined([lm.Filter.segment(keys, lm.level(counts), 8 * 20_000)])
-    assert len(tight.bits) <= 20_000
-    assert (tight.levels(keys) >= lm.level(counts)).all()
-
-
-def test_levels():
-    assert lm.level(np.array([0, 1, 2, 3, 4, 7, 8])).tolist() == [0, 1, 2, 2, 3, 3, 4]
-    assert lm.typical(np.array([0, 1, 2, 3])).tolist() == [0.0, 1.0, 2.5, 5.5]
+    found = bits.codes(keys)
+    assert (found >= codes).all()
+    assert (found == codes).mean() > 0.99
+    assert (bits.codes(mixed(np.arange(30_000, 130_000, dtype=np.uint64))) > 0).mean() < 0.0005
+    assert bits.codes(keys[:0]).tolist() == []
+    tight = joined([lm.Filter.segment(keys, codes, 8 * 40_000)])
+    assert len(tight.bits) <= 40_000
+    assert (tight.codes(keys) >> lm.DIGITS >= codes >> lm.DIGITS).all()
+
+
+@pytest.mark.parametrize("digits", [lm.DIGITS, lm.PAIR_DIGITS])
+def test_quantised_counts(digits):
+    counts = np.concatenate([np.arange(5000), np.array([10**6, 10**9, 10**14 + 7])])
+    codes = lm.quantised(counts, digits)
+    back = lm.typical(codes, digits)
+    exact = counts < 2 << digits
+    assert (back[exact] == counts[exact]).all()
+    assert (np.abs(back - counts) <= counts / (2 << digits)).all()
+    assert (np.diff(codes) >= 0).all()
+
+
+def plain_model(texts):
+    """Counts of words and pairs as the filter keeps them, and the probability of a word after another."""
+    closed = [[*(t or "").encode().translate(LOWER).split(), b" "] for t in texts]
+    words = Counter(w for t in closed for w in t)
+    follow = Counter(p for t in closed for p in zip([b" ", *t], t, strict=False))
+    kept = lambda n, digits: float(lm.typical(lm.quantised(np.array([n]), digits), digits)[0])
+    words_kept = {w: kept(n, lm.DIGITS) for w, n in words.items()}
+    follow_kept = {p: kept(n, lm.PAIR_DIGITS) for p, n in follow.items()}
+    total, distinct = sum(words.values()), len(words)
+
+    def probability(before, word):
+        alone = (words_kept.get(word, 0) + 1) / (total + distinct + 1)
+        v = words_kept.get(before, 0)
+        pair = min(follow_kept.get((before, word), 0), v, words_kept.get(word, 0))
+        return (pair + lm.SMOOTHING * alone) / (v + lm.SMOOTHING)
+
+    return words, probability
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_scores_are_those_of_a_plain_model_whose_probabilities_add_up(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(lm, "SEGMENT_CHARS", 5000)
+    if not broadcast:
+        monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 500)
+        monkeypatch.setattr(lm, "SCORED_BYTES", 9000)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 150) % 400) for _ in range(400)] + ["", None]
+    learnt, asked = texts[100:], [*texts[:100], "never w1 met w2", "", None]
+    words, probability = plain_model(learnt)
+    for before in [*words, b"never"]:
+        known = sum(probability(before, w) for w in words)
+        assert abs(known + probability(before, b"never") - 1) < 0.01, before
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = lm.train(frame(learnt))
+    assert (model.filter is not None) == broadcast
+    assert model.stray < 0.1
+    got = {r.doc_id: r.score for r in lm.score(frame(asked), model).collect()}
+    for k, text in enumerate(asked):
+        tokens = [b" ", *(text or "").encode().translate(LOWER).split(), b" "]
+        score = sum(math.log10(probability(v, w)) for v, w in zip(tokens, tokens[1:], strict=False))
+        assert got[k] == pytest.approx(score, rel=0.002), k
+
+
+def test_stretches_hand_on_segments_that_they_meet_only(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GATHERED", 10)
+    docs = spark.createDataFrame([(f"a{k} b{k} c{k}",) for k in range(50)], "text string")
+    rows = lm._gathered(docs, 5000).collect()
+    assert len(rows) <= 50 * 8
+    assert all(len(r["words"]) + len(r["pairs"]) > 0 for r in rows)
 
 
 @pytest.mark.parametrize("frequent", [1_000_000, 8])
@@ -84,7 +139,7 @@ def test_nothing_to_learn_or_score(spark):
 
 
 def test_a_filter_too_large_to_broadcast_scores_the_same(spark, monkeypatch):
-    """Ten bits for each entry at every size: beyond the broadcast, the segments are asked and nothing is overstated."""
+    """As many bits for each entry at every size: beyond the broadcast, the segments are asked and nothing is overstated."""
     monkeypatch.setattr(lm, "SEGMENT_CHARS", 2000)
     rng = np.random.default_rng(4)
     rows = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 80) % 900)) for k in range(120)]
@@ -103,4 +158,4 @@ def test_a_filter_too_large_to_broadcast_scores_the_same(spark, monkeypatch):
 def test_levels_end_at_the_highest_of_the_segment():
     """Also where every bit is set."""
     full = lm.Filter.of_segments(np.full(8, 255, np.uint8), np.array([64], np.uint64), np.array([3]))
-    assert full.levels(mixed(np.arange(1, 9, dtype=np.uint64))).tolist() == [3] * 8
+    assert (full.codes(mixed(np.arange(1, 9, dtype=np.uint64))) >> lm.DIGITS).tolist() == [3] * 8

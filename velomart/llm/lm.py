@@ -1,14 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The filter holds the counts of words and word pairs of the training texts, quantised to powers of two:
-an n-gram of level q is put in q times, once per level. Workers find a count by probing level
-after level until one is missing, so a count is never lost and at times overstated, at the filter's error rate.
-Pairs are smoothed towards words: p(w|v) = (c(vw) + M p(w)) / (c(v) + M), p(w) = (c(w) + 1) / (N + V + 1).
+The filter holds the counts of words and word pairs of the training texts, quantised: an n-gram of level q (a
+count of q binary digits) is put in q times, once per level, and once more for each 1 among the digits after the
+first, of which words keep seven and pairs five. Workers probe level after level until one is missing, then
+the digits, so a count is never lost and at times overstated, at the filter's error rate.
+Pairs are smoothed towards words: p(w|v) = (c(vw) + M p(w)) / (c(v) + M + E), p(w) = (c(w) + 1) / (N + V + 1). E, the
+error rate times V, is what pairs that were never met add up to; so the probabilities of all words after any
+word come to 1, but for quantising.
 
 The n-grams are gathered in segments by hash; each segment becomes a stretch of the filter, as long
-as its own n-grams ask for: 10 bits for each entry at every size, an error rate of 0.9 %. A filter of up to
+as its own n-grams ask for: 20 bits for a first entry and 14 for each further one at every size, error rates of one in
+16,000 and in 1,000. A filter of up to
 ``MAX_FILTER_BYTES`` is broadcast. A larger one stays in its segments: stretches of the texts send their distinct
-n-grams to the segments and get the levels back, so no task holds more than a segment or a stretch.
+n-grams to the segments and get the codes back, so no task holds more than a segment or a stretch.
 """
 
 from __future__ import annotations
@@ -27,8 +31,13 @@ from pyspark.sql import functions as F
 from velomart.llm.common import slices, stage
 from velomart.llm.words import GOLDEN, HashIndex, RunHasher, Runs, by_size, mixed, of_worker
 
-#: Bits of the filter for each entry, probes for each entry, and the largest filter that is broadcast whole.
-BITS, PROBES, MAX_FILTER_BYTES = 10, 5, 1 << 27
+#: Probes for the first entry of an n-gram and for each further one; about half of the bits are set.
+FIRST_PROBES, PROBES = 14, 10
+BITS_PER_PROBE = 1 / math.log(2)
+#: The largest filter that is broadcast whole.
+MAX_FILTER_BYTES = 1 << 27
+#: Binary digits after the first that are kept of the count of a word, and of a pair.
+DIGITS, PAIR_DIGITS = 7, 5
 #: Characters of training text for each segment, about.
 SEGMENT_CHARS = 3_000_000
 #: N-grams that a task gathers before it hands them on.
@@ -60,14 +69,22 @@ def pairs(hashes: np.ndarray) -> np.ndarray:
     return mixed(np.concatenate([hashes[-1:], hashes[:-1]]) * GOLDEN + mixed(hashes + GOLDEN))
 
 
-def level(counts: np.ndarray) -> np.ndarray:
-    """Quantised counts: 1 for 1, 2 for 2 and 3, 3 for 4 to 7, and so on; 0 for 0."""
-    return np.frexp(counts.astype(np.float64))[1]
+def quantised(counts: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+    """Counts as codes: their binary digits, then the first ``digits`` ones after the leading 1, in DIGITS places; 0 for 0."""
+    counts = counts.astype(np.int64)
+    level = np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+    places = np.maximum(level - 1, 0)
+    rest = counts - np.where(level > 0, np.int64(1) << places, 0)
+    rest = np.where(places > DIGITS, rest >> np.maximum(places - DIGITS, 0), rest << np.maximum(DIGITS - places, 0))
+    cut = DIGITS - digits
+    return (level << DIGITS) + (rest >> cut << cut)
 
 
-def typical(levels: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level."""
-    return np.where(levels > 0, (np.exp2(levels - 1) + np.exp2(levels) - 1) / 2, 0.0)
+def typical(codes: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+    """The middle of the counts of a code."""
+    level, rest = codes >> DIGITS, codes & ((1 << DIGITS) - 1)
+    low = np.exp2(level - 1.0)
+    return np.where(level > 0, low * (1 + rest / (1 << DIGITS)) + (np.maximum(low / (1 << digits), 1) - 1) / 2, 0.0)
 
 
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +96,10 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Filter:
-    """Segments of bits one after another; an n-gram belongs to segment hash mod their number."""
+    """Segments of bits one after another; an n-gram belongs to segment hash mod their number.
+
+    Entries of an n-gram: 1 to its level, and 64 + k for a 1 as digit k after the first.
+    """
 
     bits: np.ndarray  # bytes of all segments
     sizes: np.ndarray  # bits of each segment
@@ -87,27 +107,25 @@ class Filter:
     tops: np.ndarray  # highest level of each segment
 
     @staticmethod
-    def positions(hashes: np.ndarray, at: int, size: np.uint64) -> Iterator[np.ndarray]:
-        """The bits inside a segment that level ``at`` of n-grams sets, one array per probe."""
-        a = mixed(hashes + _nth(at))
-        step = mixed(a ^ GOLDEN) | np.uint64(1)
-        for _ in range(PROBES):
-            yield a % size
-            a = a + step
+    def _probed(hashes: np.ndarray, entry: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first probe, step to the next) of an entry of n-grams."""
+        a = mixed(hashes + _nth(entry))
+        return a, mixed(a ^ GOLDEN) | np.uint64(1)
 
     @classmethod
-    def segment(cls, hashes: np.ndarray, levels: np.ndarray, most_bits: int | None = None) -> bytes:
+    def segment(cls, hashes: np.ndarray, codes: np.ndarray, most_bits: int | None = None) -> bytes:
         """The bits of one segment."""
-        size = BITS * int(levels.sum())
+        levels = codes >> DIGITS
+        entries = [(at, levels >= at) for at in range(1, int(levels.max(initial=0)) + 1)]
+        entries += [(64 + k, (codes >> (DIGITS - 1 - k)) & 1 > 0) for k in range(DIGITS)]
+        size = math.ceil(BITS_PER_PROBE * sum((FIRST_PROBES if at == 1 else PROBES) * int(own.sum()) for at, own in entries))
         size = max(64, size if most_bits is None else min(size, most_bits)) // 8 * 8
         on = np.zeros(size, bool)
-        at = 1
-        while len(hashes):
-            for p in cls.positions(hashes, at, np.uint64(size)):
-                on[p] = True
-            at += 1
-            keep = levels >= at
-            hashes, levels = hashes[keep], levels[keep]
+        for at, own in entries:
+            a, step = cls._probed(hashes[own], at)
+            for _ in range(FIRST_PROBES if at == 1 else PROBES):
+                on[a % np.uint64(size)] = True
+                a = a + step
         return np.packbits(on, bitorder="little").tobytes()
 
     @classmethod
@@ -115,57 +133,65 @@ class Filter:
         """From the bytes of all segments in a row, the bits of each and its highest level, 63 where not known."""
         return cls(bits, sizes, np.cumsum(sizes) - sizes, np.full(len(sizes), 63) if tops is None else tops)
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: probed upwards until one is missing, or to the highest of its segment."""
+    def _holds(self, hashes: np.ndarray, own: np.ndarray, left: np.ndarray, entry: int) -> np.ndarray:
+        """Those of the n-grams ``left`` whose entry is there."""
+        size, start = self.sizes[own[left]], self.starts[own[left]]
+        a, step = self._probed(hashes[left], entry)
+        for _ in range(FIRST_PROBES if entry == 1 else PROBES):
+            bit = start + a % size
+            keep = ((self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            left, a, step, size, start = left[keep], a[keep] + step[keep], step[keep], size[keep], start[keep]
+        return left
+
+    def codes(self, hashes: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+        """The code of each n-gram: levels probed upwards until one is missing, or to the highest of its segment, then the digits."""
         out = np.zeros(len(hashes), np.int32)
         own = (hashes % np.uint64(len(self.sizes))).astype(np.int64)
         left, at = np.flatnonzero(self.tops[own] >= 1), 1
         while len(left):
-            size, start = self.sizes[own[left]], self.starts[own[left]]
-            alive = np.arange(len(left))
-            a = mixed(hashes[left] + _nth(at))
-            step = mixed(a ^ GOLDEN) | np.uint64(1)
-            for _ in range(PROBES):
-                bit = start[alive] + a % size[alive]
-                hit = (self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                keep = hit.astype(bool)
-                alive, a, step = alive[keep], a[keep] + step[keep], step[keep]
-            left = left[alive]
-            out[left] = at
+            left = self._holds(hashes, own, left, at)
+            out[left] = at << DIGITS
             at += 1
             left = left[self.tops[own[left]] >= at]
+        level = out >> DIGITS
+        for k in range(digits):
+            out[self._holds(hashes, own, np.flatnonzero(level > k + 1), 64 + k)] |= 1 << (DIGITS - 1 - k)
         return out
 
 
 @dataclass
 class Answers:
-    """Levels that were looked up before: those of ``hashes``, ascending."""
+    """Codes that were looked up before: those of ``hashes``, ascending."""
 
     hashes: np.ndarray
     found: np.ndarray
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        return self.found[np.searchsorted(self.hashes, hashes)].astype(np.int32)
+    def codes(self, hashes: np.ndarray, digits: int = DIGITS) -> np.ndarray:
+        return self.found[np.searchsorted(self.hashes, hashes)].astype(np.int32) & (-1 << (DIGITS - digits))
 
 
 def _gathered(docs: DataFrame, segments: int) -> DataFrame:
-    """(segment, words, word_counts, pairs, pair_counts): n-grams of stretches of the texts, summed there."""
+    """(segment, words, word_counts, pairs, pair_counts): n-grams of stretches of the texts, summed there.
+
+    One row for each segment that a stretch has n-grams of, so never more rows than n-grams.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flushed() -> pa.RecordBatch:
-            split = []
+            found = []
             for parts in zip(*held, strict=True):
                 hashes = np.concatenate(parts)
                 keys, counts = _summed(hashes, np.ones(len(hashes), np.int64))
                 own = (keys % np.uint64(segments)).astype(np.int64)
                 order = np.argsort(own, kind="stable")
-                ends = np.searchsorted(own[order], np.arange(1, segments))
-                split += [np.split(keys[order], ends), np.split(counts[order].astype(np.uint32), ends)]
+                found.append((own[order], keys[order], counts[order].astype(np.uint32)))
+            met = np.unique(np.concatenate([own for own, _, _ in found]))
+            split = [np.split(x, np.searchsorted(own, met[1:])) for own, *both in found for x in both]
             columns = [pa.array([x.tobytes() for x in column], pa.binary()) for column in split]
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(segments)), *columns], ["segment", "words", "word_counts", "pairs", "pair_counts"])
+            return pa.RecordBatch.from_arrays([pa.array(met), *columns], ["segment", "words", "word_counts", "pairs", "pair_counts"])
 
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
@@ -194,6 +220,7 @@ class Model:
     words: int
     frequent: tuple[np.ndarray, np.ndarray]  # hashes, ascending, and exact counts of the words counted most
     least: int  # the count from which a word is among them
+    stray: float  # words that seem to follow a word although they never do, on average
 
 
 def train(docs: DataFrame) -> Model:
@@ -207,19 +234,23 @@ def train(docs: DataFrame) -> Model:
             return _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64))
 
         words, counts = total("word")
-        both = [np.concatenate(x) for x in zip((words, level(counts)), (lambda k, c: (k, level(c)))(*total("pair")), strict=True)]
+        met, often = total("pair")
+        codes = np.concatenate([quantised(counts), quantised(often, PAIR_DIGITS)])
+        bits = Filter.segment(np.concatenate([words, met]), codes)
+        on = np.unpackbits(np.frombuffer(bits, np.uint8)).mean()
         return pa.table(
             {
                 "segment": group["segment"][:1],
-                "bits": pa.array([Filter.segment(*both)], pa.binary()),
-                "top": pa.array([both[1].max(initial=0)], pa.int32()),
+                "bits": pa.array([bits], pa.binary()),
+                "top": pa.array([codes.max(initial=0) >> DIGITS], pa.int32()),
+                "stray": pa.array([on**FIRST_PROBES]),
                 "words": pa.array([words.view(np.int64)]),
                 "counts": pa.array([counts]),
             }
         )
 
     built = stage(
-        _gathered(docs, segments).groupBy("segment").applyInArrow(made, "segment long, bits binary, top int, words array<long>, counts array<long>"),
+        _gathered(docs, segments).groupBy("segment").applyInArrow(made, "segment long, bits binary, top int, stray double, words array<long>, counts array<long>"),
         "segments",
     )
     counts = built.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(
@@ -238,9 +269,10 @@ def train(docs: DataFrame) -> Model:
     often = counts.where(F.col("count") >= least).toArrow()
     hashes = often["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    return Model(
-        _collected(built, segments), built, segments, counts, sum(r["of"] for r in digits), sum(r["n"] for r in digits), (hashes[order], often["count"].to_numpy()[order]), least
-    )
+    tokens, words = sum(r["of"] for r in digits), sum(r["n"] for r in digits)
+    stray = words * (built.agg(F.sum("stray")).first()[0] or 0.0) / segments
+    frequent = hashes[order], often["count"].to_numpy()[order]
+    return Model(_collected(built, segments), built, segments, counts, tokens, words, frequent, least, stray)
 
 
 def _collected(built: DataFrame, segments: int) -> Filter | None:
@@ -261,8 +293,8 @@ def _collected(built: DataFrame, segments: int) -> Filter | None:
 class Scorer:
     """Scores of texts by a filter, or answers of one; what depends on a single word is worked out once for each word met."""
 
-    def __init__(self, bits: Filter | Answers, frequent: tuple[np.ndarray, np.ndarray], tokens: int, words: int):
-        self.filter, self.frequent, self.tokens, self.words = bits, frequent, tokens, words
+    def __init__(self, bits: Filter | Answers, frequent: tuple[np.ndarray, np.ndarray], tokens: int, words: int, stray: float):
+        self.filter, self.frequent, self.tokens, self.words, self.stray = bits, frequent, tokens, words, stray
         self._forget()
 
     def _forget(self) -> None:
@@ -281,7 +313,7 @@ class Scorer:
             at = np.minimum(np.searchsorted(keys, fresh), max(0, len(keys) - 1))
             exact = np.where(keys[at] == fresh, counts[at], -1) if len(keys) else np.full(len(fresh), -1)
             self.exact = np.concatenate([self.exact, exact])
-            self.count = np.concatenate([self.count, typical(self.filter.levels(fresh))])
+            self.count = np.concatenate([self.count, typical(self.filter.codes(fresh))])
             numbers[missing] = self.index.find(hashes[missing])
         return numbers
 
@@ -292,9 +324,10 @@ class Scorer:
         alone = self.count[numbers]
         before = np.concatenate([alone[-1:], alone[:-1]])
         # A pair cannot be more frequent than either of its words; this also bounds what an error can add.
-        pair = np.minimum(typical(self.filter.levels(pairs(hashes))), np.minimum(before, alone))
+        met, at = np.unique(pairs(hashes), return_inverse=True)
+        pair = np.minimum(typical(self.filter.codes(met, PAIR_DIGITS), PAIR_DIGITS)[at], np.minimum(before, alone))
         word = (alone + 1) / (self.tokens + self.words + 1)
-        score = np.log10((pair + SMOOTHING * word) / (before + SMOOTHING))
+        score = np.log10((pair + SMOOTHING * word) / (before + SMOOTHING + np.where(before > 0, self.stray, 0.0)))
         exact = self.exact[numbers]
         base = np.where(exact >= 0, np.log10(np.maximum(exact, 0) + 1.0), 0.0) - math.log10(self.tokens + self.words + 1)
         first = np.cumsum(sizes) - sizes
@@ -327,7 +360,7 @@ def _record(scorer: Scorer, row: np.ndarray, batch: pa.RecordBatch) -> pa.Record
 def _by_broadcast(docs: DataFrame, model: Model, schema: str) -> DataFrame:
     """The texts scored in one pass, by the whole filter."""
     bits = model.filter
-    shared = docs.sparkSession.sparkContext.broadcast((bits.bits, bits.sizes, bits.tops, model.frequent, model.tokens, model.words))
+    shared = docs.sparkSession.sparkContext.broadcast((bits.bits, bits.sizes, bits.tops, model.frequent, model.tokens, model.words, model.stray))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sizes, tops, *rest = shared.value
@@ -342,7 +375,7 @@ def _by_broadcast(docs: DataFrame, model: Model, schema: str) -> DataFrame:
 def _by_segments(docs: DataFrame, model: Model, schema: str) -> DataFrame:
     """The texts scored in stretches, by what the segments of the filter answer for the distinct n-grams of each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    segments, shared = model.of, docs.sparkSession.sparkContext.broadcast((model.frequent, model.tokens, model.words))
+    segments, shared = model.of, docs.sparkSession.sparkContext.broadcast((model.frequent, model.tokens, model.words, model.stray))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, n, size = TaskContext.get().partitionId() << 40, 0, 0
@@ -382,19 +415,19 @@ def _by_segments(docs: DataFrame, model: Model, schema: str) -> DataFrame:
 
     def answered(asked: pa.Table, segment: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x.as_py(), np.uint64) for x in asked["hashes"]]
-        found = np.zeros(sum(map(len, parts)), np.uint8)
+        found = np.zeros(sum(map(len, parts)), np.uint16)
         if parts and segment.num_rows:
             bits = np.frombuffer(segment["bits"][0].as_py(), np.uint8)
             own = Filter.of_segments(bits, np.array([8 * len(bits)], np.uint64), segment["top"].to_numpy())
-            found = own.levels(np.concatenate(parts)).astype(np.uint8)
-        levels = [x.tobytes() for x in np.split(found, np.cumsum([len(x) for x in parts])[:-1])] if parts else []
-        return pa.table({"stretch": asked["stretch"], "hashes": asked["hashes"], "levels": pa.array(levels, pa.binary())})
+            found = own.codes(np.concatenate(parts)).astype(np.uint16)
+        codes = [x.tobytes() for x in np.split(found, np.cumsum([len(x) for x in parts])[:-1])] if parts else []
+        return pa.table({"stretch": asked["stretch"], "hashes": asked["hashes"], "codes": pa.array(codes, pa.binary())})
 
     def rows(texts: pa.Table, answers: pa.Table) -> pa.Table:
         hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in answers["hashes"]])
-        levels = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in answers["levels"]])
+        codes = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in answers["codes"]])
         order = np.argsort(hashes)
-        scorer = Scorer(Answers(hashes[order], levels[order]), *shared.value)
+        scorer = Scorer(Answers(hashes[order], codes[order]), *shared.value)
         return pa.Table.from_batches([_record(scorer, x.column("row").to_numpy(), x) for x in slices(iter(texts.to_batches()))])
 
     texts = stage(docs.mapInArrow(stretches, f"stretch long, row long, doc_id {kind}, text string"), "stretches")
@@ -405,7 +438,7 @@ def _by_segments(docs: DataFrame, model: Model, schema: str) -> DataFrame:
     questions = questions.withColumn("share", F.pmod(F.xxhash64("stretch"), F.lit(shares)))
     bits = model.segments.select("segment", "bits", "top", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
     answers = questions.groupBy("segment", "share").cogroup(bits.groupBy("segment", "share")).applyInArrow(
-        answered, "stretch long, hashes binary, levels binary"
+        answered, "stretch long, hashes binary, codes binary"
     )
     return texts.groupBy("stretch").cogroup(answers.groupBy("stretch")).applyInArrow(rows, schema)
 
