@@ -21,8 +21,8 @@ def test_filter_never_loses_and_rarely_invents():
     bits = joined(segments)
     found = bits.codes(keys)
     assert (found >= codes).all()
-    assert (found == codes).mean() > 0.99
-    assert (bits.codes(mixed(np.arange(30_000, 130_000, dtype=np.uint64))) > 0).mean() < 0.0005
+    assert (found == codes).mean() > 0.95
+    assert (bits.codes(mixed(np.arange(30_000, 130_000, dtype=np.uint64))) > 0).mean() < 0.004
     assert bits.codes(keys[:0]).tolist() == []
     tight = joined([lm.Filter.segment(keys, codes, 8 * 40_000)])
     assert len(tight.bits) <= 40_000
@@ -40,7 +40,7 @@ def test_quantised_counts(digits):
     assert (np.diff(codes) >= 0).all()
 
 
-def plain_model(texts):
+def plain_model(texts, error):
     """Counts of words and pairs as the filter keeps them, and the probability of a word after another."""
     closed = [[*(t or "").encode().translate(LOWER).split(), b" "] for t in texts]
     words = Counter(w for t in closed for w in t)
@@ -49,11 +49,15 @@ def plain_model(texts):
     words_kept = {w: kept(n, lm.DIGITS) for w, n in words.items()}
     follow_kept = {p: kept(n, lm.PAIR_DIGITS) for p, n in follow.items()}
     total, distinct = sum(words.values()), len(words)
+    once = sum(n == 1 for n in follow.values()) / total
 
     def probability(before, word):
         alone = (words_kept.get(word, 0) + 1) / (total + distinct + 1)
         v = words_kept.get(before, 0)
         pair = min(follow_kept.get((before, word), 0), v, words_kept.get(word, 0))
+        if pair == 1:
+            likely = once * v * words_kept[word] / total
+            pair = likely / (likely + error)
         return (pair + lm.SMOOTHING * alone) / (v + lm.SMOOTHING)
 
     return words, probability
@@ -68,19 +72,25 @@ def test_scores_are_those_of_a_plain_model_whose_probabilities_add_up(spark, mon
     rng = np.random.default_rng(8)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 150) % 400) for _ in range(400)] + ["", None]
     learnt, asked = texts[100:], [*texts[:100], "never w1 met w2", "", None]
-    words, probability = plain_model(learnt)
-    for before in [*words, b"never"]:
-        known = sum(probability(before, w) for w in words)
-        assert abs(known + probability(before, b"never") - 1) < 0.01, before
     frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     model = lm.train(frame(learnt))
     assert (model.filter is not None) == broadcast
-    assert model.stray < 0.1
+    assert 0 < model.error < 0.004
+    words, faultless = plain_model(learnt, 0)
+    _, probability = plain_model(learnt, model.error)
+    sums = [sum(faultless(v, w) for w in [*words, b"never"]) for v in [*words, b"never"]]
+    assert max(abs(x - 1) for x in sums) < 0.01
+    if broadcast:  # what the filter says of any word after any word, errors included
+        scorer = lm.Scorer(model.filter, model.frequent, model.tokens, model.words, model.error, model.once)
+        hashes, _ = lm.closed(lm.RunHasher().words([b" ".join(w for w in words if w != b" ").decode()]))
+        sums = [scorer.probabilities(np.stack([np.full(len(hashes), v), hashes], axis=1).ravel())[0][1::2].sum() for v in hashes]
+        assert abs(np.mean(sums) - 1) < 0.01
+        assert np.quantile(np.abs(np.array(sums) - 1), 0.9) < 0.02
     got = {r.doc_id: r.score for r in lm.score(frame(asked), model).collect()}
     for k, text in enumerate(asked):
         tokens = [b" ", *(text or "").encode().translate(LOWER).split(), b" "]
         score = sum(math.log10(probability(v, w)) for v, w in zip(tokens, tokens[1:], strict=False))
-        assert got[k] == pytest.approx(score, rel=0.002), k
+        assert got[k] == pytest.approx(score, rel=0.01), k
 
 
 def test_stretches_hand_on_segments_that_they_meet_only(spark, monkeypatch):

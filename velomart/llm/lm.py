@@ -4,13 +4,14 @@ The filter holds the counts of words and word pairs of the training texts, quant
 count of q binary digits) is put in q times, once per level, and once more for each 1 among the digits after the
 first, of which words keep seven and pairs five. Workers probe level after level until one is missing, then
 the digits, so a count is never lost and at times overstated, at the filter's error rate.
-Pairs are smoothed towards words: p(w|v) = (c(vw) + M p(w)) / (c(v) + M + E), p(w) = (c(w) + 1) / (N + V + 1). E, the
-error rate times V, is what pairs that were never met add up to; so the probabilities of all words after any
-word come to 1, but for quantising.
+Pairs are smoothed towards words: p(w|v) = (c(vw) + M p(w)) / (c(v) + M), p(w) = (c(w) + 1) / (N + V + 1). A pair found
+once may be an error, and over all words the errors would add up; it counts t / (t + e), where e is the error rate and
+t = S c(v) c(w) / N how often such a pair is met once (S: the share of pairs met once). So the probabilities of all
+words after a word come to about 1 whatever the size of the vocabulary.
 
 The n-grams are gathered in segments by hash; each segment becomes a stretch of the filter, as long
-as its own n-grams ask for: 20 bits for a first entry and 14 for each further one at every size, error rates of one in
-16,000 and in 1,000. A filter of up to
+as its own n-grams ask for: 13 bits for a first entry and 10 for each further one at every size, error rates of 0.2 and
+0.8 %. A filter of up to
 ``MAX_FILTER_BYTES`` is broadcast. A larger one stays in its segments: stretches of the texts send their distinct
 n-grams to the segments and get the codes back, so no task holds more than a segment or a stretch.
 """
@@ -32,7 +33,7 @@ from velomart.llm.common import slices, stage
 from velomart.llm.words import GOLDEN, HashIndex, RunHasher, Runs, by_size, mixed, of_worker
 
 #: Probes for the first entry of an n-gram and for each further one; about half of the bits are set.
-FIRST_PROBES, PROBES = 14, 10
+FIRST_PROBES, PROBES = 9, 7
 BITS_PER_PROBE = 1 / math.log(2)
 #: The largest filter that is broadcast whole.
 MAX_FILTER_BYTES = 1 << 27
@@ -220,7 +221,8 @@ class Model:
     words: int
     frequent: tuple[np.ndarray, np.ndarray]  # hashes, ascending, and exact counts of the words counted most
     least: int  # the count from which a word is among them
-    stray: float  # words that seem to follow a word although they never do, on average
+    error: float  # how likely an n-gram that was never met seems to be there
+    once: float  # the share of pairs, each occurrence counted, that were met once
 
 
 def train(docs: DataFrame) -> Model:
@@ -243,14 +245,15 @@ def train(docs: DataFrame) -> Model:
                 "segment": group["segment"][:1],
                 "bits": pa.array([bits], pa.binary()),
                 "top": pa.array([codes.max(initial=0) >> DIGITS], pa.int32()),
-                "stray": pa.array([on**FIRST_PROBES]),
+                "error": pa.array([on**FIRST_PROBES]),
+                "once": pa.array([int((often == 1).sum())]),
                 "words": pa.array([words.view(np.int64)]),
                 "counts": pa.array([counts]),
             }
         )
 
     built = stage(
-        _gathered(docs, segments).groupBy("segment").applyInArrow(made, "segment long, bits binary, top int, stray double, words array<long>, counts array<long>"),
+        _gathered(docs, segments).groupBy("segment").applyInArrow(made, "segment long, bits binary, top int, error double, once long, words array<long>, counts array<long>"),
         "segments",
     )
     counts = built.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(
@@ -270,9 +273,9 @@ def train(docs: DataFrame) -> Model:
     hashes = often["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     tokens, words = sum(r["of"] for r in digits), sum(r["n"] for r in digits)
-    stray = words * (built.agg(F.sum("stray")).first()[0] or 0.0) / segments
+    met = built.agg(F.sum("error").alias("error"), F.sum("once").alias("once")).first()
     frequent = hashes[order], often["count"].to_numpy()[order]
-    return Model(_collected(built, segments), built, segments, counts, tokens, words, frequent, least, stray)
+    return Model(_collected(built, segments), built, segments, counts, tokens, words, frequent, least, (met.error or 0.0) / segments, (met.once or 0) / max(1, tokens))
 
 
 def _collected(built: DataFrame, segments: int) -> Filter | None:
@@ -293,8 +296,8 @@ def _collected(built: DataFrame, segments: int) -> Filter | None:
 class Scorer:
     """Scores of texts by a filter, or answers of one; what depends on a single word is worked out once for each word met."""
 
-    def __init__(self, bits: Filter | Answers, frequent: tuple[np.ndarray, np.ndarray], tokens: int, words: int, stray: float):
-        self.filter, self.frequent, self.tokens, self.words, self.stray = bits, frequent, tokens, words, stray
+    def __init__(self, bits: Filter | Answers, frequent: tuple[np.ndarray, np.ndarray], tokens: int, words: int, error: float, once: float):
+        self.filter, self.frequent, self.tokens, self.words, self.error, self.once = bits, frequent, tokens, words, error, once
         self._forget()
 
     def _forget(self) -> None:
@@ -317,18 +320,24 @@ class Scorer:
             numbers[missing] = self.index.find(hashes[missing])
         return numbers
 
-    def rows(self, texts: list[str | None]) -> list[tuple]:
-        """Per text: tokens, log10 probability, tokens and base score of its frequent words, the others and how often."""
-        hashes, sizes = closed(of_worker("words", RunHasher).words(texts))
+    def probabilities(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability after the token before it, exact count or -1) of each token of ``closed`` texts."""
         numbers = self._numbers(hashes)
         alone = self.count[numbers]
         before = np.concatenate([alone[-1:], alone[:-1]])
         # A pair cannot be more frequent than either of its words; this also bounds what an error can add.
         met, at = np.unique(pairs(hashes), return_inverse=True)
         pair = np.minimum(typical(self.filter.codes(met, PAIR_DIGITS), PAIR_DIGITS)[at], np.minimum(before, alone))
+        likely = self.once * before * alone / max(1, self.tokens)
+        pair = np.where(pair == 1, likely / np.maximum(likely + self.error, 1e-300), pair)
         word = (alone + 1) / (self.tokens + self.words + 1)
-        score = np.log10((pair + SMOOTHING * word) / (before + SMOOTHING + np.where(before > 0, self.stray, 0.0)))
-        exact = self.exact[numbers]
+        return (pair + SMOOTHING * word) / (before + SMOOTHING), self.exact[numbers]
+
+    def rows(self, texts: list[str | None]) -> list[tuple]:
+        """Per text: tokens, log10 probability, tokens and base score of its frequent words, the others and how often."""
+        hashes, sizes = closed(of_worker("words", RunHasher).words(texts))
+        found, exact = self.probabilities(hashes)
+        score = np.log10(found)
         base = np.where(exact >= 0, np.log10(np.maximum(exact, 0) + 1.0), 0.0) - math.log10(self.tokens + self.words + 1)
         first = np.cumsum(sizes) - sizes
         sums = [np.add.reduceat(x, first).tolist() for x in (score, base, (exact >= 0).astype(np.int64))]
@@ -360,7 +369,7 @@ def _record(scorer: Scorer, row: np.ndarray, batch: pa.RecordBatch) -> pa.Record
 def _by_broadcast(docs: DataFrame, model: Model, schema: str) -> DataFrame:
     """The texts scored in one pass, by the whole filter."""
     bits = model.filter
-    shared = docs.sparkSession.sparkContext.broadcast((bits.bits, bits.sizes, bits.tops, model.frequent, model.tokens, model.words, model.stray))
+    shared = docs.sparkSession.sparkContext.broadcast((bits.bits, bits.sizes, bits.tops, model.frequent, model.tokens, model.words, model.error, model.once))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sizes, tops, *rest = shared.value
@@ -375,7 +384,7 @@ def _by_broadcast(docs: DataFrame, model: Model, schema: str) -> DataFrame:
 def _by_segments(docs: DataFrame, model: Model, schema: str) -> DataFrame:
     """The texts scored in stretches, by what the segments of the filter answer for the distinct n-grams of each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    segments, shared = model.of, docs.sparkSession.sparkContext.broadcast((model.frequent, model.tokens, model.words, model.stray))
+    segments, shared = model.of, docs.sparkSession.sparkContext.broadcast((model.frequent, model.tokens, model.words, model.error, model.once))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, n, size = TaskContext.get().partitionId() << 40, 0, 0
