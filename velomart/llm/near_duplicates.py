@@ -3,9 +3,11 @@
 A document is the set of its five-word shingles. Every shingle sends a Poisson stream of arrivals at the rate
 of its weight, each arrival to a random register; a register keeps the shingle that reached it first, and a
 stream ends when it can reach no register earlier. Two documents agree in a register with the probability
-Jaccard similarity of their weights. All weights are 1, so that this is the similarity by which links are
-judged, however often either text repeats a passage. Registers in bands give buckets of
-candidates; a candidate pair is a link if the Jaccard similarity of its shingle sets is ``THRESHOLD`` or more.
+Jaccard similarity of their weights. Registers in bands give buckets of candidates. Every text has the bands of
+weight 1 for each shingle, whose similarity is the one that links are judged by, so that they cover every
+pair however often either text repeats a passage; a text that repeats shingles has those of the weights 1 + ln(count) besides, which bring
+it together with texts that repeat the same. A candidate pair is a link if the Jaccard similarity of its shingle sets is
+``THRESHOLD`` or more.
 
 Documents of equal text are one class from the start. Classes of linked texts are found bucket by
 bucket without all pairs of a bucket: everything is compared with the bucket's first text, and where that leaves several classes
@@ -91,6 +93,18 @@ def bands(found: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
+def banded(owner: np.ndarray, value: np.ndarray, count: np.ndarray, texts: int) -> list[np.ndarray]:
+    """Per text the bands of weight 1; after them, if it repeats a shingle, those of the weights 1 + ln(count)."""
+    out = list(bands(sketches(owner, value, np.ones(len(value)), texts)))
+    repeats = np.zeros(texts, bool)
+    repeats[owner[count > 1]] = True
+    own, number = repeats[owner], np.cumsum(repeats) - 1
+    weighted = bands(sketches(number[owner[own]], value[own], 1 + np.log(count[own]), int(repeats.sum())))
+    for text, more in zip(np.flatnonzero(repeats), weighted, strict=True):
+        out[text] = np.concatenate([out[text], more])
+    return out
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, shingles, bands): one row per document; null text counts as empty, and has no bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -101,8 +115,8 @@ def sketched(docs: DataFrame) -> DataFrame:
             for part in by_size(texts, 1_000_000):
                 found = of_worker("words", RunHasher).words(texts[part])
                 sizes = found.sizes
-                owner, value, _ = shingles(found.hashes, sizes)
-                hashed = bands(sketches(owner, value, np.ones(len(value)), len(sizes)))
+                owner, value, count = shingles(found.hashes, sizes)
+                hashed = banded(owner, value, count, len(sizes))
                 distinct = np.bincount(owner, minlength=len(sizes))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -215,7 +229,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     rows = stage(sketched(docs.select("doc_id", "text")), "sketches")
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
-    members = texts.select("text_key", "shingles", F.posexplode("bands").alias("band", "bucket"))
+    # A band says the same by both weights at times; then the text is in its bucket once.
+    members = (
+        texts.select("text_key", "shingles", "bands", F.posexplode("bands").alias("at", "bucket"))
+        .where(f"at < {BANDS} OR bucket <> bands[at - {BANDS}]")
+        .select("text_key", "shingles", F.expr(f"at % {BANDS}").alias("band"), "bucket")
+    )
     crowded = (
         members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("text_key").alias("a")).where("n > 1")
     )
