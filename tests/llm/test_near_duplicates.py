@@ -100,26 +100,6 @@ def test_sketches_estimate_probability_jaccard():
     assert (found[0] == found[1]).mean() == pytest.approx(exact, abs=0.015)
 
 
-def test_bands_by_weights_bring_together_what_repeats_alike():
-    """Texts that repeat a shingle have 16 more bands; they agree as the probability Jaccard similarity of 1 + ln(count) says."""
-    texts = []
-    for k in range(200):
-        passage = [f"p{k}x{n}" for n in range(10)] * 30
-        texts += [" ".join([*passage, *[f"{side}{k}x{n}" for n in range(12)]]) for side in "ab"]
-    found = RunHasher().words([*texts, "one two three four five six"])
-    owner, value, count = nd.shingles(found.hashes, found.sizes)
-    got = nd.banded(owner, value, count, len(texts) + 1)
-    assert [len(x) for x in got] == [32] * len(texts) + [16]
-    weights = [dict(zip(value[owner == k].tolist(), (1 + np.log(count[owner == k])).tolist(), strict=True)) for k in range(2)]
-    a, b = weights
-    keys = list(a.keys() | b.keys())
-    x, y = (np.array([w.get(k, 0.0) for k in keys]) for w in (a, b))
-    exact = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in np.flatnonzero((x > 0) & (y > 0)))
-    agree = lambda part: np.mean([(a[part] == b[part]).mean() for a, b in zip(got[:-1:2], got[1:-1:2], strict=True)])
-    assert agree(slice(16, 32)) == pytest.approx(exact**4, abs=0.05)
-    assert agree(slice(16, 32)) > 2 * agree(slice(0, 16))
-
-
 def test_shingles_count_repeats_and_keep_short_texts():
     found = RunHasher().words(["a b c d e a b c d e a", "x y", "", "A B c d e"])
     owner, value, count = nd.shingles(found.hashes, found.sizes)
