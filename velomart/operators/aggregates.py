@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def exact_median(df: DataFrame, group: str, value: str, accuracy: int = 10_000) -> DataFrame:
@@ -52,15 +53,23 @@ def value_counts(df: DataFrame) -> DataFrame:
     return counted.unpivot([], [F.col(f"`{name}`") for name in df.columns], "column_name", "present")
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column's values as texts, equal where the values are: 0.0 and -0.0 have one text."""
+    value = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, T.DoubleType | T.FloatType):
+        value = value + F.lit(0).cast(df.schema[name].dataType)
+    return value.cast("string")
+
+
 def distinct_counts(df: DataFrame) -> DataFrame:
     """(column_name, distinct_count) for every column, exact, NULLs not counted.
 
     One pass: the columns become (name, value as text) rows, which are made distinct before and after
-    one shuffle. Values are counted as text, which is one to one for every type used here.
+    one shuffle. See ``profiles`` for estimates merged from sketches, which shuffle no values.
     """
     names = df.columns
     distinct = (
-        df.select(*[F.col(f"`{name}`").cast("string").alias(name) for name in names])
+        df.select(*[as_text(df, name).alias(name) for name in names])
         .unpivot([], [F.col(f"`{name}`") for name in names], "column_name", "value")
         .where("value IS NOT NULL")
         .distinct()

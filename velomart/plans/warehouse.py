@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from velomart.operators.profiles import merged_profile, refresh_sketches
 from velomart.plans import altstar, calendar, staging, star
 from velomart.sinks.tables import ensure_database, point_table, publish, read_published, staged, write_curve, write_days, write_partitioned
 
@@ -63,6 +64,15 @@ class Warehouse:
         df = star.usage_days(star.usage_by_month(star.usage_runs(hires, bikes, dates)), dates)
         return self._publish(name, df, lambda folder: write_days(df, folder, *PARTITIONED[name]))
 
+    def profile(self, name: str) -> DataFrame:
+        """(column_name, present, distinct_estimate) of a partitioned table, merged from sketches kept beside it.
+
+        Days whose files have not changed since the last call are not read; a table built anew is read whole.
+        """
+        schema, partition = self.read(name).schema, PARTITIONED[name][0]
+        sketches, _ = refresh_sketches(self.spark, self.path(name), schema, partition, f"{self.path(name)}__profile")
+        return merged_profile(sketches)
+
 
 def build_star(warehouse: Warehouse, hires: DataFrame, stations: DataFrame, dates: DataFrame | None = None):
     """Build the star tables from raw data; returns them by name, read from the written files.

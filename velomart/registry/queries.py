@@ -13,11 +13,11 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velomart.operators import aggregates, quality, sorting
+from velomart.operators import aggregates, profiles, quality, sorting
 from velomart.plans import (
     altstar, calendar, checks, demand, fleet, lifecycle, staging, star, stations, trend, warehouse,
 )
-from velomart.sinks.tables import copy_tables, ensure_database, replace_table, run_key, staged, work_folder
+from velomart.sinks.tables import copy_tables, ensure_database, replace_table, run_key, staged, work_folder, write_partitioned
 from velomart.sources import bridge, catalog
 from velomart.sources.registry import Source, SourceRegistry
 from velomart.sources.scans import ingest_report, scan_date_seed, scan_parquet, scan_stations_csv, shard_differences, unreadable_stations
@@ -123,6 +123,39 @@ def _profile(m: Models) -> DataFrame:
     return aggregates.table_profile({name: m.built[name] for name in warehouse.STAR_TABLES})
 
 
+def _merged_profile(m: Models) -> DataFrame:
+    """Hires of the later days are added to a sketched table; the merged profile is held against the exact counts."""
+    hires, day = m.built["fact_hire"], F.col("start_date_key")
+    folder, later = work_folder(m.spark), day >= F.lit("2023-01-20").cast("date")
+    write_partitioned(hires.where(~later), f"{folder}/hires", "start_date_key", ["bike_id"])
+    where = (m.spark, f"{folder}/hires", hires.schema, "start_date_key", f"{folder}/profile")
+    profiles.refresh_sketches(*where)
+    hires.where(later).write.mode("append").partitionBy("start_date_key").parquet(f"{folder}/hires")
+    sketches, days_read = profiles.refresh_sketches(*where)
+    exact = aggregates.distinct_counts(hires.drop("start_date_key"))
+    off = F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
+    return (
+        profiles.merged_profile(sketches)
+        .join(exact, "column_name")
+        .withColumn("within_bound", off <= F.col("distinct_count") * profiles.error_bound())
+        .withColumn("days_read", F.lit(days_read).cast("long"))
+        .drop("distinct_estimate")
+    )
+
+
+def _database_profile(m: Models) -> DataFrame:
+    """Profile of a database by the catalog: its star tables are counted, its staging table is passed over."""
+    database = f"velomart_{uuid.uuid4().hex}"
+    ensure_database(m.spark, database)
+    try:
+        tables = {"dim_bike": m.built["dim_bike"], "dim_station": m.built["dim_station"], "stg_cycle_stations": m.stg_stations}
+        for name, df in tables.items():
+            replace_table(df, f"`{database}`.`{name}`")
+        return staged(catalog.profile_database(m.spark, database), "profile")
+    finally:
+        m.spark.sql(f"DROP DATABASE `{database}` CASCADE")
+
+
 def _unique_report(m: Models) -> DataFrame:
     """Repeated values of every column declared unique."""
     parts = [
@@ -351,6 +384,8 @@ SHORT: dict[str, Callable[[Models], DataFrame]] = {
     "bike_idle_days": lambda m: fleet.bike_idle_days(fleet.bike_last_location(m.fact_hire, m.dim_bike)),
     # checks and profiles
     "profile_distinct": _profile,
+    "profile_merged": _merged_profile,
+    "profile_database": _database_profile,
     "dq_unique": _unique_report,
     "dq_not_null": _null_report,
     "dq_relationships": _relationship_report,
