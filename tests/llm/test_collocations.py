@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from velomart.llm import collocations, registry
 
@@ -115,3 +116,73 @@ def test_bits_are_bounded(spark, monkeypatch):
     docs = frame(spark, some(300, 7))
     assert collocations.proposals(docs).size == collocations.SEGMENT
     assert "op11_collocations" in registry.all_sql()
+
+
+def proposing(rows, least, left_out):
+    """Bits of every phrase of ``least`` occurrences, but for one in each three of those whose number of words is in ``left_out``."""
+    stretch = collocations.Stretch.of([text for _, text, _ in rows], [lang or "und" for *_, lang in rows])
+    hashes = np.concatenate([value[stretch.rest >= m] for m, value in enumerate(stretch.phrases(), 1)])
+    hashes, counts = collocations.summed(hashes, np.ones(len(hashes), np.int64))
+    often = hashes[counts >= least]
+    keep = np.ones(len(often), bool)
+    for m in left_out:
+        keep[np.flatnonzero((often & np.uint64(3)) == m - 1)[::3]] = False
+    packed = np.zeros(1 << 18, np.uint8)
+    for k in range(collocations.PROBES):
+        at = collocations.slot(often[keep], k, 8 * len(packed))
+        np.bitwise_or.at(packed, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return collocations.Bits(packed), int((~keep).sum())
+
+
+@pytest.mark.parametrize("left_out", [(1,), (2,), (3,), (1, 2, 3)])
+def test_few_failures_need_no_further_pass(spark, monkeypatch, left_out):
+    """What extends them is counted in the last pass, whatever its length."""
+    rows, passes = some(400, 9), []
+    bits, missing = proposing(rows, 5, left_out)
+    assert missing
+    count = collocations.border_pass
+    monkeypatch.setattr(collocations, "proposals", lambda docs, segments: bits)
+    monkeypatch.setattr(collocations, "border_pass", lambda *a: passes.append(1) or count(*a))
+    monkeypatch.setattr(collocations, "FEW", 1)
+    assert sorted(map(tuple, collocations.top_phrases(frame(spark, rows), 5).collect())) == plain(rows, 5, 2000)
+    assert len(passes) == 1
+
+
+def test_the_last_pass_hands_on_what_it_holds(spark, monkeypatch):
+    """By size, again and again; a task that goes on afterwards loses and repeats nothing."""
+    monkeypatch.setattr(collocations, "CHARS", 500)
+    monkeypatch.setattr(collocations, "TALLIED", 2000)
+    rows = some(300, 10) + ODD
+    assert sorted(map(tuple, collocations.top_phrases(frame(spark, rows).coalesce(1)).collect())) == plain(rows, 30, 2000)
+
+
+def test_a_tally_keeps_a_text_for_each_phrase():
+    texts, langs = ["a  b\tc. a b c", "A b \t c", "", None], ["en", "en", "en", "und"]
+    tally = collocations.Tally()
+    everything = collocations.Bits(np.full(collocations.SEGMENT // 8, 255, np.uint8))
+    for _ in range(2):
+        stretch = collocations.Stretch.of(texts, langs)
+        tally.add(langs, stretch, list(collocations.extended(stretch, everything, None)))
+    got = [tuple(row.values()) for batch in tally.batches() for row in batch.to_pylist()]
+    assert sorted(got) == sorted(("en", p, p.count(" ") + 1, 6) for p in ("a", "b", "c", "a b", "b c", "a b c"))
+
+
+def test_bits_are_collected_in_a_few_jobs(spark):
+    """However many partitions the segments are dealt over."""
+    hashes = spark.range(0, 5000, 1, 4).select((F.xxhash64("id")).alias("hash"))
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    sc = spark.sparkContext
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("bits", "bits")
+        bits = collocations.set_bits(hashes, 1 << 20)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("bits"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    values = np.array([r.hash for r in hashes.collect()]).view(np.uint64)
+    assert bits.has(values).all() and not bits.has(values + np.uint64(1)).all()
+    assert jobs <= 3

@@ -3,12 +3,14 @@
 A hashed sample of the rows proposes phrases, by a lowered threshold. One full pass counts, over all
 rows, the proposed phrases and their negative border: the phrases that were not proposed themselves but whose
 two parts, without the last and without the first word, were. Every single word belongs to one or the other. A phrase
-of the border that turns out frequent is a failure: it may have frequent extensions that nobody counted. Failures join the proposed
-and another full pass counts the border that has grown, until none fails; every frequent phrase has then
-been counted, as all its parts are frequent. Phrases have ``MOST_WORDS`` words at most, so the passes end.
+of the border that turns out frequent is a failure: it may have frequent extensions that nobody counted. Many failures join
+the proposed and another full pass counts the border that has grown, until few fail or none. Phrases have ``MOST_WORDS`` words
+at most, so the passes end.
 
 These passes count 64-bit hashes, sent as sorted stretches of a segment of all hashes; as two phrases of one hash can only
-count too much, a last pass counts by the phrases themselves those whose hash was frequent, and what it returns is exact.
+count too much, a last pass counts by the phrases themselves those whose hash was frequent. The extensions of few failures need no
+pass of their own: the last one counts all of them, of any length, whose parts are frequent or such extensions. Every frequent
+phrase is thus counted by itself, as all its parts are frequent, and what is returned is exact.
 What is proposed, or frequent, is known to the tasks as bits, of which each phrase sets three by its hash; a phrase that finds
 its bits set by others is counted without need, which changes no result. Bits never are more than ``MOST_BITS``, so what is
 broadcast is bounded whatever the input.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from velomart.llm.common import slices, stage
-from velomart.llm.words import GOLDEN, RunHasher, by_size, mixed, of_worker
+from velomart.llm.words import GOLDEN, HashIndex, RunHasher, by_size, mixed, of_worker
 
 MOST_WORDS, LEAST, KEEP = 4, 30, 2000
 #: A longer phrase with so many hundredths of a phrase's count makes that phrase redundant.
@@ -42,6 +44,11 @@ PROBES = 3
 PIECES = b".,;:!?\n\x0b\x0c\r"
 #: Characters worked on at a time, hashes that a task sums up at a time, bytes of text to a segment of the hashes.
 CHARS, GATHERED, SEGMENT_TEXT = 1_000_000, 2_000_000, 4_000_000
+#: Failures are few if they are one in so many of the frequent phrases found, or fewer.
+FEW = 8
+#: Bytes of text whose phrases a task of the last pass sums up at a time. Whole tasks would hand on fewer rows, but as
+#: many as tasks times frequent phrases, which grows faster than the text while a task still meets most of them.
+TALLIED = 4_000_000
 
 
 @dataclass
@@ -55,15 +62,18 @@ class Bits:
         return 8 * len(self.packed)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for slot in slots(hashes, self.size):
-            out &= (self.packed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        left = np.arange(len(hashes))
+        for k in range(PROBES):
+            at = slot(hashes[left], k, self.size)
+            left = left[(self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(hashes), bool)
+        out[left] = True
         return out
 
 
-def slots(hashes: np.ndarray, size: int) -> list[np.ndarray]:
-    """The places of each hash's bits; ``size`` is a power of two."""
-    return [(mixed(hashes + np.uint64(k * int(GOLDEN) % (1 << 64))) & np.uint64(size - 1)).astype(np.int64) for k in range(PROBES)]
+def slot(hashes: np.ndarray, k: int, size: int) -> np.ndarray:
+    """The place of each hash's bit number ``k``; ``size`` is a power of two."""
+    return (mixed(hashes + np.uint64(k * int(GOLDEN) % (1 << 64))) & np.uint64(size - 1)).astype(np.int64)
 
 
 def set_bits(hashes: DataFrame, size: int) -> Bits:
@@ -71,7 +81,8 @@ def set_bits(hashes: DataFrame, size: int) -> Bits:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.unique(np.concatenate(slots(batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64), size)))
+            own = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            own = np.unique(np.concatenate([slot(own, k, size) for k in range(PROBES)]))
             yield pa.RecordBatch.from_arrays([pa.array(own // SEGMENT), pa.array((own % SEGMENT).astype(np.int32))], ["segment", "at"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +97,8 @@ def set_bits(hashes: DataFrame, size: int) -> Bits:
     # A segment has SEGMENT places at most, so its list is bounded.
     found = hashes.mapInArrow(places, "segment long, at int").groupBy("segment").agg(F.collect_set("at").alias("places"))
     whole = np.zeros(size // 8, np.uint8)
-    for row in found.mapInArrow(pack, "segment long, packed binary").toLocalIterator():
+    # In one job, not one for each partition; MOST_BITS bounds what is collected.
+    for row in found.mapInArrow(pack, "segment long, packed binary").collect():
         whole[row["segment"] * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(row["packed"], np.uint8)
     return Bits(whole)
 
@@ -133,9 +145,15 @@ class Stretch:
                 value = mixed(value * GOLDEN + further)
             yield (value & ~np.uint64(3)) | np.uint64(m - 1)
 
-    def text(self, at: int, words: int) -> str:
-        own = self.data[self.starts[at] : self.ends[at + words - 1]]
-        return (own if words == 1 else b" ".join(own.split())).decode()
+    def texts(self, at: np.ndarray, words: np.ndarray) -> pa.Array:
+        """The phrases of so many words that begin at some words, by single spaces."""
+        last = at + words - 1
+        out = [self.data[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[last].tolist(), strict=True)]
+        ends = self.ends[:-1]
+        wide = np.append(0, np.cumsum((self.starts[1:] - ends != 1) | (np.frombuffer(self.data, np.uint8)[ends] != ord(" "))))
+        for k in np.flatnonzero(wide[last] > wide[at]).tolist():
+            out[k] = b" ".join(out[k].split())
+        return pa.array(out, pa.binary()).cast(pa.string())
 
 
 def _next(flags: np.ndarray) -> np.ndarray:
@@ -275,28 +293,81 @@ def border_pass(docs: DataFrame, now: Bits, before: Bits | None, least: int, seg
     return often(docs, due, least, segments)
 
 
-def counted(docs: DataFrame, hashes: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, words, f): phrases whose hash is one of ``hashes``, by themselves, ``least`` occurrences or more.
+def extended(stretch: Stretch, frequent: Bits, failed: Bits | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, places) for 1, 2, … words: of the phrases whose hash was frequent, and of those that extend a failure.
+
+    The latter have not been counted: a part of theirs was not proposed, or has not been counted itself.
+    """
+    known = further = None
+    for m, value in enumerate(stretch.phrases(), 1):
+        border = np.ones(len(value), bool) if known is None else known & _next(known) & (stretch.rest >= m)
+        uncounted = np.zeros(len(value), bool) if further is None else border & (further | _next(further))
+        at = np.flatnonzero(border & ~uncounted)
+        at = at[frequent.has(value[at])]
+        known, further = uncounted.copy(), uncounted
+        known[at] = True
+        if failed is not None:
+            further[at[failed.has(value[at])]] = True
+        yield value, np.flatnonzero(known)
+
+
+class Tally:
+    """How often the phrases of some stretches are there, each with its language and its text once."""
+
+    NAMES = ("lang", "phrase", "words", "n")
+
+    def __init__(self):
+        self.index, self.counts, self.parts, self.read = HashIndex(), np.zeros(0, np.int64), [], 0
+
+    def add(self, langs: list[str], stretch: Stretch, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        at = np.concatenate([places for _, places in found])
+        hashes = np.concatenate([value[places] for value, places in found])
+        numbers = self.index.find(hashes)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            fresh, first = np.unique(hashes[missing], return_index=True)
+            self.index.reserve(len(fresh))
+            self.index.add(fresh)
+            numbers[missing] = self.index.find(hashes[missing])
+            own, words = at[missing[first]], (fresh & np.uint64(3)).astype(np.int32) + np.int32(1)
+            self.parts.append((pa.array(langs, pa.string()).take(pa.array(stretch.owner[own])), stretch.texts(own, words), pa.array(words)))
+        self.read += len(stretch.data)
+        counts = np.bincount(numbers, minlength=self.index.count)
+        counts[: len(self.counts)] += self.counts
+        self.counts = counts
+
+    @property
+    def full(self) -> bool:
+        return self.index.full or self.read >= TALLIED
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            columns = [pa.chunked_array(x) for x in zip(*self.parts, strict=True)]
+            yield from pa.table([*columns, pa.array(self.counts)], names=self.NAMES).to_batches(65_536)
+
+
+def counted(docs: DataFrame, hashes: DataFrame, failed: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, words, f): phrases whose hash is one of ``hashes`` or that extend those of ``failed``, by themselves, ``least`` occurrences or more.
 
     A phrase of no words for each language counts all of its words.
     """
-    packed = docs.sparkSession.sparkContext.broadcast(bits_for(hashes).packed)
-    names = ["lang", "phrase", "words", "n"]
+    none = failed.isEmpty()
+    packed = docs.sparkSession.sparkContext.broadcast((bits_for(hashes).packed, None if none else bits_for(failed).packed))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, extend = (None if x is None else Bits(x) for x in packed.value)
+        tally = Tally()
         for langs, stretch in _stretches(batches):
             own, place = np.unique(np.array(langs, object), return_inverse=True)
             totals = np.bincount(place[stretch.owner], minlength=len(own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, pa.string()), pa.array([""] * len(own)), pa.array(np.zeros(len(own), np.int32)), pa.array(totals)], names
+                [pa.array(own, pa.string()), pa.array([""] * len(own)), pa.array(np.zeros(len(own), np.int32)), pa.array(totals)], Tally.NAMES
             )
-            lang = pa.array(langs, pa.string())
-            for m, (value, _, known) in enumerate(walked(stretch, Bits(packed.value)), 1):
-                places = np.flatnonzero(known)
-                _, first, n = np.unique(value[places], return_index=True, return_counts=True)
-                at = places[first]
-                texts = pa.array([stretch.text(k, m) for k in at.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([lang.take(pa.array(stretch.owner[at])), texts, pa.array(np.full(len(at), m, np.int32)), pa.array(n)], names)
+            tally.add(langs, stretch, list(extended(stretch, frequent, extend)))
+            if tally.full:
+                yield from tally.batches()
+                tally = Tally()
+        yield from tally.batches()
 
     found = _texts(docs).mapInArrow(rows, "lang string, phrase string, words int, n long")
     sums = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
@@ -317,8 +388,8 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
         hashes = border_pass(docs, now, before, least, segments)
         found = hashes if found is None else found.unionByName(hashes)
         failed = failures(hashes, now)
-        if failed.isEmpty():
-            return counted(docs, found, least)
+        if failed.count() * FEW <= found.count():
+            return counted(docs, found, failed, least)
         now, before = Bits(now.packed | set_bits(failed, now.size).packed), now
 
 
