@@ -294,9 +294,12 @@ def _collected(built: DataFrame, segments: int) -> Filter | None:
 
 
 class Scorer:
-    """Scores of texts by a filter, or answers of one; what depends on a single word is worked out once for each word met."""
+    """Scores of texts by a filter, or answers of one; what depends on a single word is worked out once for each word met.
 
-    def __init__(self, bits: Filter | Answers, frequent: tuple[np.ndarray, np.ndarray], tokens: int, words: int, error: float, once: float):
+    Without an ``error``, a pair found once counts as met once.
+    """
+
+    def __init__(self, bits: Filter | Answers, frequent: tuple[np.ndarray, np.ndarray], tokens: int, words: int, error: float = 0.0, once: float = 1.0):
         self.filter, self.frequent, self.tokens, self.words, self.error, self.once = bits, frequent, tokens, words, error, once
         self._forget()
 
