@@ -10,7 +10,8 @@ at most, so the passes end.
 These passes count 64-bit hashes, sent as sorted stretches of a segment of all hashes; as two phrases of one hash can only
 count too much, a last pass counts by the phrases themselves those whose hash was frequent. The extensions of few failures need no
 pass of their own: the last one counts all of them, of any length, whose parts are frequent or such extensions. Every frequent
-phrase is thus counted by itself, as all its parts are frequent, and what is returned is exact.
+phrase is thus counted by itself, as all its parts are frequent, and what is returned is exact, unless two phrases of one hash
+meet in one tally.
 What is proposed, or frequent, is known to the tasks as bits, of which each phrase sets three by its hash; a phrase that finds
 its bits set by others is counted without need, which changes no result. Bits never are more than ``MOST_BITS``, so what is
 broadcast is bounded whatever the input.
@@ -312,7 +313,10 @@ def extended(stretch: Stretch, frequent: Bits, failed: Bits | None) -> Iterator[
 
 
 class Tally:
-    """How often the phrases of some stretches are there, each with its language and its text once."""
+    """How often the phrases of some stretches are there, each with its language and its text once.
+
+    Phrases of one 64-bit hash are taken for the same within a tally.
+    """
 
     NAMES = ("lang", "phrase", "words", "n")
 
